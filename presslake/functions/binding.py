@@ -1,10 +1,10 @@
-"""Evaluate a sub-expression once."""
+"""Evaluate an expression once per row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     fed to one, is bound through a one-element array. It also lets a Python helper's result enter a lambda.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add or replace a column whose value is computed once per row, however often later steps use it.
+
+    Predicates and projections are otherwise rewritten in terms of the expression itself, and a costly one would run
+    again in each of them. Exploding a one-element array is a row-local step that they cannot be pushed through.
+    """
+    keep = [c for c in df.columns if c != name]
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(value)).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presslake.functions.binding import let
+from presslake.functions.binding import let, with_computed
 from presslake.functions.dom import IMAGE_SELECTORS, matches, page_elements, rules_column
 from presslake.functions.html import attribute, drop_nontext
 from presslake.functions.text import blank_to_null
@@ -116,8 +116,9 @@ def staged_images(url: Column, dom: Column) -> Column:
 
 def collect_images(df, url: str, html: str, out: str = "images"):
     """Add up to 10 distinct images per page. Pages the quick path settles reach the DOM helper as NULL."""
-    step = df.withColumn("_quick", quick_images(F.col(url), F.col(html)))
-    step = step.withColumn("_dom", page_elements(F.when(needs_elements(F.col(html), F.col("_quick")), F.col(html))))
+    step = with_computed(df, "_quick", quick_images(F.col(url), F.col(html)))
+    needed = F.when(needs_elements(F.col(html), F.col("_quick")), F.col(html))
+    step = step.withColumn("_dom", page_elements(needed))
     staged = F.when(F.col("_dom.elements").isNotNull(), staged_images(F.col(url), F.col("_dom")))
     images = F.coalesce(staged, F.col("_quick"), F.array().cast("array<string>"))
-    return step.withColumn(out, F.slice(images, 1, MAX_IMAGES)).drop("_quick", "_dom")
+    return with_computed(step, out, F.slice(images, 1, MAX_IMAGES)).drop("_quick", "_dom")

@@ -14,12 +14,17 @@ TRACKING_PARAMS = ["utm_[^=&]*", "gclid", "fbclid", "msclkid", "mc_cid", "mc_eid
 AGGREGATOR_RULES = [("weixin.sogou.com", "mp.weixin.qq.com")]
 
 
+# Optional scheme, '//', one optional 'www.', then a network location whose brackets match.
+_NETLOC = (
+    r"(?s)^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:www\.)?"
+    r"((?:[^/?#\[\]]++|\[[^/?#\[\]]*\])++)(?:[/?#].*)?$"
+)
+
+
 def domain_of_url(url: Column) -> Column:
     """Network location (port, user and case kept) without one leading 'www.'; NULL when there is none."""
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    netloc = F.regexp_extract(text, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
-    balanced = netloc.contains("[") == netloc.contains("]")
-    return F.when(balanced, blank_to_null(F.regexp_replace(netloc, r"^www\.", "")))
+    text = F.translate(url, "\t\r\n", "")
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(_NETLOC), F.lit(1)), F.lit(1))
 
 
 def blacklist_key(url_or_domain: Column) -> Column:
@@ -80,6 +85,10 @@ def absolute_url(base: Column, ref: Column) -> Column:
     )
 
 
+def _first_containing(values: Column, part: str) -> Column:
+    return F.try_element_at(F.filter(values, lambda v: v.contains(part)), F.lit(1))
+
+
 def rewrite_aggregator_url(
     link: Column, summary: Column, content: Column, rules: list[tuple[str, str]] | None = None
 ) -> Column:
@@ -99,6 +108,5 @@ def rewrite_aggregator_url(
     )
     found = F.lit(None).cast("string")
     for source, target in reversed(rules):
-        first = F.try_element_at(F.filter(hrefs, lambda h, t=target: h.contains(t)), F.lit(1))
-        found = F.when(link.contains(source), first).otherwise(found)
+        found = F.when(link.contains(source), _first_containing(hrefs, target)).otherwise(found)
     return F.coalesce(html_unescape(found), link)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.functions.binding import let
+from presslake.functions.binding import let, with_computed
 from presslake.functions.dom import CONTENT_SELECTORS, matches, page_elements, rules_column
 from presslake.functions.html import MIN_CONTENT_CHARS, body_text, main_text_density, main_text_paragraphs
 from presslake.functions.images import collect_images
@@ -99,18 +99,16 @@ def strategy_cascade(
 ) -> DataFrame:
     """Add extracted_text and extraction_method of the first accepting strategy (both NULL when none accepts).
 
-    blocked rows and rows without HTML try nothing. Each strategy is its own projection over the rows the earlier
-    ones left open, so a later, costlier one does no work for settled rows.
+    blocked rows and rows without HTML try nothing. Each strategy is its own step over the rows the earlier ones
+    left open, so a later, costlier one does no work for settled rows.
     """
     strategies = DEFAULT_STRATEGIES if strategies is None else strategies
     usable = F.col(html) if blocked is None else F.when(~blocked, F.col(html))
-    step = pages.withColumn("_open_html", usable).withColumn("_found", F.lit(None).cast("struct<text:string,method:string>"))
+    found = F.lit(None).cast("struct<text:string,method:string>")
+    step = pages.withColumn("_open_html", usable).withColumn("_found", found)
     for strategy in strategies:
         source = F.when(F.col("_found").isNull(), F.col("_open_html"))
-        step = step.withColumn("_text", strategy.build(source))
-        hit = F.struct(F.col("_text").alias("text"), F.lit(strategy.method).alias("method"))
-        accepted = F.when(accepted_text(F.col("_text")).isNotNull(), hit)
-        step = step.withColumn("_found", F.coalesce(F.col("_found"), accepted)).drop("_text")
+        step = with_computed(step, "_found", F.coalesce(F.col("_found"), _attempt(strategy, source)))
     return (
         step.withColumn("extracted_text", F.col("_found.text"))
         .withColumn("extraction_method", F.col("_found.method"))
@@ -118,6 +116,17 @@ def strategy_cascade(
     )
 
 
+def _attempt(strategy: Strategy, source: Column) -> Column:
+    """STRUCT<text, method> if the strategy's text is accepted, else NULL."""
+
+    def settle(text: Column) -> Column:
+        return F.when(
+            accepted_text(text).isNotNull(), F.struct(text.alias("text"), F.lit(strategy.method).alias("method"))
+        )
+
+    return let(strategy.build(source), settle)
+
+
 def usable_description(description: Column) -> Column:
     """Judged on the raw text, tags included."""
     return content_valid(description)
@@ -135,12 +144,21 @@ def with_fallback(df: DataFrame, description: str = "description") -> DataFrame:
         F.when(took, F.col("extraction_method")).when(usable, F.lit(FALLBACK_METHOD)).otherwise(F.lit(FAILED_METHOD))
     )
     raw = F.when(took, F.col("extracted_text")).when(usable, F.col(description)).otherwise(F.lit(""))
+
+    def settle(s: Column) -> Column:
+        return F.struct(
+            s["method"].alias("method"),
+            (s["method"] != FAILED_METHOD).alias("success"),
+            content_by_method(s["raw"], s["method"]).alias("content"),
+        )
+
+    settled = let(F.struct(method.alias("method"), raw.alias("raw")), settle)
     return (
-        df.withColumn("_raw", raw)
-        .withColumn("extraction_method", method)
-        .withColumn("success", took | usable)
-        .withColumn("content", content_by_method(F.col("_raw"), F.col("extraction_method")))
-        .drop("_raw", "extracted_text")
+        with_computed(df, "_settled", settled)
+        .withColumn("extraction_method", F.col("_settled.method"))
+        .withColumn("success", F.col("_settled.success"))
+        .withColumn("content", F.col("_settled.content"))
+        .drop("_settled", "extracted_text")
     )
 
 

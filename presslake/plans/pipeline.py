@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.functions.binding import let
+from presslake.functions.binding import let, with_computed
 from presslake.functions.dates import is_newer_than_last_id
 from presslake.functions.text import blank_to_null
 from presslake.operators import blacklist as bl
@@ -67,8 +67,8 @@ def new_candidates(feeds: DataFrame, docs: DataFrame, history: DataFrame) -> Dat
     subscribed = docs.join(feeds.select("feed_url", "feed_ord"), "feed_url")
     marked = incremental.history_lookup(subscribed, history)
     parsed = feed_source.parse_documents(marked).where("success AND NOT malformed")
-    fresh = entries_until_stale(F.col("entries"), F.col("last_id"))
-    entries = parsed.select("feed_ord", "feed_url", F.inline(fresh))
+    fresh = with_computed(parsed, "fresh", entries_until_stale(F.col("entries"), F.col("last_id")))
+    entries = fresh.select("feed_ord", "feed_url", F.inline("fresh"))
     return feed_source.rewrite_entry_links(entries)
 
 

@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.functions.binding import let
+from presslake.functions.binding import let, with_computed
 from presslake.functions.dates import published_coalesce
 from presslake.functions.text import blank_to_null
 from presslake.functions.urls import rewrite_aggregator_url
@@ -97,19 +97,20 @@ def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
     A NULL document was not fetched: the feed failed. A malformed one is a success with a warning and no entries.
     """
-    parsed = docs.withColumn("_feed", parse_feed(F.col(doc)))
+    parsed = with_computed(docs, "_feed", parse_feed(F.col(doc)))
     fetched = F.col(doc).isNotNull()
     bad = fetched & (F.col("_feed").isNull() | F.col("_feed._corrupt_record").isNotNull())
-    return (
+    flagged = (
         parsed.withColumn("success", fetched)
         .withColumn("malformed", F.coalesce(bad, F.lit(False)))
         .withColumn("error", F.when(~fetched, F.lit("无法获取 feed 数据")))
-        .withColumn("entries", F.when(~F.col("malformed"), entries_array(F.col("_feed"))))
-        .drop("_feed", doc)
     )
+    entries = F.when(~F.col("malformed"), entries_array(F.col("_feed")))
+    return with_computed(flagged, "entries", entries).drop("_feed", doc)
 
 
 def feed_parse_status(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """One row per document: success, malformed, error."""
     return parse_documents(docs, doc).drop("entries")
 
 
@@ -134,7 +135,7 @@ def title_default(title: Column) -> Column:
 
 def rewrite_entry_links(entries: DataFrame, rules=None) -> DataFrame:
     link = rewrite_aggregator_url(F.col("link"), F.col("summary"), F.col("content"), rules)
-    return entries.withColumn("link", link)
+    return with_computed(entries, "link", link).select(*entries.columns)
 
 
 def article_ids(entries: DataFrame) -> DataFrame:

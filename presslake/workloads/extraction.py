@@ -124,11 +124,17 @@ def main_text_selectors(spark, sf_dir):
 
 @query(
     "strategy_cascade",
-    f"""WITH {sql.density("pages")}
-SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'newspaper3k' WHEN 2 THEN 'css-selectors' WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'readability' END AS extraction_method,
+    f"""WITH {sql.density("pages")},
+  t AS (SELECT page_id, d.text AS t1, {sql.paragraphs("html")} AS t2, {sql.visible(f"coalesce({sql.article(sql.drop_nontext('html'))}, '')")} AS t3,
+               {sql.visible(sql.body(sql.drop_nontext("html")))} AS t4 FROM pages LEFT JOIN sql_density d USING (page_id)),
+  s AS (SELECT *, CASE WHEN length(t3) >= 100 THEN t3 ELSE t4 END AS t34 FROM t),
+  m AS (SELECT *, CASE page_id % 5 WHEN 1 THEN 'newspaper3k' WHEN 2 THEN 'css-selectors' WHEN 3 THEN NULL WHEN 4 THEN NULL
+        ELSE CASE WHEN {sql.valid("t1")} THEN 'readability' WHEN length(t2) >= 100 THEN 'newspaper3k' WHEN length(t34) >= 100 THEN 'css-selectors' END END AS method FROM s)
+SELECT page_id, method AS extraction_method,
   CASE page_id % 5 WHEN 1 THEN array_to_string(list_transform(range(30), lambda i: 'w ' || page_id), chr(10))
-       WHEN 2 THEN array_to_string(list_transform(range(30), lambda i: 'v ' || page_id), chr(10)) WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE d.text END AS extracted_text
-FROM pages LEFT JOIN sql_density d USING (page_id)""",
+       WHEN 2 THEN array_to_string(list_transform(range(30), lambda i: 'v ' || page_id), chr(10))
+       ELSE CASE method WHEN 'readability' THEN t1 WHEN 'newspaper3k' THEN t2 WHEN 'css-selectors' THEN t34 END END AS extracted_text
+FROM m""",
 )
 def strategy_cascade(spark, sf_dir):
     p = F.col("page_id")

@@ -32,12 +32,15 @@ _PIPELINE = (
     sql.EXTRACTED
     + f""",
   v_block AS (SELECT DISTINCT {sql.domain("url")} AS dom FROM pages WHERE page_id % 50 = 7),
-  shut AS (
-    SELECT s.* EXCLUDE (method, content), f.feed_ord, took AND {sql.domain("link")} IN (SELECT dom FROM v_block) AS closed,
-           CASE WHEN closed THEN CASE WHEN {sql.valid("description")} THEN 'description-fallback' ELSE 'failed' END ELSE method END AS method,
-           CASE WHEN closed THEN CASE WHEN {sql.valid("description")} THEN {sql.strip_tags("description")} ELSE '' END ELSE content END AS content,
-           published <= h.last_id AS stale
+  marked AS (
+    SELECT s.* EXCLUDE (method, content), s.method AS m, s.content AS c, f.feed_ord, published <= h.last_id AS stale,
+           took AND {sql.domain("link")} IN (SELECT dom FROM v_block) AS closed
     FROM settled s JOIN v_page_feeds f USING (feed_url) LEFT JOIN v_page_history h USING (feed_url) WHERE f.feed_ord % 16 <> 5),
+  shut AS (
+    SELECT * EXCLUDE (m, c),
+           CASE WHEN closed THEN CASE WHEN {sql.valid("description")} THEN 'description-fallback' ELSE 'failed' END ELSE m END AS method,
+           CASE WHEN closed THEN CASE WHEN {sql.valid("description")} THEN {sql.strip_tags("description")} ELSE '' END ELSE c END AS content
+    FROM marked),
   open AS (SELECT *, max(CAST(coalesce(stale, false) AS INT)) OVER (PARTITION BY feed_url ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM shut),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY feed_url ORDER BY pos) AS rn FROM open WHERE stop = 0 AND method <> 'failed' AND content <> ''),
   v_out AS (SELECT * FROM ranked WHERE rn <= 5)"""

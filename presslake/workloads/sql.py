@@ -261,7 +261,7 @@ EXTRACTED = (
     SELECT page_id, url, error_kind,
            CASE WHEN error_kind IS NOT NULL THEN NULL WHEN {valid("t1")} THEN 'readability'
                 WHEN length(t2) >= 100 AND {valid("t2")} THEN 'newspaper3k'
-                WHEN length(coalesce(nullif(t3, ''), t4)) >= 100 THEN 'css-selectors' END AS method,
+                WHEN length(CASE WHEN length(t3) >= 100 THEN t3 ELSE t4 END) >= 100 THEN 'css-selectors' END AS method,
            t1, t2, CASE WHEN length(t3) >= 100 THEN t3 ELSE t4 END AS t34 FROM tried),
   settled AS (
     SELECT e.*, p.error_kind, p.method IS NOT NULL AS took,
