@@ -17,6 +17,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_let(value: str, name: str, body: str) -> str:
+    """The same in SQL text: body over name, bound to value."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def row_sql(body: str, **values: Column) -> Column:
+    """SQL text over named columns, each computed once; the text sees them as v.name.
+
+    Long expressions are written this way because Spark parses one text much faster than Python can build the same
+    tree call by call.
+    """
+    packed = F.struct(*[value.alias(name) for name, value in values.items()])
+    return F.get(F.call_function("transform", F.array(packed), F.expr(f"v -> {body}")), F.lit(0))
+
+
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add or replace a column whose value is computed once per row, however often later steps use it.
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
+from presslake.functions.binding import row_sql, sql_let
+
 # Content selectors in order of preference, as (kind, attribute, value).
 CONTENT_SELECTORS = [
     ("tag", "", "article"),
@@ -172,23 +174,38 @@ def page_elements(html: Column) -> Column:
     return _flatten_batch(html)
 
 
-def rules_column(rules: list[tuple[str, str, str]]) -> Column:
-    """A selector list as one array literal."""
-    return F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(value).alias("value"))
-            for kind, name, value in rules
-        ]
-    )
+def sql_rules(rules: list[tuple[str, str, str]]) -> str:
+    """A selector list as one SQL array."""
+    return "array(" + ", ".join(f"named_struct('kind', '{k}', 'name', '{n}', 'value', '{v}')" for k, n, v in rules) + ")"
 
 
-def matches(element: Column, rule: Column) -> Column:
-    """Does an element satisfy a selector rule?"""
-    value = F.try_element_at(element["attrs"], rule["name"])
-    return F.coalesce(
-        F.when(rule["kind"] == "tag", element["tag"] == rule["value"])
-        .when(rule["kind"] == "class", F.array_contains(element["classes"], rule["value"]))
-        .when(rule["kind"] == "attr", value == rule["value"])
-        .otherwise(value.contains(rule["value"])),
-        F.lit(False),
+def sql_matches(e: str, r: str) -> str:
+    """Does element e satisfy selector rule r?"""
+    attribute = f"try_element_at({e}.attrs, {r}.name)"
+    return (
+        f"coalesce(CASE {r}.kind WHEN 'tag' THEN {e}.tag = {r}.value "
+        f"WHEN 'class' THEN array_contains({e}.classes, {r}.value) "
+        f"WHEN 'attr' THEN {attribute} = {r}.value ELSE contains({attribute}, {r}.value) END, false)"
     )
+
+
+def sql_element_text(dom: str, e: str) -> str:
+    """Visible text nodes of an element, one per line."""
+    span = f"slice({dom}.tokens, {e}.first_token + 1, {e}.n_tokens)"
+    return f"array_join(transform(filter({span}, k -> NOT k.hidden), k -> k.text), '\\n')"
+
+
+def sql_best_element(elements: str, rule: str) -> str:
+    """Matching element with the longest raw text, the first one on a tie; NULL when none matches."""
+    key = "struct({0}.raw_len, -{0}.start)".format
+    top = f"array_max(transform(es, e -> {key('e')}))"
+    pick = sql_let(top, "top", f"try_element_at(filter(es, e -> {key('e')} = top), 1)")
+    return sql_let(f"filter({elements}, e -> {sql_matches('e', rule)})", "es", pick)
+
+
+def element_text(dom: Column, element: Column) -> Column:
+    return row_sql(sql_element_text("v.dom", "v.e"), dom=dom, e=element)
+
+
+def best_element(elements: Column, rule: tuple[str, str, str]) -> Column:
+    return row_sql(sql_let(sql_rules([rule]) + "[0]", "r", sql_best_element("v.es", "r")), es=elements)

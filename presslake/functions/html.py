@@ -1,12 +1,14 @@
-"""HTML text extraction as column expressions over one page per row: no explode, no shuffle, no DOM."""
+"""HTML text extraction over one page per row: no explode, no shuffle, no DOM.
+
+The sql_ functions give SQL text over an SQL operand; the functions of the same name take and give columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from presslake.functions.binding import let
-from presslake.functions.text import blank_to_null, clean_text, decode_entities
+from presslake.functions.binding import row_sql, sql_let
+from presslake.functions.text import sql_clean_text, sql_decode_entities
 
 # A strategy's text must reach this length.
 MIN_CONTENT_CHARS = 100
@@ -22,156 +24,138 @@ BLOCK_TAGS = [
 MAX_LINK_DENSITY = 0.333333
 MAX_PREV_LINK_DENSITY = 0.555556
 
-_OPEN, _CLOSE = "\x01", "\x02"
-
 
-def drop_nontext(html: Column) -> Column:
+def sql_drop_nontext(x: str) -> str:
     """Remove comments, scripts and styles; each leaves a text boundary."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "\n")
-    out = F.regexp_replace(out, r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", "\n")
-    return F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)", "\n")
+    x = rf"regexp_replace({x}, r'(?s)<!--.*?(?:-->|\z)', '\n')"
+    x = rf"regexp_replace({x}, r'(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)', '\n')"
+    return rf"regexp_replace({x}, r'(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)', '\n')"
 
 
-def visible_text(html: Column) -> Column:
+def sql_visible_text(x: str) -> str:
     """Text nodes of script-free HTML, one per line, stripped, blanks dropped."""
-    return clean_text(decode_entities(F.regexp_replace(html, "<[^>]+>", "\n")))
+    return sql_clean_text(sql_decode_entities(rf"regexp_replace({x}, '<[^>]+>', '\n')"))
 
 
-def _body_fragment(stripped: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(stripped, r"(?is)\A.*?<body\b[^>]*>", ""), r"(?is)</body\s*>.*\z", "")
+def sql_body_fragment(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, r'(?is)\A.*?<body\b[^>]*>', ''), r'(?is)</body\s*>.*\z', '')"
 
 
-def body_text(html: Column) -> Column:
-    """Whole visible body; a page without a body tag is all body."""
-    return visible_text(_body_fragment(drop_nontext(html)))
+def sql_article_fragment(x: str) -> str:
+    """Inner HTML of the first article element, '' when there is none."""
+    return rf"regexp_extract({x}, r'(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)', 1)"
 
 
-def _split_blocks(stripped: Column) -> Column:
-    """Pieces of script-free HTML cut at block tags, each starting with its tag name (first one with none)."""
-    lines = F.regexp_replace(stripped, r"(?i)<br\b[^>]*>", "\n")
-    marked = F.regexp_replace(lines, rf"(?i)<(/?(?:{'|'.join(BLOCK_TAGS)}))\b[^>]*>", f"{_OPEN}$1{_CLOSE}")
-    return F.split(marked, _OPEN, -1)
+def drop_nontext(html: Column) -> Column:
+    return row_sql(sql_drop_nontext("v.h"), h=html)
 
 
-def _piece_tag(piece: Column) -> Column:
-    return F.when(piece.contains(_CLOSE), F.lower(F.substring_index(piece, _CLOSE, 1))).otherwise(F.lit(""))
+def visible_text(html: Column) -> Column:
+    return row_sql(sql_visible_text("v.h"), h=html)
 
 
-def _piece_html(piece: Column) -> Column:
-    return F.substring_index(piece, _CLOSE, -1)
+def body_text(html: Column) -> Column:
+    """Whole visible body; a page without a body tag is all body."""
+    return row_sql(sql_visible_text(sql_body_fragment(sql_drop_nontext("v.h"))), h=html)
 
 
-def word_count(text: Column) -> Column:
-    """Space-separated words, plus one per two ideographs for scripts written without spaces."""
-    spaced = F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"[ \n]+")))
-    ideographs = F.regexp_count(text, F.lit(r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"))
-    ascii_only = F.octet_length(text) == F.length(text)
-    return spaced + F.when(ascii_only, F.lit(0)).otherwise(F.floor(ideographs / 2).cast("int"))
+def _sql_pieces(x: str) -> str:
+    """Pieces of script-free HTML cut at block tags: the tag name, a marker, what follows (the first has no name)."""
+    lines = rf"regexp_replace({x}, r'(?i)<br\b[^>]*>', '\n')"
+    tags = "|".join(BLOCK_TAGS)
+    marked = rf"regexp_replace({lines}, r'(?i)<(/?(?:{tags}))\b[^>]*>', '\u0001$1\u0002')"
+    return rf"split({marked}, '\u0001', -1)"
 
 
-def html_blocks(html: Column) -> Column:
-    """ARRAY<STRUCT<tag, text, words, link_words>> of the non-empty text blocks in document order."""
+_PIECE_TAG = r"CASE WHEN contains(p, '\u0002') THEN lower(substring_index(p, '\u0002', 1)) ELSE '' END"
+_PIECE_HTML = r"substring_index(p, '\u0002', -1)"
+
 
-    def cut(piece: Column) -> Column:
-        body = _piece_html(piece)
-        links = F.regexp_extract_all(body, F.lit(r"(?is)<a\b[^>]*>(.*?)(?:</a\s*>|\z)"), F.lit(1))
-        return F.struct(
-            _piece_tag(piece).alias("tag"),
-            visible_text(body).alias("text"),
-            visible_text(F.array_join(links, " ")).alias("link_text"),
-        )
-
-    def count(b: Column) -> Column:
-        return F.struct(
-            b["tag"].alias("tag"),
-            b["text"].alias("text"),
-            word_count(b["text"]).alias("words"),
-            word_count(b["link_text"]).alias("link_words"),
-        )
-
-    pieces = F.transform(_split_blocks(drop_nontext(html)), cut)
-    return F.transform(F.filter(pieces, lambda b: b["text"] != ""), count)
-
-
-def is_content_block(words: Column, density: Column, prev_words: Column, prev_density: Column, next_words: Column):
-    """Decision tree over a block and its neighbours."""
-    after_text = (words > 16) | (next_words > 15) | (prev_words > 4)
-    after_links = (words > 40) | (next_words > 17)
-    return (density <= MAX_LINK_DENSITY) & F.when(prev_density <= MAX_PREV_LINK_DENSITY, after_text).otherwise(
-        after_links
+def _sql_word_count(x: str) -> str:
+    """Space-separated words, plus one per two ideographs for scripts written without spaces."""
+    ideographs = rf"regexp_count({x}, r'[\x{{3040}}-\x{{30ff}}\x{{4e00}}-\x{{9fff}}]') div 2"
+    return (
+        f"CASE WHEN {x} = '' THEN 0 ELSE size(split({x}, r'[ \\n]+')) END "
+        f"+ CASE WHEN octet_length({x}) = length({x}) THEN 0 ELSE CAST({ideographs} AS INT) END"
     )
 
 
-def _long_enough(text: Column) -> Column:
-    return let(text, lambda t: F.when(F.length(t) >= MIN_CONTENT_CHARS, t))
+def sql_html_blocks(x: str) -> str:
+    links = rf"array_join(regexp_extract_all({_PIECE_HTML}, r'(?is)<a\b[^>]*>(.*?)(?:</a\s*>|\z)', 1), ' ')"
+    cut = (
+        f"p -> named_struct('tag', {_PIECE_TAG}, 'text', {sql_visible_text(_PIECE_HTML)}, "
+        f"'link_text', {sql_visible_text(links)})"
+    )
+    count = (
+        f"b -> named_struct('tag', b.tag, 'text', b.text, 'words', {_sql_word_count('b.text')}, "
+        f"'link_words', {_sql_word_count('b.link_text')})"
+    )
+    return f"transform(filter(transform({_sql_pieces(sql_drop_nontext(x))}, {cut}), b -> b.text <> ''), {count})"
 
 
-def main_text_density_from_blocks(blocks: Column) -> Column:
-    """Text of the content blocks, NULL when under 100 characters."""
+def html_blocks(html: Column) -> Column:
+    """ARRAY<STRUCT<tag, text, words, link_words>> of the non-empty text blocks in document order."""
+    return row_sql(sql_html_blocks("v.h"), h=html)
 
-    def chosen(bound: Column) -> Column:
-        def at(i: Column, field: str) -> Column:
-            # get() is zero-based and gives NULL outside the array; a missing neighbour has no words and no links.
-            return F.coalesce(F.get(bound, i)[field], F.lit(0))
 
-        def density(i: Column) -> Column:
-            words = at(i, "words")
-            return F.when(words > 0, at(i, "link_words") / words).otherwise(F.lit(0.0))
+def _sql_long_enough(x: str) -> str:
+    return sql_let(x, "t", f"CASE WHEN length(t) >= {MIN_CONTENT_CHARS} THEN t END")
 
-        def keep(_: Column, i: Column) -> Column:
-            return is_content_block(at(i, "words"), density(i), at(i - 1, "words"), density(i - 1), at(i + 1, "words"))
 
-        return F.array_join(F.transform(F.filter(bound, keep), lambda b: b["text"]), "\n")
+def _sql_content_blocks(blocks: str) -> str:
+    """Blocks the decision tree over a block and its neighbours keeps; a missing neighbour has no words, no links."""
 
-    return _long_enough(let(blocks, chosen))
+    def words(i: str) -> str:
+        return f"coalesce(get({blocks}, {i}).words, 0)"
 
+    def density(i: str) -> str:
+        return f"CASE WHEN {words(i)} > 0 THEN get({blocks}, {i}).link_words / {words(i)} ELSE 0 END"
 
-def main_text_density(html: Column) -> Column:
-    return main_text_density_from_blocks(html_blocks(html))
+    return (
+        f"filter({blocks}, (b, i) -> {density('i')} <= {MAX_LINK_DENSITY} AND CASE "
+        f"WHEN {density('i - 1')} <= {MAX_PREV_LINK_DENSITY} "
+        f"THEN b.words > 16 OR {words('i + 1')} > 15 OR {words('i - 1')} > 4 "
+        f"ELSE b.words > 40 OR {words('i + 1')} > 17 END)"
+    )
 
 
-def article_fragment(stripped: Column) -> Column:
-    """Inner HTML of the first article element, NULL when there is none."""
-    return blank_to_null(F.regexp_extract(stripped, r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)", 1))
+def main_text_density(html: Column) -> Column:
+    """Text of the content blocks, NULL when under 100 characters."""
+    joined = f"array_join(transform({_sql_content_blocks('bs')}, b -> b.text), '\\n')"
+    return row_sql(_sql_long_enough(sql_let(sql_html_blocks("v.h"), "bs", joined)), h=html)
 
 
 def main_text_paragraphs(html: Column) -> Column:
     """Paragraphs of the article element (else the body), one per line, NULL when under 100 characters."""
-
-    def paragraphs(stripped: Column) -> Column:
-        pieces = _split_blocks(F.coalesce(article_fragment(stripped), _body_fragment(stripped)))
-        texts = F.transform(F.filter(pieces, lambda p: _piece_tag(p) == "p"), inline_text)
-        return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
-
-    def inline_text(piece: Column) -> Column:
-        return clean_text(decode_entities(F.regexp_replace(_piece_html(piece), "<[^>]+>", "")))
-
-    return _long_enough(let(drop_nontext(html), paragraphs))
+    fragment = f"coalesce(nullif({sql_article_fragment('h')}, ''), {sql_body_fragment('h')})"
+    inline = sql_clean_text(sql_decode_entities(f"regexp_replace({_PIECE_HTML}, '<[^>]+>', '')"))
+    texts = f"transform(filter({_sql_pieces(fragment)}, p -> {_PIECE_TAG} = 'p'), p -> {inline})"
+    joined = f"array_join(filter({texts}, t -> t <> ''), '\\n')"
+    return row_sql(_sql_long_enough(sql_let(sql_drop_nontext("v.h"), "h", joined)), h=html)
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute inside one tag's text, entities decoded; NULL when absent or empty."""
-    lead = rf"""(?is)[\s"'/]{name}\s*=\s*"""
-    double = blank_to_null(F.regexp_extract(tag, lead + r'"([^"]*)"', 1))
-    single = blank_to_null(F.regexp_extract(tag, lead + r"'([^']*)'", 1))
-    bare = blank_to_null(F.regexp_extract(tag, lead + r"""([^\s"'>]+)""", 1))
-    return decode_entities(F.coalesce(double, single, bare))
-
-
-def _meta_content(metas: Column, pattern: str) -> Column:
-    return attribute(F.try_element_at(F.filter(metas, lambda m: m.rlike(pattern)), F.lit(1)), "content")
+def sql_attribute(tag: str, name: str) -> str:
+    """Raw value of an attribute inside one tag's text; NULL when absent or empty."""
+    lead = rf"(?is)[\s\x22\x27/]{name}\s*=\s*"
+    quoted = rf"(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
+    # Only one group takes part in a match, so their concatenation is the value.
+    groups = f"regexp_replace(regexp_extract({tag}, r'{lead}{quoted}', 0), r'^{lead}{quoted}$', '$1$2$3')"
+    return f"nullif({groups}, '')"
 
 
 def page_metadata(html: Column) -> Column:
     """STRUCT<title, published_text, author>: title defaults to 'Unknown', the others to NULL."""
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    title = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    time = F.regexp_extract(html, r"(?is)<time\b[^>]*>", 0)
-    return F.struct(
-        F.coalesce(blank_to_null(clean_text(decode_entities(title))), F.lit("Unknown")).alias("title"),
-        F.coalesce(
-            _meta_content(metas, r"""(?i)property\s*=\s*["']?article:published_time"""),
-            attribute(time, "datetime"),
-        ).alias("published_text"),
-        _meta_content(metas, r"""(?i)[\s"']name\s*=\s*["']?author["'\s/>]""").alias("author"),
+
+    def meta(pattern: str) -> str:
+        return sql_attribute(f"try_element_at(filter(ms, m -> rlike(m, r'{pattern}')), 1)", "content")
+
+    title = sql_clean_text(sql_decode_entities(r"regexp_extract(v.h, r'(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"))
+    published = meta(r"(?i)property\s*=\s*[\x22\x27]?article:published_time")
+    time = sql_attribute(r"regexp_extract(v.h, r'(?is)<time\b[^>]*>', 0)", "datetime")
+    author = meta(r"(?i)[\s\x22\x27]name\s*=\s*[\x22\x27]?author[\x22\x27\s/>]")
+    found = (
+        f"named_struct('title', coalesce(nullif({title}, ''), 'Unknown'), "
+        f"'published_text', {sql_decode_entities(f'coalesce({published}, {time})')}, "
+        f"'author', {sql_decode_entities(author)})"
     )
+    return row_sql(sql_let(r"regexp_extract_all(v.h, r'(?is)<meta\b[^>]*>', 0)", "ms", found), h=html)

@@ -1,15 +1,17 @@
-"""Image choice as column expressions over a page's image attributes."""
+"""Image choice over a page's image attributes, one page per row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from presslake.functions.binding import let, with_computed
-from presslake.functions.dom import IMAGE_SELECTORS, matches, page_elements, rules_column
-from presslake.functions.html import attribute, drop_nontext
-from presslake.functions.text import blank_to_null
-from presslake.functions.urls import absolute_url
+from presslake.functions.binding import row_sql, sql_let, with_computed
+from presslake.functions.dom import IMAGE_SELECTORS, page_elements, sql_matches, sql_rules
+from presslake.functions.html import sql_article_fragment, sql_attribute, sql_drop_nontext
+from presslake.functions.text import sql_decode_entities
+from presslake.functions.urls import sql_absolute_url
 
 # Lazy-loading attributes in order of preference.
 LAZY_ATTRIBUTES = ["data-src", "data-lazy-src", "data-original"]
@@ -24,94 +26,81 @@ ENOUGH_IMAGES = 3
 
 IMAGE_ATTRIBUTES = [*LAZY_ATTRIBUTES, "src", "srcset", "width", "height"]
 _WORDS = "|".join(w.replace(".", r"\.") for w in TRACKER_WORDS + SKIP_WORDS)
+_HAS_IMAGE = r"(?i)<img\b"
 
 
-def image_src(attrs: dict[str, Column]) -> Column:
+def sql_image_src(attribute: Callable[[str], str]) -> str:
     """Lazy-load source, else a src that is no data URI, else the first srcset candidate."""
-    lazy = [blank_to_null(attrs[name]) for name in LAZY_ATTRIBUTES]
-    src = blank_to_null(attrs["src"])
-    first = F.try_element_at(F.split(F.trim(F.try_element_at(F.split(attrs["srcset"], ","), F.lit(1))), r"\s+"), F.lit(1))
-    return F.coalesce(*lazy, F.when(~src.startswith("data:"), src), blank_to_null(first))
+    lazy = ", ".join(f"nullif({attribute(name)}, '')" for name in LAZY_ATTRIBUTES)
+    src = sql_let(f"nullif({attribute('src')}, '')", "s", "CASE WHEN NOT startswith(s, 'data:') THEN s END")
+    first = rf"nullif(regexp_extract({attribute('srcset')}, r'^\s*([^\s,]*)', 1), '')"
+    return f"coalesce({lazy}, {src}, {first})"
 
 
-def image_valid(src: Column, width: Column, height: Column) -> Column:
+def sql_image_valid(src: str, width: str, height: str) -> str:
     """Absolute http source, no tracker or decoration word, not small; sizes count only when both are numbers."""
-    w = F.trim(width).try_cast("int")
-    h = F.trim(height).try_cast("int")
-    small = (w != 0) & (h != 0) & ((w < MIN_SIDE) | (h < MIN_SIDE))
-    wanted = src.startswith("http") & ~F.lower(src).rlike(_WORDS) & ~F.coalesce(small, F.lit(False))
-    return F.coalesce(wanted, F.lit(False))
-
+    w, h = f"try_cast(trim({width}) AS INT)", f"try_cast(trim({height}) AS INT)"
+    small = f"coalesce({w} <> 0 AND {h} <> 0 AND ({w} < {MIN_SIDE} OR {h} < {MIN_SIDE}), false)"
+    return f"coalesce(startswith({src}, 'http') AND NOT rlike(lower({src}), r'{_WORDS}') AND NOT {small}, false)"
 
-def _accepted(url: Column, images: Column) -> Column:
-    """Absolute URLs of the valid images of ARRAY<STRUCT<src, width, height>>, order kept."""
-    valid = F.filter(images, lambda i: image_valid(i["src"], i["width"], i["height"]))
-    return F.transform(valid, lambda i: absolute_url(url, i["src"]))
 
-
-def _fields(lookup) -> Column:
-    attrs = {name: lookup(name) for name in IMAGE_ATTRIBUTES}
-    return F.struct(image_src(attrs).alias("src"), attrs["width"].alias("width"), attrs["height"].alias("height"))
+def image_src(attrs: dict[str, Column]) -> Column:
+    packed = F.struct(*[attrs[name].alias(name) for name in IMAGE_ATTRIBUTES])
+    return row_sql(sql_image_src(lambda name: f"v.a.`{name}`"), a=packed)
 
 
-def _tag_images(fragment: Column) -> Column:
-    tags = F.regexp_extract_all(fragment, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
-    return F.transform(tags, lambda tag: _fields(lambda name: attribute(tag, name)))
+def image_valid(src: Column, width: Column, height: Column) -> Column:
+    return row_sql(sql_image_valid("v.src", "v.w", "v.h"), src=src, w=width, h=height)
 
 
-def _element_images(elements: Column) -> Column:
-    return F.transform(elements, lambda e: _fields(lambda name: F.try_element_at(e["attrs"], F.lit(name))))
+def _sql_accepted(url: str, attribute: Callable[[str], str]) -> str:
+    """Absolute URL of one image when it is valid, else NULL."""
+    resolved = sql_let(sql_decode_entities("s"), "d", sql_absolute_url(url, "d"))
+    valid = sql_image_valid("s", attribute("width"), attribute("height"))
+    return sql_let(sql_image_src(attribute), "s", f"CASE WHEN {valid} THEN {resolved} END")
 
 
 def quick_images(url: Column, html: Column) -> Column:
     """First-article images of a page that has exactly one article element, read without a DOM."""
-
-    def read(stripped: Column) -> Column:
-        inner = F.regexp_extract(stripped, r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)", 1)
-        single = F.regexp_count(stripped, F.lit(r"(?i)<article\b")) == 1
-        return F.when(single, F.array_distinct(_accepted(url, _tag_images(inner))))
-
-    return let(F.when(html.rlike(r"(?i)<img\b"), drop_nontext(html)), read)
+    tags = rf"regexp_extract_all({sql_article_fragment('h')}, r'(?is)<img\b[^>]*>', 0)"
+    urls = f"transform({tags}, g -> {_sql_accepted('v.url', lambda name: sql_attribute('g', name))})"
+    found = f"array_distinct(filter({urls}, u -> u IS NOT NULL))"
+    single = rf"CASE WHEN regexp_count(h, r'(?i)<article\b') = 1 THEN {found} END"
+    return row_sql(sql_let(sql_drop_nontext("v.html"), "h", single), url=url, html=F.when(html.rlike(_HAS_IMAGE), html))
 
 
 def needs_elements(html: Column, quick: Column) -> Column:
     """The page has images and the quick path did not settle the matter."""
-    return F.coalesce(html.rlike(r"(?i)<img\b") & (F.size(F.coalesce(quick, F.array())) < ENOUGH_IMAGES), F.lit(False))
+    known = F.size(F.coalesce(quick, F.array()))
+    return F.coalesce(html.rlike(_HAS_IMAGE) & (known < ENOUGH_IMAGES), F.lit(False))
 
 
 def staged_images(url: Column, dom: Column) -> Column:
     """Three stages over the element table; a later stage runs only while fewer than 3 distinct images are known."""
-    elements = dom["elements"]
-
-    def inside(images: Column, containers: Column) -> Column:
-        return F.filter(
-            images, lambda i: F.exists(containers, lambda c: (c["start"] < i["start"]) & (i["start"] < c["stop"]))
-        )
-
-    def accepted(found: Column) -> Column:
-        return _accepted(url, _element_images(found))
 
-    def first(condition) -> Column:
-        return F.slice(F.filter(elements, condition), 1, 1)
-
-    def of_selectors(images: Column) -> Column:
-        rules = rules_column(IMAGE_SELECTORS)
-        return F.flatten(F.transform(rules, lambda r: inside(images, F.filter(elements, lambda e: matches(e, r)))))
-
-    def add(known: Column, more: Column) -> Column:
-        return let(
-            known,
-            lambda k: F.when(F.size(k) < ENOUGH_IMAGES, F.array_distinct(F.concat(k, more))).otherwise(k),
-        )
+    def inside(containers: str) -> str:
+        hit = f"exists(cs, c -> c.start < i.start AND i.start < c.stop)"
+        picked = f"transform(filter(imgs, i -> {hit}), i -> i.url)"
+        return sql_let(containers, "cs", f"CASE WHEN size(cs) > 0 THEN {picked} ELSE array() END")
 
-    def stages(images: Column) -> Column:
-        article = accepted(inside(images, first(lambda e: e["tag"] == "article")))
-        readable = accepted(
-            inside(images, first(lambda e: (e["tag"] == "div") & (e["attrs"]["id"] == "readability-content")))
+    def add(known: str, more: str) -> str:
+        return sql_let(
+            known, "k", f"CASE WHEN size(k) < {ENOUGH_IMAGES} THEN array_distinct(concat(k, {more})) ELSE k END"
         )
-        return add(add(F.array_distinct(article), readable), accepted(of_selectors(images)))
 
-    return let(F.filter(elements, lambda e: e["tag"] == "img"), stages)
+    article = inside("slice(filter(boxes, e -> e.tag = 'article'), 1, 1)")
+    readable = inside("slice(filter(boxes, e -> e.tag = 'div' AND try_element_at(e.attrs, 'id') = 'readability-content'), 1, 1)")
+    selected = f"flatten(transform({sql_rules(IMAGE_SELECTORS)}, r -> {inside('filter(boxes, e -> ' + sql_matches('e', 'r') + ')')}))"
+    stages = add(add(f"array_distinct({article})", readable), selected)
+
+    accepted = _sql_accepted("v.url", lambda name: f"try_element_at(e.attrs, '{name}')")
+    images = f"transform(filter(v.elements, e -> e.tag = 'img'), e -> named_struct('start', e.start, 'url', {accepted}))"
+    usable = f"filter({images}, i -> i.url IS NOT NULL)"
+    return row_sql(
+        sql_let(usable, "imgs", sql_let("filter(v.elements, e -> e.tag <> 'img')", "boxes", stages)),
+        url=url,
+        elements=dom["elements"],
+    )
 
 
 def collect_images(df, url: str, html: str, out: str = "images"):

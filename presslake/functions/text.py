@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from presslake.functions.binding import let
+from presslake.functions.binding import row_sql, sql_let
 
 # The characters str.strip() removes.
 SPACE_CHARS = (
@@ -45,15 +45,20 @@ def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def trim_space(text: Column) -> Column:
+def sql_trim_space(x: str) -> str:
     """Strip Unicode whitespace from both ends. Works inward from the ends, so long inner runs cost nothing."""
-    return F.btrim(text, F.lit(SPACE_CHARS))
+    spelled = "".join(f"\\u{ord(c):04x}" for c in SPACE_CHARS)
+    return f"btrim({x}, '{spelled}')"
+
+
+def sql_clean_text(x: str) -> str:
+    lines = f"filter(transform(split({x}, '\\n', -1), s -> {sql_trim_space('s')}), s -> s <> '')"
+    return f"coalesce(array_join({lines}, '\\n'), '')"
 
 
 def clean_text(text: Column) -> Column:
     """Strip every line and drop the blank ones; NULL gives ''."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), trim_space), lambda line: line != "")
-    return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
+    return row_sql(sql_clean_text("v.t"), t=text)
 
 
 def strip_html_tags(text: Column) -> Column:
@@ -76,39 +81,49 @@ def content_valid(text: Column) -> Column:
     )
 
 
-def _code_point(number: Column) -> Column:
+def _sql_code_point(n: str) -> str:
     """Character of a Unicode code point, NULL outside the valid range."""
-    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    return (
+        f"CASE WHEN {n} BETWEEN 1 AND 55295 OR {n} BETWEEN 57344 AND 1114111 "
+        f"THEN decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32') END"
+    )
+
+
+def sql_text_map(pairs: dict[str, str]) -> str:
+    """A map literal of short texts, written with escapes only."""
+
+    def spell(text: str) -> str:
+        return "".join(f"\\u{ord(c):04x}" for c in text)
+
+    listing = "\\u0002".join(f"{spell(k)}\\u0001{spell(v)}" for k, v in pairs.items())
+    return f"str_to_map('{listing}', '\\u0002', '\\u0001')"
+
+
+def _sql_decode(x: str) -> str:
+    table = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    char = f"""CASE WHEN rlike(n, r'^#[0-9]{{1,7}}$') THEN {_sql_code_point("try_cast(substring(n, 2) AS BIGINT)")}
+        WHEN rlike(n, r'^#[xX][0-9a-fA-F]{{1,6}}$')
+          THEN {_sql_code_point("try_cast(conv(substring(n, 3), 16, 10) AS BIGINT)")}
+        WHEN n <> '' THEN try_element_at({sql_text_map(table)}, n) END"""
+    spelled = sql_let(
+        r"regexp_extract(p, r'^(#?[0-9A-Za-z]{1,31});', 1)",
+        "n",
+        f"coalesce({char} || substring(p, length(n) + 2), '&' || p)",
+    )
+    pieces = f"transform(split(t, '&', -1), (p, i) -> CASE WHEN i = 0 THEN p ELSE {spelled} END)"
+    return sql_let(x, "t", f"CASE WHEN contains(t, '&') THEN array_join({pieces}, '') ELSE t END")
+
+
+_DECODE_BODY = _sql_decode("@text@")
+
+
+def sql_decode_entities(x: str) -> str:
+    return _DECODE_BODY.replace("@text@", x)
 
 
 def decode_entities(text: Column) -> Column:
     """One pass over ';'-terminated named (HTML 4) and numeric references; unknown ones stay as they are."""
-    table = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-    listing = "\x02".join(f"{name}\x01{char}" for name, char in table.items())
-    names = F.str_to_map(F.lit(listing), F.lit("\x02"), F.lit("\x01"))
-
-    def decode(piece: Column, i: Column) -> Column:
-        return F.when(i == 0, piece).otherwise(
-            let(F.regexp_extract(piece, r"^(#?[0-9A-Za-z]{1,31});", 1), lambda ref: spelled(piece, ref))
-        )
-
-    def spelled(piece: Column, ref: Column) -> Column:
-        char = (
-            F.when(ref.rlike(r"^#[0-9]{1,7}$"), _code_point(F.substring(ref, 2, 7).try_cast("bigint")))
-            .when(
-                ref.rlike(r"^#[xX][0-9a-fA-F]{1,6}$"),
-                _code_point(F.conv(F.substring(ref, 3, 6), 16, 10).try_cast("bigint")),
-            )
-            .when(ref != "", F.try_element_at(names, ref))
-        )
-        decoded = F.concat(char, F.substring(piece, F.length(ref) + F.lit(2), F.length(piece)))
-        return F.coalesce(decoded, F.concat(F.lit("&"), piece))
-
-    def spell(t: Column) -> Column:
-        return F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&", -1), decode), "")).otherwise(t)
-
-    return let(text, spell)
+    return row_sql(sql_decode_entities("v.t"), t=text)
 
 
 @F.pandas_udf(StringType())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presslake.functions.binding import row_sql, sql_let
 from presslake.functions.text import blank_to_null, html_unescape
 
 # Query parameters that only track the visitor.
@@ -45,46 +46,41 @@ def normalize_url(url: Column) -> Column:
     return F.when(kept == "", path).otherwise(F.concat(path, F.lit("?"), kept))
 
 
-def _remove_dots(path: Column) -> Column:
+def _sql_remove_dots(path: str) -> str:
     """Resolve '.' and '..' segments of an absolute path."""
-    parts = F.split(path, "/", -1)
-
-    def step(acc: Column, seg: Column) -> Column:
-        return (
-            F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
-            .when(seg == ".", acc)
-            .otherwise(F.concat(acc, F.array(seg)))
-        )
-
-    body = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
-    tail = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
-    joined = F.concat(F.array_join(body, "/"), tail)
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    step = (
+        "(acc, seg) -> CASE WHEN seg = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 1)) "
+        "WHEN seg = '.' THEN acc ELSE concat(acc, array(seg)) END"
+    )
+    body = f"aggregate(slice(split({path}, '/', -1), 2, length({path})), array(''), {step})"
+    tail = f"CASE WHEN rlike({path}, r'/\.\.?$') THEN '/' ELSE '' END"
+    return f"coalesce(nullif(concat(array_join({body}, '/'), {tail}), ''), '/')"
 
 
-def absolute_url(base: Column, ref: Column) -> Column:
+def sql_absolute_url(base: str, ref: str) -> str:
     """Resolve a reference against the URL of its page."""
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    base_path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    ref_path = F.regexp_extract(ref, "^([^?#]*)", 1)
-    ref_tail = F.regexp_extract(ref, "^[^?#]*(.*)$", 1)
-    rooted = F.when(ref_path.startswith("/"), ref_path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path)
+    scheme = f"regexp_extract({base}, r'^([A-Za-z][A-Za-z0-9+.-]*:)', 1)"
+    origin = f"regexp_extract({base}, r'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    folder = f"regexp_extract({base}, r'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^/?#]*/)*)', 1)"
+    ref_path = f"regexp_extract({ref}, '^([^?#]*)', 1)"
+    ref_tail = f"regexp_extract({ref}, '^[^?#]*(.*)$', 1)"
+    rooted = (
+        f"CASE WHEN startswith({ref}, '/') THEN {ref_path} ELSE coalesce(nullif({folder}, ''), '/') || {ref_path} END"
     )
-    has_dots = rooted.rlike(r"/\.\.?(/|$)")
-    resolved = F.when(has_dots, _remove_dots(rooted)).otherwise(rooted)
+    resolved = sql_let(rooted, "rp", f"CASE WHEN rlike(rp, r'/\.\.?(/|$)') THEN {_sql_remove_dots('rp')} ELSE rp END")
     return (
-        F.when(ref == "", base)
-        .when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-        .when(ref.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), ref))
-        .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
-        .otherwise(F.concat(origin, resolved, ref_tail))
+        f"CASE WHEN {ref} = '' THEN {base} WHEN rlike({ref}, r'^[A-Za-z][A-Za-z0-9+.-]*:') THEN {ref} "
+        f"WHEN startswith({ref}, '//') THEN {scheme} || {ref} "
+        f"WHEN startswith({ref}, '?') THEN regexp_replace({base}, '[?#].*$', '') || {ref} "
+        f"WHEN startswith({ref}, '#') THEN regexp_replace({base}, '#.*$', '') || {ref} "
+        f"ELSE {origin} || {resolved} || {ref_tail} END"
     )
 
 
+def absolute_url(base: Column, ref: Column) -> Column:
+    return row_sql(sql_absolute_url("v.base", "v.ref"), base=base, ref=ref)
+
+
 def _first_containing(values: Column, part: str) -> Column:
     return F.try_element_at(F.filter(values, lambda v: v.contains(part)), F.lit(1))
 

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.functions.binding import let, with_computed
-from presslake.functions.dom import CONTENT_SELECTORS, matches, page_elements, rules_column
+from presslake.functions.binding import let, row_sql, sql_let, with_computed
+from presslake.functions.dom import CONTENT_SELECTORS, page_elements, sql_best_element, sql_element_text, sql_rules
 from presslake.functions.html import MIN_CONTENT_CHARS, body_text, main_text_density, main_text_paragraphs
 from presslake.functions.images import collect_images
-from presslake.functions.text import blank_to_null, clean_text, content_valid, strip_html_tags
+from presslake.functions.text import blank_to_null, content_valid, sql_clean_text, strip_html_tags
 
 FALLBACK_METHOD = "description-fallback"
 FAILED_METHOD = "failed"
@@ -46,40 +46,18 @@ def method_name_column(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit("+"), F.lit("-"))
 
 
-def element_text(dom: Column, element: Column) -> Column:
-    """Visible text nodes of an element, one per line."""
-    span = F.slice(dom["tokens"], element["first_token"] + 1, element["n_tokens"])
-    return F.array_join(F.transform(F.filter(span, lambda t: ~t["hidden"]), lambda t: t["text"]), "\n")
-
-
-def best_element(elements: Column, rule: Column) -> Column:
-    """Matching element with the longest raw text, the first one on a tie; NULL when none matches."""
-
-    def key(e: Column) -> Column:
-        return F.struct(e["raw_len"].alias("raw_len"), (-e["start"]).alias("order"))
-
-    def pick(found: Column) -> Column:
-        top = F.array_max(F.transform(found, key))
-        return let(top, lambda t: F.try_element_at(F.filter(found, lambda e: key(e) == t), F.lit(1)))
-
-    return let(F.filter(elements, lambda e: matches(e, rule)), pick)
-
-
 def selected_text(dom: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
     """Text of the first selector whose best element reaches 100 characters, NULL when none does."""
     rules = CONTENT_SELECTORS if rules is None else rules
-
-    def text_of(rule: Column) -> Column:
-        return let(best_element(dom["elements"], rule), lambda e: element_text(dom, e))
-
-    texts = F.filter(F.transform(rules_column(rules), text_of), lambda t: F.length(t) >= MIN_CONTENT_CHARS)
-    return let(F.try_element_at(texts, F.lit(1)), lambda t: F.when(t.isNotNull(), clean_text(t)))
+    text_of = sql_let(sql_best_element("v.dom.elements", "r"), "best", sql_element_text("v.dom", "best"))
+    texts = f"filter(transform({sql_rules(rules)}, r -> {text_of}), t -> length(t) >= {MIN_CONTENT_CHARS})"
+    chosen = sql_let(f"try_element_at({texts}, 1)", "t", f"CASE WHEN t IS NOT NULL THEN {sql_clean_text('t')} END")
+    return row_sql(chosen, dom=dom)
 
 
 def main_text_selectors(html: Column, rules: list[tuple[str, str, str]] | None = None) -> Column:
     """Selector cascade with the whole body as last resort; NULL for a page that is NULL."""
-    selected = let(page_elements(html), lambda dom: selected_text(dom, rules))
-    return F.coalesce(selected, F.when(html.isNotNull(), body_text(html)))
+    return F.coalesce(selected_text(page_elements(html), rules), F.when(html.isNotNull(), body_text(html)))
 
 
 DEFAULT_STRATEGIES = [

@@ -7,9 +7,9 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.functions.binding import let, with_computed
+from presslake.functions.binding import row_sql, sql_let, with_computed
 from presslake.functions.dates import published_coalesce
-from presslake.functions.text import blank_to_null
+from presslake.functions.text import blank_to_null, sql_text_map
 from presslake.functions.urls import rewrite_aggregator_url
 from presslake.schemas import FEED_DOCUMENT
 
@@ -21,31 +21,18 @@ _XML_NAMES = ["amp", "lt", "gt", "quot", "apos"]
 def with_numeric_entities(doc: Column) -> Column:
     """Replace HTML-only entity names outside CDATA by numeric references so that an XML parser accepts them."""
     table = {name: f"&#{code};" for name, code in name2codepoint.items() if name not in _XML_NAMES}
-    listing = "\x02".join(f"{name}\x01{ref}" for name, ref in table.items())
-    names = F.str_to_map(F.lit(listing), F.lit("\x02"), F.lit("\x01"))
-
-    def spell(piece: Column, i: Column) -> Column:
-        name = F.regexp_extract(piece, r"^([A-Za-z][0-9A-Za-z]{1,30});", 1)
-        return F.when(i == 0, piece).otherwise(
-            let(
-                name,
-                lambda n: F.coalesce(
-                    F.concat(F.try_element_at(names, blank_to_null(n)), F.substring(piece, F.length(n) + F.lit(2), F.length(piece))),
-                    F.concat(F.lit("&"), piece),
-                ),
-            )
-        )
-
-    # Text inside CDATA is not markup; leave documents that use it as they are unless they use such names outside.
-    needs = F.regexp_replace(doc, r"(?s)<!\[CDATA\[.*?\]\]>", "").rlike(r"&(?!(?:amp|lt|gt|quot|apos);)[A-Za-z]")
-    sections = F.split(doc, r"(?s)(?=<!\[CDATA\[)|(?<=\]\]>)", -1)
-    fixed = F.transform(
-        sections,
-        lambda s: F.when(s.startswith("<![CDATA["), s).otherwise(
-            F.array_join(F.transform(F.split(s, "&", -1), spell), "")
-        ),
+    name = r"regexp_extract(p, r'^([A-Za-z][0-9A-Za-z]{1,30});', 1)"
+    known = f"try_element_at({sql_text_map(table)}, n) || substring(p, length(n) + 2)"
+    spelled = sql_let(name, "n", f"coalesce({known}, '&' || p)")
+    piece = f"(p, i) -> CASE WHEN i = 0 THEN p ELSE {spelled} END"
+    section = (
+        f"s -> CASE WHEN startswith(s, '<![CDATA[') THEN s ELSE array_join(transform(split(s, '&', -1), {piece}), '') END"
     )
-    return F.when(needs, F.array_join(fixed, "")).otherwise(doc)
+    # Text inside CDATA is not markup; documents without such names outside it stay as they are.
+    outside = r"regexp_replace(v.d, r'(?s)<!\[CDATA\[.*?\]\]>', '')"
+    needs = rf"rlike({outside}, r'&(?!(?:amp|lt|gt|quot|apos);)[A-Za-z]')"
+    sections = r"split(v.d, r'(?s)(?=<!\[CDATA\[)|(?<=\]\]>)', -1)"
+    return row_sql(f"CASE WHEN {needs} THEN array_join(transform({sections}, {section}), '') ELSE v.d END", d=doc)
 
 
 def parse_feed(doc: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presslake.functions import dom
 from presslake.functions import html as html_fn
 from presslake.functions.dates import parse_timestamp
-from presslake.functions.dom import page_elements
 from presslake.functions.images import collect_images
 from presslake.operators import blacklist as bl
 from presslake.operators import extraction as ex
@@ -86,10 +86,9 @@ def best_element(spark, sf_dir):
         lambda i: fx.text_of('<div class="a content">', F.repeat(F.lit("x "), ((p * 7 + i * 13) % 50).cast("int")), "n", i, "</div>"),
     )
     html = fx.text_of("<body><div>", F.array_join(parts, "<p>between"), "</div></body>")
-    rows = fx.table(spark, sf_dir, "pages").select("page_id", page_elements(html).alias("dom"))
-    rule = F.struct(F.lit("class").alias("kind"), F.lit("").alias("name"), F.lit("content").alias("value"))
-    best = rows.withColumn("e", ex.best_element(F.col("dom.elements"), rule))
-    return best.select("page_id", ex.element_text(F.col("dom"), F.col("e")).alias("best"))
+    rows = fx.table(spark, sf_dir, "pages").select("page_id", dom.page_elements(html).alias("dom"))
+    best = rows.withColumn("e", dom.best_element(F.col("dom.elements"), ("class", "", "content")))
+    return best.select("page_id", dom.element_text(F.col("dom"), F.col("e")).alias("best"))
 
 
 def _container_sql() -> str:
