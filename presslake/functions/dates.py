@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from presslake.functions.binding import let
+from presslake.functions.binding import row_sql, sql_let
 
 # Month abbreviations of the mail date format, in order.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -28,48 +28,46 @@ ZONE_OFFSETS = {
 _US_ZONE = r"(?i)[ecmp][sd]t$"
 
 
-def _fields(text: Column, pattern: str, n: int) -> Column:
-    """Groups of a matching text as an array, NULL when it does not match: one regex run for all groups."""
-    groups = "\x1f".join(f"${i}" for i in range(1, n + 1))
-    return F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, groups), "\x1f", -1))
+def _sql_offset(z: str) -> str:
+    """'+hh:mm' of a zone text, '' for none."""
+    names = ", ".join(f"'{name}', '{offset}'" for name, offset in ZONE_OFFSETS.items())
+    numeric = f"left({z}, 3) || ':' || right({z}, 2)"
+    return f"CASE WHEN {z} = '' THEN '' ELSE coalesce(try_element_at(map({names}), upper({z})), {numeric}) END"
 
 
-def _iso(text: Column) -> Column:
-    """STRUCT<local, offset> of ISO text: 'yyyy-MM-ddTHH:mm:ss[.ffffff]' and '', '+hh:mm'."""
+def _sql_iso(t: str) -> str:
+    """STRUCT<local TIMESTAMP_NTZ, offset> of text already known to be ISO."""
+    zone = rf"regexp_extract({t}, r'(?:Z|z|[+-]\d{{2}}:?\d{{2}})$', 0)"
+    local = f"try_cast(replace(rtrim(left({t}, length({t}) - length(z))), ',', '.') AS TIMESTAMP_NTZ)"
+    return sql_let(zone, "z", f"named_struct('local', {local}, 'offset', {_sql_offset('z')})")
 
-    def build(p: Column) -> Column:
-        seconds = F.when(p[2] == "", F.lit(":00")).otherwise(p[2])
-        micros = F.rpad(F.substring(p[3], 1, 6), 6, "0")
-        fraction = F.when((p[3] == "") | (micros == "000000"), F.lit("")).otherwise(F.concat(F.lit("."), micros))
-        clock = F.when(p[1] == "", F.lit("00:00:00")).otherwise(F.concat(p[1], seconds, fraction))
-        return _parts(F.concat(p[0], F.lit("T"), clock), p[4])
 
-    return let(_fields(text, _ISO, 5), build)
+def _sql_mail(t: str) -> str:
+    """The same for 'Tue, 14 Apr 2026 08:30:00 +0800' style text."""
+    fields = rf"split(regexp_replace({t}, r'{_MAIL}', '$1,$2,$3,$4,$5,$6,$7'), ',', -1)"
+    month = f"lpad((instr('{MONTHS}', lower(m[1])) + 2) div 3, 2, '0')"
+    day = f"m[2] || '-' || {month} || '-' || lpad(m[0], 2, '0')"
+    clock = "lpad(m[3], 2, '0') || ':' || m[4] || ':' || coalesce(nullif(m[5], ''), '00')"
+    local = f"try_cast({day} || ' ' || {clock} AS TIMESTAMP_NTZ)"
+    return sql_let(fields, "m", f"named_struct('local', {local}, 'offset', {_sql_offset('m[6]')})")
 
 
-def _mail(text: Column) -> Column:
-    """The same for 'Tue, 14 Apr 2026 08:30:00 +0800' style dates."""
+def _sql_parts(t: str) -> str:
+    """STRUCT<local, offset>, NULL for text in neither format; local is NULL for impossible dates."""
+    return f"CASE WHEN rlike({t}, r'{_ISO}') THEN {_sql_iso(t)} WHEN rlike({t}, r'{_MAIL}') THEN {_sql_mail(t)} END"
 
-    def build(p: Column) -> Column:
-        month = ((F.instr(F.lit(MONTHS), F.lower(p[1])) + 2) / 3).cast("int").cast("string")
-        second = F.when(p[5] == "", F.lit("00")).otherwise(p[5])
-        day = F.concat(p[2], F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(p[0], 2, "0"))
-        return _parts(F.concat(day, F.lit("T"), F.lpad(p[3], 2, "0"), F.lit(":"), p[4], F.lit(":"), second), p[6])
 
-    return let(_fields(text, _MAIL, 7), build)
+def _sql_iso_text(ntz: str) -> str:
+    text = f"replace(CAST({ntz} AS STRING), ' ', 'T')"
+    return sql_let(text, "s", "CASE WHEN contains(s, '.') THEN rpad(s, 26, '0') ELSE s END")
 
 
-def _parts(local: Column, offset: Column) -> Column:
-    real = local.try_cast("timestamp_ntz").isNotNull()
-    return F.when(real, F.struct(local.alias("local"), _offset_text(offset).alias("offset")))
-
-
-def _offset_text(offset: Column) -> Column:
-    """'+hh:mm' form, '' when the input named no zone."""
-    out = F.when(offset == "", F.lit(""))
-    for name, value in ZONE_OFFSETS.items():
-        out = out.when(F.upper(offset) == name, F.lit(value))
-    return out.otherwise(F.concat(F.substring(offset, 1, 3), F.lit(":"), F.substring(offset, -2, 2)))
+def sql_iso_to_utc(t: str) -> str:
+    """TIMESTAMP_NTZ in UTC of date text; text without a zone is taken as UTC."""
+    sign = "CASE WHEN startswith(d.offset, '-') THEN -1 ELSE 1 END"
+    hours, minutes = (f"{sign} * CAST(substring(d.offset, {at}, 2) AS INT)" for at in (2, 5))
+    shifted = f"CASE WHEN d.offset = '' THEN d.local ELSE d.local - make_dt_interval(0, {hours}, {minutes}) END"
+    return sql_let(_sql_parts(t), "d", shifted)
 
 
 @F.pandas_udf(StringType())
@@ -93,23 +91,13 @@ def parse_timestamp(text: Column, free_form: bool = True) -> Column:
     ISO and mail dates are read natively. With free_form, other text goes through an Arrow helper (rest as NULL).
     """
     # Zone names other than UTC are left to the free-form reader, which drops them.
-    known = F.when(~text.rlike(_US_ZONE), F.coalesce(_iso(F.trim(text)), _mail(F.trim(text))))
-    native = let(known, lambda p: F.concat(p["local"], p["offset"]))
+    known = f"CASE WHEN NOT rlike(v.t, r'{_US_ZONE}') THEN {sql_let('trim(v.t)', 't', _sql_parts('t'))} END"
+    native = row_sql(sql_let(known, "d", f"{_sql_iso_text('d.local')} || d.offset"), t=text)
     if not free_form:
         return native
-    return F.coalesce(native, _free_form_batch(F.when(native.isNull() & (text != ""), text)))
-
-
-def iso_to_utc(text: Column) -> Column:
-    """TIMESTAMP_NTZ in UTC of an ISO text; text without an offset is taken as UTC."""
-
-    def build(p: Column) -> Column:
-        sign = F.when(p["offset"].startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-        hours, minutes = (F.substring(p["offset"], at, 2).try_cast("int") for at in (2, 5))
-        shift = F.make_dt_interval(F.lit(0), F.coalesce(sign * hours, F.lit(0)), F.coalesce(sign * minutes, F.lit(0)))
-        return p["local"].try_cast("timestamp_ntz") - shift
-
-    return let(F.coalesce(_iso(text), _mail(text)), build)
+    trimmed = F.trim(text)
+    other = text.rlike(_US_ZONE) | ~(trimmed.rlike(_ISO) | trimmed.rlike(_MAIL))
+    return F.coalesce(native, _free_form_batch(F.when((text != "") & other, text)))
 
 
 def ntz_to_iso(ts: Column) -> Column:
@@ -119,8 +107,13 @@ def ntz_to_iso(ts: Column) -> Column:
 
 def published_coalesce(*fields: Column) -> Column:
     """First field that is a date, as zone-less UTC ISO text cut to seconds."""
-    parsed = [iso_to_utc(F.trim(f)) for f in fields]
-    return F.substring(ntz_to_iso(F.coalesce(*parsed)), 1, 19)
+    names = {f"f{i}": field for i, field in enumerate(fields)}
+    return row_sql(sql_published([f"v.{name}" for name in names]), **names)
+
+
+def sql_published(fields: list[str]) -> str:
+    dates = ", ".join(sql_let(f"trim({field})", "t", sql_iso_to_utc("t")) for field in fields)
+    return f"left(replace(CAST(coalesce({dates}) AS STRING), ' ', 'T'), 19)"
 
 
 def _newer(ts: Column, last: Column, undecided: Column) -> Column:

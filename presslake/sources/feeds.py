@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presslake.functions.binding import row_sql, sql_let, with_computed
-from presslake.functions.dates import published_coalesce
+from presslake.functions.dates import sql_published
 from presslake.functions.text import blank_to_null, sql_text_map
 from presslake.functions.urls import rewrite_aggregator_url
 from presslake.schemas import FEED_DOCUMENT
@@ -40,43 +40,30 @@ def parse_feed(doc: Column) -> Column:
     return F.from_xml(with_numeric_entities(doc), FEED_DOCUMENT, _XML_OPTIONS)
 
 
-def _link(links: Column) -> Column:
+def _sql_link() -> str:
     """Element text, else the href of a link without rel or with rel=alternate."""
-    texts = F.filter(F.transform(links, lambda x: blank_to_null(F.trim(x["_VALUE"]))), lambda x: x.isNotNull())
-    hrefs = F.filter(
-        links, lambda x: x["_href"].isNotNull() & (x["_rel"].isNull() | (x["_rel"] == "alternate"))
-    )
-    return F.coalesce(F.try_element_at(texts, F.lit(1)), F.try_element_at(hrefs, F.lit(1))["_href"])
-
+    texts = "filter(transform(r.link, x -> nullif(trim(x._VALUE), '')), x -> x IS NOT NULL)"
+    hrefs = "filter(r.link, x -> x._href IS NOT NULL AND (x._rel IS NULL OR x._rel = 'alternate'))"
+    return f"coalesce(try_element_at({texts}, 1), try_element_at({hrefs}, 1)._href)"
 
-def _entry(raw: Column, pos: Column) -> Column:
-    def first(values: Column) -> Column:
-        return F.try_element_at(F.filter(values, lambda v: v != ""), F.lit(1))
 
-    summary = F.coalesce(blank_to_null(raw["description"]), blank_to_null(raw["summary"]))
-    author = F.coalesce(
-        blank_to_null(raw["creator"]), blank_to_null(F.trim(raw["author"]["_VALUE"])), blank_to_null(raw["author"]["name"])
-    )
-    return F.struct(
-        pos.cast("bigint").alias("pos"),
-        raw["title"].alias("title"),
-        _link(raw["link"]).alias("link"),
-        published_coalesce(
-            F.coalesce(raw["pubDate"], raw["published"], raw["issued"]),
-            F.coalesce(raw["updated"], raw["modified"], raw["date"]),
-            raw["created"],
-        ).alias("published"),
-        author.alias("author"),
-        blank_to_null(raw["description"]).alias("description"),
-        summary.alias("summary"),
-        F.coalesce(first(raw["encoded"]), first(raw["content"])).alias("content"),
-    )
+def _sql_first(field: str) -> str:
+    return f"try_element_at(filter({field}, x -> x <> ''), 1)"
 
 
 def entries_array(parsed: Column) -> Column:
-    """ARRAY<STRUCT<pos, title, link, published, author, description, summary, content>> in document order."""
-    raw = F.coalesce(parsed["channel"]["item"], parsed["item"], parsed["entry"])
-    return F.transform(raw, _entry)
+    """ARRAY<STRUCT<pos, title, link, published, author, description, summary, content>> in document order.
+
+    Fields follow the usual roles: pubDate or published, then updated or dc:date, then created; dc:creator or author;
+    description or summary; content:encoded or content.
+    """
+    dates = ["coalesce(r.pubDate, r.published, r.issued)", "coalesce(r.updated, r.modified, r.date)", "r.created"]
+    author = "coalesce(nullif(r.creator, ''), nullif(trim(r.author._VALUE), ''), nullif(r.author.name, ''))"
+    entry = f"""(r, i) -> named_struct('pos', CAST(i AS BIGINT), 'title', r.title, 'link', {_sql_link()},
+        'published', {sql_published(dates)}, 'author', {author}, 'description', nullif(r.description, ''),
+        'summary', coalesce(nullif(r.description, ''), nullif(r.summary, '')),
+        'content', coalesce({_sql_first("r.encoded")}, {_sql_first("r.content")}))"""
+    return row_sql(f"transform(coalesce(v.f.channel.item, v.f.item, v.f.entry), {entry})", f=parsed)
 
 
 def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
