@@ -17,7 +17,7 @@ AGGREGATOR_RULES = [("weixin.sogou.com", "mp.weixin.qq.com")]
 
 # Optional scheme, '//', one optional 'www.', then a network location whose brackets match.
 _NETLOC = (
-    r"(?s)^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:www\.)?"
+    r"(?s)^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:www\.)?+"
     r"((?:[^/?#\[\]]++|\[[^/?#\[\]]*\])++)(?:[/?#].*)?$"
 )
 
@@ -53,7 +53,7 @@ def _sql_remove_dots(path: str) -> str:
         "WHEN seg = '.' THEN acc ELSE concat(acc, array(seg)) END"
     )
     body = f"aggregate(slice(split({path}, '/', -1), 2, length({path})), array(''), {step})"
-    tail = f"CASE WHEN rlike({path}, r'/\.\.?$') THEN '/' ELSE '' END"
+    tail = rf"CASE WHEN rlike({path}, r'/\.\.?$') THEN '/' ELSE '' END"
     return f"coalesce(nullif(concat(array_join({body}, '/'), {tail}), ''), '/')"
 
 
@@ -67,7 +67,7 @@ def sql_absolute_url(base: str, ref: str) -> str:
     rooted = (
         f"CASE WHEN startswith({ref}, '/') THEN {ref_path} ELSE coalesce(nullif({folder}, ''), '/') || {ref_path} END"
     )
-    resolved = sql_let(rooted, "rp", f"CASE WHEN rlike(rp, r'/\.\.?(/|$)') THEN {_sql_remove_dots('rp')} ELSE rp END")
+    resolved = sql_let(rooted, "rp", rf"CASE WHEN rlike(rp, r'/\.\.?(/|$)') THEN {_sql_remove_dots('rp')} ELSE rp END")
     return (
         f"CASE WHEN {ref} = '' THEN {base} WHEN rlike({ref}, r'^[A-Za-z][A-Za-z0-9+.-]*:') THEN {ref} "
         f"WHEN startswith({ref}, '//') THEN {scheme} || {ref} "
