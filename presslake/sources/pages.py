@@ -36,7 +36,10 @@ def page_join(articles: DataFrame, pages: DataFrame, url: str = "link") -> DataF
 
 
 def latest_pages(crawl: DataFrame, order: str = "fetched_at") -> DataFrame:
-    """One row per URL, the newest fetch. Keys are reduced first; HTML is joined back only for the winners."""
+    """One row per URL, the newest fetch; order is a column whose values are distinct within a URL.
+
+    Keys are reduced first and HTML is joined back only for the winners.
+    """
     newest = crawl.groupBy("url").agg(F.max(order).alias(order))
     return crawl.join(newest, ["url", order], "left_semi")
 
