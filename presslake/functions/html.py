@@ -34,7 +34,7 @@ def sql_drop_nontext(x: str) -> str:
 
 def sql_visible_text(x: str) -> str:
     """Text nodes of script-free HTML, one per line, stripped, blanks dropped."""
-    return sql_clean_text(sql_decode_entities(rf"regexp_replace({x}, '<[^>]+>', '\n')"))
+    return sql_clean_text(sql_decode_entities(rf"regexp_replace({x}, '<[^>]+>', '\n')", loose=True))
 
 
 def sql_body_fragment(x: str) -> str:
@@ -128,7 +128,7 @@ def main_text_density(html: Column) -> Column:
 def main_text_paragraphs(html: Column) -> Column:
     """Paragraphs of the article element (else the body), one per line, NULL when under 100 characters."""
     fragment = f"coalesce(nullif({sql_article_fragment('h')}, ''), {sql_body_fragment('h')})"
-    inline = sql_clean_text(sql_decode_entities(f"regexp_replace({_PIECE_HTML}, '<[^>]+>', '')"))
+    inline = sql_clean_text(sql_decode_entities(f"regexp_replace({_PIECE_HTML}, '<[^>]+>', '')", loose=True))
     texts = f"transform(filter({_sql_pieces(fragment)}, p -> {_PIECE_TAG} = 'p'), p -> {inline})"
     joined = f"array_join(filter({texts}, t -> t <> ''), '\\n')"
     return row_sql(_sql_long_enough(sql_let(sql_drop_nontext("v.h"), "h", joined)), h=html)
@@ -149,7 +149,7 @@ def page_metadata(html: Column) -> Column:
     def meta(pattern: str) -> str:
         return sql_attribute(f"try_element_at(filter(ms, m -> rlike(m, r'{pattern}')), 1)", "content")
 
-    title = sql_clean_text(sql_decode_entities(r"regexp_extract(v.h, r'(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"))
+    title = sql_clean_text(sql_decode_entities(r"regexp_extract(v.h, r'(?is)<title\b[^>]*>(.*?)</title\s*>', 1)", loose=True))
     published = meta(r"(?i)property\s*=\s*[\x22\x27]?article:published_time")
     time = sql_attribute(r"regexp_extract(v.h, r'(?is)<time\b[^>]*>', 0)", "datetime")
     author = meta(r"(?i)[\s\x22\x27]name\s*=\s*[\x22\x27]?author[\x22\x27\s/>]")

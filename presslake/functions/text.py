@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -99,31 +99,43 @@ def sql_text_map(pairs: dict[str, str]) -> str:
     return f"str_to_map('{listing}', '\\u0002', '\\u0001')"
 
 
-def _sql_decode(x: str) -> str:
-    table = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-    char = f"""CASE WHEN rlike(n, r'^#[0-9]{{1,7}}$') THEN {_sql_code_point("try_cast(substring(n, 2) AS BIGINT)")}
-        WHEN rlike(n, r'^#[xX][0-9a-fA-F]{{1,6}}$')
+def _sql_decode(x: str, loose: bool) -> str:
+    """Decode references in one pass over the pieces between '&' signs.
+
+    loose also takes what HTML text allows without ';': numbers, and the names the HTML standard lists so.
+    """
+    bare = {name: char for name, char in html5.items() if not name.endswith(";")}
+    table = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"} | bare
+    char = f"""CASE WHEN startswith(n, '#x') OR startswith(n, '#X')
           THEN {_sql_code_point("try_cast(conv(substring(n, 3), 16, 10) AS BIGINT)")}
+        WHEN startswith(n, '#') THEN {_sql_code_point("try_cast(substring(n, 2) AS BIGINT)")}
         WHEN n <> '' THEN try_element_at({sql_text_map(table)}, n) END"""
-    spelled = sql_let(
-        r"regexp_extract(p, r'^(#?[0-9A-Za-z]{1,31});', 1)",
-        "n",
-        f"coalesce({char} || substring(p, length(n) + 2), '&' || p)",
-    )
+
+    def attempt(pattern: str, skip: str) -> str:
+        return sql_let(f"regexp_extract(p, r'{pattern}', 1)", "n", f"{char} || regexp_replace(substring(p, length(n) + 1), '^{skip}', '')")
+
+    attempts = [attempt(r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][0-9A-Za-z]{1,30});", ";")]
+    if loose:
+        longest_first = "|".join(sorted(bare, key=len, reverse=True))
+        attempts.append(attempt(rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{longest_first})", ""))
+    spelled = f"coalesce({', '.join(attempts)}, '&' || p)"
     pieces = f"transform(split(t, '&', -1), (p, i) -> CASE WHEN i = 0 THEN p ELSE {spelled} END)"
     return sql_let(x, "t", f"CASE WHEN contains(t, '&') THEN array_join({pieces}, '') ELSE t END")
 
 
-_DECODE_BODY = _sql_decode("@text@")
+_DECODE = {loose: _sql_decode("@text@", loose) for loose in (False, True)}
+
 
+def sql_decode_entities(x: str, loose: bool = False) -> str:
+    return _DECODE[loose].replace("@text@", x)
 
-def sql_decode_entities(x: str) -> str:
-    return _DECODE_BODY.replace("@text@", x)
 
+def decode_entities(text: Column, loose: bool = False) -> Column:
+    """One pass over named (HTML 4) and numeric references; unknown ones stay as they are.
 
-def decode_entities(text: Column) -> Column:
-    """One pass over ';'-terminated named (HTML 4) and numeric references; unknown ones stay as they are."""
-    return row_sql(sql_decode_entities("v.t"), t=text)
+    They end in ';'. loose, meant for page text, also reads those that may do without it.
+    """
+    return row_sql(sql_decode_entities("v.t", loose), t=text)
 
 
 @F.pandas_udf(StringType())

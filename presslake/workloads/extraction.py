@@ -52,7 +52,7 @@ def body_text(spark, sf_dir):
 @query(
     "page_metadata",
     f"""SELECT page_id, CASE WHEN page_id % 11 = 5 THEN 'Unknown' ELSE
-  {sql.clean(sql.replaced("regexp_extract(html, '<title>(.*?)</title>', 1)", sql.PAGE_ENTITIES))} END AS title,
+  {sql.clean(sql.decoded("regexp_extract(html, '<title>(.*?)</title>', 1)"))} END AS title,
   CASE page_id % 4 WHEN 1 THEN '2026-03-01T10:00:00+00:00' WHEN 2 THEN '2026-03-02T00:00:00' END AS published,
   CASE WHEN page_id % 3 = 0 THEN 'A & B ' || page_id WHEN page_id % 3 = 1 THEN 'Single ' || page_id END AS author FROM pages""",
 )

@@ -25,7 +25,7 @@ def strip_html_tags(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", text.strip_html_tags(F.col("html")).alias("stripped"))
 
 
-@query("html_unescape", f"SELECT page_id, {sql.replaced('html', sql.PAGE_ENTITIES)} AS unescaped FROM pages")
+@query("html_unescape", f"SELECT page_id, {sql.decoded('html')} AS unescaped FROM pages")
 def html_unescape(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", text.html_unescape(F.col("html")).alias("unescaped"))
 

@@ -21,6 +21,13 @@ def replaced(x: str, pairs: list[tuple[str, str]]) -> str:
     return x
 
 
+def decoded(x: str) -> str:
+    """Page entities with or without ';', '&amp' last."""
+    for entity, char in PAGE_ENTITIES:
+        x = f"regexp_replace({x}, '{entity}?', {quote(char)}, 'g')"
+    return x
+
+
 def clean(x: str) -> str:
     strip = f"lambda s: regexp_replace(s, '^{SPACE}+|{SPACE}+$', '', 'g')"
     return (
@@ -40,7 +47,7 @@ def drop_nontext(x: str) -> str:
 
 
 def visible(x: str) -> str:
-    return clean(replaced(f"regexp_replace({x}, '<[^>]+>', chr(10), 'g')", PAGE_ENTITIES))
+    return clean(decoded(f"regexp_replace({x}, '<[^>]+>', chr(10), 'g')"))
 
 
 def body(x: str) -> str:
@@ -111,7 +118,7 @@ def density(pages: str) -> str:
 def paragraphs(x: str) -> str:
     """Paragraph text of an html value; NULL under 100 characters is left to the caller."""
     fragment = f"coalesce({article(drop_nontext(x))}, {body(drop_nontext(x))})"
-    inline = clean(replaced(f"regexp_replace({piece_html('p')}, '<[^>]+>', '', 'g')", PAGE_ENTITIES))
+    inline = clean(decoded(f"regexp_replace({piece_html('p')}, '<[^>]+>', '', 'g')"))
     chosen = f"list_filter({pieces(fragment)}, lambda p: {piece_tag('p')} = 'p')"
     return f"array_to_string(list_filter(list_transform({chosen}, lambda p: {inline}), lambda t: t <> ''), chr(10))"
 

@@ -48,6 +48,8 @@ def test_entities(spark):
     native = values(spark, text.decode_entities, cases)
     assert native[0] == "&lt; 'x中😀 &bogus; & ©AT&T é'"
     assert native[1:] == ["plain", "&#0; &#xD800;", None, "&&;"]
+    bare = ["&amp&ampx &ltb&gt &copy2 &#65 &#x42z &notit; &AMP;", "a&b", "&amp;lt"]
+    assert values(spark, lambda c: text.decode_entities(c, loose=True), bare) == [html_lib.unescape(b) for b in bare]
     full = values(spark, text.html_unescape, cases)
     assert full == [None if c is None else html_lib.unescape(c) for c in cases]
 
