@@ -109,7 +109,7 @@ def _sql_decode(x: str, loose: bool) -> str:
     char = f"""CASE WHEN startswith(n, '#x') OR startswith(n, '#X')
           THEN {_sql_code_point("try_cast(conv(substring(n, 3), 16, 10) AS BIGINT)")}
         WHEN startswith(n, '#') THEN {_sql_code_point("try_cast(substring(n, 2) AS BIGINT)")}
-        WHEN n <> '' THEN try_element_at({sql_text_map(table)}, n) END"""
+        WHEN n <> '' THEN try_element_at(w.names, n) END"""
 
     def attempt(pattern: str, skip: str) -> str:
         return sql_let(f"regexp_extract(p, r'{pattern}', 1)", "n", f"{char} || regexp_replace(substring(p, length(n) + 1), '^{skip}', '')")
@@ -119,8 +119,9 @@ def _sql_decode(x: str, loose: bool) -> str:
         longest_first = "|".join(sorted(bare, key=len, reverse=True))
         attempts.append(attempt(rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{longest_first})", ""))
     spelled = f"coalesce({', '.join(attempts)}, '&' || p)"
-    pieces = f"transform(split(t, '&', -1), (p, i) -> CASE WHEN i = 0 THEN p ELSE {spelled} END)"
-    return sql_let(x, "t", f"CASE WHEN contains(t, '&') THEN array_join({pieces}, '') ELSE t END")
+    pieces = f"transform(split(w.t, '&', -1), (p, i) -> CASE WHEN i = 0 THEN p ELSE {spelled} END)"
+    bound = f"named_struct('t', {x}, 'names', {sql_text_map(table)})"
+    return sql_let(bound, "w", f"CASE WHEN contains(w.t, '&') THEN array_join({pieces}, '') ELSE w.t END")
 
 
 _DECODE = {loose: _sql_decode("@text@", loose) for loose in (False, True)}
