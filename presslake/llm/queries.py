@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import simhash, suffix_dedup
+from presslake.llm import mixing, simhash, suffix_dedup
 from presslake.llm.common import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,48 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@registered
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), max_repeats=3)
+    each = planned.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+SQL["op2_mixing_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS line
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS BIGINT) AS cap,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS budget,
+         CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER upto, 0) AS BIGINT) AS rest,
+         CAST(sum(weight) OVER () - coalesce(sum(weight) OVER upto, 0) AS BIGINT) AS weights
+  FROM sources
+  WINDOW upto AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+free AS (
+  SELECT rest AS free_rest, weights AS free_weights FROM ranked WHERE rest * weight < cap * weights
+  ORDER BY cap / weight, source NULLS LAST LIMIT 1),
+goals AS (
+  SELECT source, source_size, budget,
+         CASE WHEN rest * weight >= cap * weights THEN CAST(cap AS DOUBLE)
+              ELSE (free_rest * weight) / free_weights END AS target
+  FROM ranked LEFT JOIN free ON true),
+queue AS (
+  SELECT s.*, g.source_size, g.target, g.budget,
+         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+turns AS (SELECT q.*, (upto + turn * source_size) / target AS finish FROM queue q, range(3) AS r(turn) WHERE size > 0),
+used AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, line, source NULLS FIRST ROWS UNBOUNDED PRECEDING) AS used FROM turns),
+counted AS (SELECT doc_id, count(*) AS copies FROM used WHERE used <= budget GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(c.copies, 0) AS BIGINT) AS taken
+FROM queue q LEFT JOIN counted c ON q.doc_id = c.doc_id
+"""
