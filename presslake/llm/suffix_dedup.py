@@ -29,8 +29,9 @@ MIN_LEN = 100
 GRAM = 32
 HOT_SEGMENTS = 4096
 SORT_BYTES = 1 << 20
-FLUSH_SEGMENTS = 1 << 20
-PIECE = 8 << 20
+FLUSH_SEGMENTS = 1 << 18
+SCAN_BYTES = 1 << 20
+PIECE = 2 << 20
 LONG, INT = "<i8", "<i4"
 
 
@@ -165,7 +166,7 @@ def _anchored(docs: DataFrame, min_len: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             cut = list(pieces(utf8(batch.column(1)), min_len))
-            for i, j in in_chunks([x[2] for x in cut]):
+            for i, j in in_chunks([x[2] for x in cut], SCAN_BYTES):
                 number, start, count, anchor, content = segments([x[2] for x in cut[i:j]], min_len)
                 whose = np.array([x[0] for x in cut[i:j]], np.int64)[number] if len(number) else number
                 shift = np.array([x[1] for x in cut[i:j]], np.int64)[number] if len(number) else number
