@@ -144,7 +144,10 @@ def _anchored(docs: DataFrame, min_len: int, buckets: int) -> DataFrame:
         again, order = order[~first], order[first]
         if len(again):
             yield int(doc[again[0]] % buckets), True, pack(doc[again], start[again], count[again])
-        bucket = ((anchor[order] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        # Anchors are least hashes and so mostly small; mixed again they spread evenly.
+        bucket = ((anchor[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+        by = np.argsort(bucket, kind="stable")
+        order, bucket = order[by], bucket[by]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for part in np.split(np.arange(len(order)), cuts):
             if len(part):
