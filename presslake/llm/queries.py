@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import mixing, simhash, suffix_dedup
+from presslake.llm import mixing, quality, simhash, suffix_dedup, toxicity
 from presslake.llm.common import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,30 @@ counted AS (SELECT doc_id, count(*) AS copies FROM used WHERE used <= budget GRO
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(c.copies, 0) AS BIGINT) AS taken
 FROM queue q LEFT JOIN counted c ON q.doc_id = c.doc_id
 """
+
+
+def fold(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def judged(scored: DataFrame, parts: int, held: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (fold(parts) == held).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@registered
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", train=fold(3) != 1)
+    return judged(quality.score(docs, model, ["doc_id"]), 3, 1, 0.5)
+
+
+@registered
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", train=fold(4) != 2)
+    return judged(toxicity.score(docs, model, ["doc_id"]), 4, 2, 0.3)
