@@ -66,5 +66,6 @@ def test_logistic_fits_and_stays_finite():
 
 def test_words_of_copies_do_not_count():
     toxic = [b"a nasty b c"] * 30 + [b"%d vile %d" % (i, i + 1) for i in range(30)]
-    own, _ = toxicity.dictionaries(toxic, [b"a b c d"], 64, 6, 4.0, 100)
+    plain = [b" ".join(b"%d" % (i * 7 % 400) for i in range(2000))]
+    own, _ = toxicity.dictionaries(toxic, plain, 64, 6, 4.0, 100)
     assert b" vile" in own and b"nasty" not in own
