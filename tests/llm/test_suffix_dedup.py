@@ -31,16 +31,24 @@ def test_suffix_order_and_prefixes(seed):
             assert got[k] == min(n, limit)
 
 
-def plain(rows, length):
-    texts = sorted((i, (t or "").encode()) for i, t in rows)
-    seen, out = set(), []
-    for doc, text in texts:
+def plain_gone(rows, length):
+    """For each document, whether each of its bytes goes (one more at the end, which never does)."""
+    seen, out = set(), {}
+    for doc, text in sorted((i, (t or "").encode()) for i, t in rows):
         gone = np.zeros(len(text) + 1, bool)
         for p in range(len(text) - length + 1):
             gram = text[p : p + length]
             if gram in seen:
                 gone[p : p + length] = True
             seen.add(gram)
+        out[doc] = gone
+    return out
+
+
+def plain(rows, length):
+    out, marks = [], plain_gone(rows, length)
+    for doc, text in sorted((i, (t or "").encode()) for i, t in rows):
+        gone = marks[doc]
         kept = bytes(b for b, g in zip(text, gone) if not g)
         runs = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if len(text) else 0
         out.append((doc, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
