@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import mixing, packing, quality, simhash, suffix_dedup, toxicity
+from presslake.llm import mixing, ngrams, packing, quality, simhash, suffix_dedup, toxicity
 from presslake.llm.common import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=2), length=1024)
+
+
+@registered
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngrams.fit(docs, train=fold(7) != 2)
+    return ngrams.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        (fold(7) == 2).alias("held_out"),
+        F.col("_n_tokens").alias("n_tokens"),
+        F.col("_n_known").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("_base_score").alias("base_score"),
+        F.col("_score").alias("score"),
+    )
