@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import mixing, ngrams, packing, quality, simhash, suffix_dedup, toxicity
+from presslake.llm import forest, mixing, ngrams, packing, quality, simhash, suffix_dedup, toxicity
 from presslake.llm.common import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_base_score").alias("base_score"),
         F.col("_score").alias("score"),
     )
+
+
+@registered
+def op6_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
