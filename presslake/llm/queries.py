@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import forest, mixing, ngrams, packing, quality, simhash, suffix_dedup, toxicity
+from presslake.llm import chat, forest, mixing, ngrams, packing, quality, simhash, suffix_dedup, toxicity
 from presslake.llm.common import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,32 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op6_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@registered
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"), instructing=("system",))
+
+
+SQL["op5_chat_formatting"] = r"""
+WITH views AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NULL OR role <> 'system'),
+seen AS (
+  SELECT t.conv_id, v.perspective, t.turn, t.role AS speaker,
+         CASE WHEN t.role = 'system' THEN 'system' WHEN t.role IS NOT DISTINCT FROM v.perspective THEN 'assistant' ELSE 'user' END AS role,
+         CASE WHEN t.role IS DISTINCT FROM 'system' AND t.role IS DISTINCT FROM v.perspective
+              THEN replace(coalesce(t.role, 'unknown'), '<|im_', '< |im_') END AS name,
+         replace(coalesce(t.text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS body, t.text
+  FROM conversations t JOIN views v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
+made AS (
+  SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM seen),
+placed AS (
+  SELECT *, CAST(sum(length(head) + length(body)) OVER (
+      PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker NULLS LAST, text NULLS LAST
+      ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM made)
+SELECT conv_id, perspective, turn, speaker, role, name, head || body AS rendered,
+       CAST(stop - length(head) - length(body) AS BIGINT) AS start,
+       CASE WHEN role = 'assistant' AND speaker IS NOT DISTINCT FROM perspective THEN CAST(stop - length(body) AS BIGINT) END AS mask_start,
+       CASE WHEN role = 'assistant' AND speaker IS NOT DISTINCT FROM perspective THEN stop END AS mask_end
+FROM placed
+"""
