@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import chat, forest, mixing, ngrams, packing, quality, simhash, suffix_dedup, toxicity
+from presslake.llm import chat, forest, graph, mixing, ngrams, packing, quality, simhash, suffix_dedup, toxicity
 from presslake.llm.common import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,8 @@ SELECT conv_id, perspective, turn, speaker, role, name, head || body AS rendered
        CASE WHEN role = 'assistant' AND speaker IS NOT DISTINCT FROM perspective THEN stop END AS mask_end
 FROM placed
 """
+
+
+@registered
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
