@@ -85,8 +85,8 @@ def best_element(spark, sf_dir):
         F.sequence(F.lit(0), F.lit(3)),
         lambda i: fx.text_of('<div class="a content">', F.repeat(F.lit("x "), ((p * 7 + i * 13) % 50).cast("int")), "n", i, "</div>"),
     )
-    html = fx.text_of("<body><div>", F.array_join(parts, "<p>between"), "</div></body>")
-    rows = fx.table(spark, sf_dir, "pages").select("page_id", dom.page_elements(html).alias("dom"))
+    html = F.replace(F.col("html"), F.lit("</article>"), fx.text_of("<div>", F.array_join(parts, "<p>between"), "</div></article>"))
+    rows = _pages(spark, sf_dir).select("page_id", dom.page_elements(html).alias("dom"))
     best = rows.withColumn("e", dom.best_element(F.col("dom.elements"), ("class", "", "content")))
     return best.select("page_id", dom.element_text(F.col("dom"), F.col("e")).alias("best"))
 
@@ -127,22 +127,14 @@ def main_text_selectors(spark, sf_dir):
   t AS (SELECT page_id, d.text AS t1, {sql.paragraphs("html")} AS t2, {sql.visible(f"coalesce({sql.article(sql.drop_nontext('html'))}, '')")} AS t3,
                {sql.visible(sql.body(sql.drop_nontext("html")))} AS t4 FROM pages LEFT JOIN sql_density d USING (page_id)),
   s AS (SELECT *, CASE WHEN length(t3) >= 100 THEN t3 ELSE t4 END AS t34 FROM t),
-  m AS (SELECT *, CASE page_id % 5 WHEN 1 THEN 'newspaper3k' WHEN 2 THEN 'css-selectors' WHEN 3 THEN NULL WHEN 4 THEN NULL
-        ELSE CASE WHEN {sql.valid("t1")} THEN 'readability' WHEN length(t2) >= 100 THEN 'newspaper3k' WHEN length(t34) >= 100 THEN 'css-selectors' END END AS method FROM s)
+  m AS (SELECT *, CASE WHEN {sql.valid("t1")} THEN 'readability' WHEN length(t2) >= 100 AND {sql.valid("t2")} THEN 'newspaper3k'
+        WHEN length(t34) >= 100 THEN 'css-selectors' END AS method FROM s)
 SELECT page_id, method AS extraction_method,
-  CASE page_id % 5 WHEN 1 THEN array_to_string(list_transform(range(30), lambda i: 'w ' || page_id), chr(10))
-       WHEN 2 THEN array_to_string(list_transform(range(30), lambda i: 'v ' || page_id), chr(10))
-       ELSE CASE method WHEN 'readability' THEN t1 WHEN 'newspaper3k' THEN t2 WHEN 'css-selectors' THEN t34 END END AS extracted_text
+  CASE method WHEN 'readability' THEN t1 WHEN 'newspaper3k' THEN t2 WHEN 'css-selectors' THEN t34 END AS extracted_text
 FROM m""",
 )
 def strategy_cascade(spark, sf_dir):
-    p = F.col("page_id")
-    many = F.sequence(F.lit(1), F.lit(30))
-    short_paragraphs = fx.text_of("<article>", F.array_join(F.transform(many, lambda i: fx.text_of("<p>w ", p, "</p>")), ""), "</article>")
-    list_items = fx.text_of('<div class="entry-content">', F.array_join(F.transform(many, lambda i: fx.text_of("<li>v ", p, "</li>")), ""), "</div>")
-    html = F.when(p % 5 == 1, short_paragraphs).when(p % 5 == 2, list_items).when(p % 5 == 3, "<body>tiny</body>").otherwise(F.col("html"))
-    pages = _pages(spark, sf_dir).withColumn("html", html)
-    return ex.strategy_cascade(pages, blocked=p % 5 == 4).select("page_id", "extraction_method", "extracted_text")
+    return ex.strategy_cascade(_pages(spark, sf_dir)).select("page_id", "extraction_method", "extracted_text")
 
 
 @query(
@@ -158,8 +150,8 @@ def extractor_registry(spark, sf_dir):
     return ex.strategy_cascade(_pages(spark, sf_dir), strategies=own).select("page_id", "extraction_method", "extracted_text")
 
 
-_DESCRIBED = """v_described AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<p>' || text || '</p>' WHEN 1 THEN left(text, 45 + CAST(doc_id % 10 AS INTEGER))
-                  WHEN 2 THEN NULL ELSE repeat('<br/>', 12) END AS description FROM documents)"""
+_DESCRIBED = """v_described AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<p>' || text || '</p>' WHEN 1 THEN text
+                  WHEN 2 THEN '<div>' || replace(text, ' ', ' &amp; ') || '</div>' ELSE text || repeat('<br/>', 12) END AS description FROM documents)"""
 
 
 @query(
@@ -172,8 +164,9 @@ def description_fallback(spark, sf_dir):
     d = F.col("doc_id")
     described = fx.table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.when(d % 4 == 0, fx.text_of("<p>", F.col("text"), "</p>")).when(d % 4 == 1, F.left("text", (45 + d % 10).cast("int")))
-        .when(d % 4 == 3, "<br/>" * 12).alias("description"),
+        F.when(d % 4 == 0, fx.text_of("<p>", F.col("text"), "</p>")).when(d % 4 == 1, F.col("text"))
+        .when(d % 4 == 2, fx.text_of("<div>", F.replace(F.col("text"), F.lit(" "), F.lit(" &amp; ")), "</div>"))
+        .otherwise(fx.text_of(F.col("text"), "<br/>" * 12)).alias("description"),
         F.lit(None).cast("string").alias("extracted_text"), F.lit(None).cast("string").alias("extraction_method"),
     )
     return ex.with_fallback(described).select("doc_id", "success", "extraction_method", "content")

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslake.functions.dates import ntz_to_iso
+from presslake.functions.dom import page_elements
+from presslake.functions.images import IMAGE_ATTRIBUTES
 from presslake.functions.urls import domain_of_url
 
 IDS_PER_DOCUMENT = 200
 IDS_PER_OPML = 50
 IDS_PER_FEED = 60
-PAGES_PER_FEED = 40
+ENTRIES_PER_FEED = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -213,12 +215,11 @@ def _part_url(part: Column) -> Column:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted articles of those feeds; the feeds of every 4th range have none."""
+    """Accepted articles of those feeds, one from every document."""
     d = F.col("doc_id")
     part = F.floor(d / IDS_PER_FEED)
     return (
         table(spark, sf_dir, "documents")
-        .where(part % 4 != 2)
         .select(
             _part_url(part).alias("feed_url"),
             d.alias("pos"),
@@ -290,16 +291,15 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One entry per page, one feed per domain and 40 page ids; descriptions come from the document of that id."""
-    p = F.col("page_id")
-    text = table(spark, sf_dir, "documents").select("doc_id", "text")
-    body = F.when(p % 10 == 0, "short").when(p % 2 == 0, text_of("<p>", F.col("text"), "</p>")).otherwise(F.col("text"))
+    """One entry per document, several of them linking to one page; one feed per domain and 40 document ids."""
+    p = F.col("doc_id")
+    pages = table(spark, sf_dir, "pages")
+    text = table(spark, sf_dir, "documents").select("doc_id", "text", (p % F.lit(max(1, pages.count()))).alias("linked"))
+    body = F.when(p % 2 == 0, text_of("<p>", F.col("text"), "</p>")).otherwise(F.col("text"))
     return (
-        table(spark, sf_dir, "pages")
-        .select("page_id", "url")
-        .join(text, F.col("page_id") == F.col("doc_id"))
+        text.join(pages.select("page_id", "url"), F.col("page_id") == F.col("linked"))
         .select(
-            text_of("https://", domain_of_url(F.col("url")), "/", F.floor(p / PAGES_PER_FEED), ".xml").alias("feed_url"),
+            text_of("https://", domain_of_url(F.col("url")), "/", F.floor(p / ENTRIES_PER_FEED), ".xml").alias("feed_url"),
             p.alias("pos"),
             text_of("Page ", p).alias("title"),
             F.col("url").alias("link"),
@@ -338,22 +338,36 @@ def page_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image attribute rows: 0 to 12 per page, lazy, inline, small, tracking, decorative and repeated ones."""
-    p, i = F.col("page_id"), F.col("i")
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), (p % 13).cast("int"))).alias("i"))
-    kind = (p + i) % 9
-    name = text_of("https://i.example.com/", p, "/", F.floor(i / 2), ".png")
-    return rows.where(i < p % 13).select(
-        "page_id", "url", "i",
-        F.when(kind == 0, name).alias("data-src"),
-        F.when(kind == 1, name).when(kind == 2, "").alias("data-lazy-src"),
-        F.when(kind == 2, name).alias("data-original"),
-        F.when(kind == 3, "data:image/gif;base64,R0").when(kind == 4, text_of("/rel/", i, ".png"))
-        .when(kind == 5, text_of("https://i.example.com/LOGO/", i, ".png")).when(kind != 8, name).alias("src"),
-        F.when((kind == 3) | (kind == 8), text_of(name, " 1x, https://i.example.com/big.png 2x")).alias("srcset"),
-        F.when(kind == 6, "50").when(kind == 7, "auto").alias("width"),
-        F.when(kind == 6, "500").when(kind == 7, "20").alias("height"),
-    )
+    """The image elements of pages with 0 to 12 images: lazy, inline, small, tracking, decorative and repeated ones."""
+    p = F.col("page_id")
+
+    def attribute(name: str, value: Column) -> Column:
+        return F.coalesce(text_of(f' {name}="', value, '"'), F.lit(""))
+
+    def image(i: Column) -> Column:
+        kind = (p + i) % 9
+        name = text_of("https://i.example.com/", p, "/", F.floor(i / 2), ".png")
+        return text_of(
+            "<img",
+            attribute("data-src", F.when(kind == 0, name)),
+            attribute("data-lazy-src", F.when(kind == 1, name).when(kind == 2, "")),
+            attribute("data-original", F.when(kind == 2, name)),
+            attribute(
+                "src",
+                F.when(kind == 3, "data:image/gif;base64,R0").when(kind == 4, text_of("/rel/", i, ".png"))
+                .when(kind == 5, text_of("https://i.example.com/LOGO/", i, ".png")).when(kind != 8, name),
+            ),
+            attribute("srcset", F.when((kind == 3) | (kind == 8), text_of(name, " 1x, https://i.example.com/big.png 2x"))),
+            attribute("width", F.when(kind == 6, "50").when(kind == 7, "auto")),
+            attribute("height", F.when(kind == 6, "500").when(kind == 7, "20")),
+            ">",
+        )
+
+    run = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i < p % 13, image(i)).otherwise("")), "")
+    html = F.replace(F.col("html"), F.lit("</article>"), text_of(run, "</article>"))
+    found = table(spark, sf_dir, "pages").select("page_id", "url", page_elements(html).alias("dom"))
+    images = found.select("page_id", "url", F.posexplode(F.filter("dom.elements", lambda e: e["tag"] == "img")).alias("i", "e"))
+    return images.select("page_id", "url", "i", *[F.try_element_at("e.attrs", F.lit(n)).alias(n) for n in IMAGE_ATTRIBUTES])
 
 
 def pages_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,13 +107,10 @@ def blacklist_exclude(spark, sf_dir):
 
 @query(
     "page_join",
-    f"""WITH {sql.PAGE_ENTRIES}, c AS (SELECT * FROM v_crawl WHERE page_id % 6 <> 5)
-SELECT pos, link, html, CASE WHEN c.url IS NULL THEN 'http' ELSE c.error_kind END AS error_kind
-FROM v_page_entries e LEFT JOIN c ON e.link = c.url""",
+    f"""WITH {sql.PAGE_ENTRIES} SELECT pos, link, html, error_kind FROM v_page_entries e JOIN v_crawl c ON e.link = c.url""",
 )
 def page_join(spark, sf_dir):
-    crawl = fx.crawl(spark, sf_dir).where("page_id % 6 <> 5")
-    return pages.page_join(fx.page_entries(spark, sf_dir).select("pos", "link"), crawl)
+    return pages.page_join(fx.page_entries(spark, sf_dir).select("pos", "link"), fx.crawl(spark, sf_dir).drop("page_id"))
 
 
 @query(

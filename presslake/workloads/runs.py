@@ -17,7 +17,7 @@ from presslake.workloads.registry import query
 
 def pipeline_run(spark, sf_dir, materialize=None) -> pipeline.RunOutput:
     blocked = fx.table(spark, sf_dir, "pages").where("page_id % 50 = 7").select(domain_of_url(F.col("url")).alias("domain")).distinct()
-    docs = fx.page_feed_documents(spark, sf_dir).where("first_id % 16 <> 5").select("feed_url", "doc")
+    docs = fx.page_feed_documents(spark, sf_dir).select("feed_url", "doc")
     return pipeline.run(
         feeds=fx.page_feeds(spark, sf_dir),
         docs=docs,
@@ -35,7 +35,7 @@ _PIPELINE = (
   marked AS (
     SELECT s.* EXCLUDE (method, content), s.method AS m, s.content AS c, f.feed_ord, published <= h.last_id AS stale,
            took AND {sql.domain("link")} IN (SELECT dom FROM v_block) AS closed
-    FROM settled s JOIN v_page_feeds f USING (feed_url) LEFT JOIN v_page_history h USING (feed_url) WHERE f.feed_ord % 16 <> 5),
+    FROM settled s JOIN v_page_feeds f USING (feed_url) LEFT JOIN v_page_history h USING (feed_url)),
   shut AS (
     SELECT * EXCLUDE (m, c),
            CASE WHEN closed THEN CASE WHEN {sql.valid("description")} THEN 'description-fallback' ELSE 'failed' END ELSE m END AS method,

@@ -30,8 +30,9 @@ def html_unescape(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", text.html_unescape(F.col("html")).alias("unescaped"))
 
 
-_MANGLED = """CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat(chr(1), CAST(doc_id % 40 AS INTEGER)) || left(text, 150)
-                  WHEN 2 THEN left(text, 45 + CAST(doc_id % 10 AS INTEGER)) ELSE chr(9) || text || chr(31) END"""
+# Whole texts, every fourth behind so many control characters that some pass the allowed share.
+_MANGLED = """CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat(chr(1), CAST(length(text) // (7 + doc_id % 5) AS INTEGER)) || text
+                  WHEN 2 THEN chr(10) || text ELSE chr(9) || text || chr(31) END"""
 
 
 @query("content_valid", f"SELECT doc_id, {sql.valid('t')} AS valid FROM (SELECT doc_id, {_MANGLED} AS t FROM documents)")
@@ -43,8 +44,8 @@ def _mangled(spark, sf_dir):
     d = F.col("doc_id")
     t = (
         F.when(d % 4 == 0, F.col("text"))
-        .when(d % 4 == 1, fx.text_of(F.repeat(F.lit("\x01"), (d % 40).cast("int")), F.left("text", F.lit(150))))
-        .when(d % 4 == 2, F.left("text", (45 + d % 10).cast("int")))
+        .when(d % 4 == 1, fx.text_of(F.repeat(F.lit("\x01"), F.floor(F.length("text") / (7 + d % 5)).cast("int")), F.col("text")))
+        .when(d % 4 == 2, fx.text_of("\n", F.col("text")))
         .otherwise(fx.text_of("\t", F.col("text"), "\x1f"))
     )
     return fx.table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))

@@ -207,7 +207,7 @@ RESULTS = f"""
            'Doc ' || doc_id AS title, 'https://www.' || source || '.example.com/a/' || doc_id AS url,
            CASE WHEN doc_id % 23 <> 5 THEN {iso(stamp("doc_id"))} END AS published, 'Author ' || (doc_id % 7) AS author,
            text AS content, doc_id % 2 = 0 AS has_image
-    FROM documents WHERE (doc_id // 60) % 4 <> 2)"""
+    FROM documents)"""
 
 _PROBE = """CASE user_id % 4 WHEN 0 THEN 'https://www.h' || user_id || '.example.com/p/' || event_id
                 WHEN 1 THEN 'http://u@h' || user_id || '.example.com:8080?x=' || event_id
@@ -242,11 +242,11 @@ PAGE_ENTRIES = (
     CRAWL
     + f""",
   v_page_entries AS (
-    SELECT 'https://' || {domain("url")} || '/' || (page_id // 40) || '.xml' AS feed_url, page_id AS pos,
-           'Page ' || page_id AS title, url AS link, {iso(stamp("page_id"))} AS published,
-           CASE WHEN page_id % 3 <> 0 THEN 'Author ' || (page_id % 7) END AS author,
-           CASE WHEN page_id % 10 = 0 THEN 'short' WHEN page_id % 2 = 0 THEN '<p>' || text || '</p>' ELSE text END AS description
-    FROM pages JOIN documents ON page_id = doc_id),
+    SELECT 'https://' || {domain("url")} || '/' || (doc_id // 40) || '.xml' AS feed_url, doc_id AS pos,
+           'Page ' || doc_id AS title, url AS link, {iso(stamp("doc_id"))} AS published,
+           CASE WHEN doc_id % 3 <> 0 THEN 'Author ' || (doc_id % 7) END AS author,
+           CASE WHEN doc_id % 2 = 0 THEN '<p>' || text || '</p>' ELSE text END AS description
+    FROM documents JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages)),
   v_page_feeds AS (SELECT feed_url, min(pos) AS feed_ord FROM v_page_entries GROUP BY feed_url),
   v_page_history AS (
     SELECT feed_url, arg_max(published, pos) AS last_id FROM v_page_entries
