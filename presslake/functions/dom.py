@@ -145,6 +145,11 @@ class _Flattener(HTMLParser):
             hidden = bool(self.open) and self.open[-1]["tag"] in ("script", "style")
             self.tokens.append({"text": text, "hidden": hidden})
 
+    def parse_marked_section(self, i, report=1):
+        """A section HTML does not know is a comment up to the next '>'."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def finish(self):
         self.close()
         self.clock += 1
@@ -164,16 +169,24 @@ def _flatten_batch(pages: pd.Series) -> pd.DataFrame:
             rows.append({"tokens": None, "elements": None})
             continue
         parser = _Flattener()
-        parser.feed(page)
-        rows.append(parser.finish())
+        try:
+            parser.feed(page)
+            rows.append(parser.finish())
+        except Exception:  # one page the parser cannot take must not end the job; see unreadable()
+            rows.append({"tokens": None, "elements": None})
     return pd.DataFrame(rows, columns=["tokens", "elements"])
 
 
 def page_elements(html: Column) -> Column:
-    """Tokens and selectable elements of a page in document order."""
+    """Tokens and selectable elements of a page in document order; both NULL if the parser cannot take the page."""
     return _flatten_batch(html)
 
 
+def unreadable(html: Column, dom: Column) -> Column:
+    """The page was there but could not be parsed; such pages count as having no elements."""
+    return html.isNotNull() & dom["elements"].isNull()
+
+
 def sql_rules(rules: list[tuple[str, str, str]]) -> str:
     """A selector list as one SQL array."""
     return "array(" + ", ".join(f"named_struct('kind', '{k}', 'name', '{n}', 'value', '{v}')" for k, n, v in rules) + ")"

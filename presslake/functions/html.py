@@ -136,11 +136,26 @@ def main_text_paragraphs(html: Column) -> Column:
 
 def sql_attribute(tag: str, name: str) -> str:
     """Raw value of an attribute inside one tag's text; NULL when absent or empty."""
-    lead = rf"(?is)[\s\x22\x27/]{name}\s*=\s*"
-    quoted = rf"(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
+    return sql_attribute_of(sql_attributes(tag), name)
+
+
+def sql_tags(name: str) -> str:
+    """Pattern of a start tag; a '>' inside a quoted value does not end it."""
+    return rf"(?is)<{name}\b(?:[^>\x22\x27]++|\x22[^\x22]*+\x22|\x27[^\x27]*+\x27)*+>"
+
+
+def sql_attributes(tag: str) -> str:
+    """The attributes of a tag as 'name=value' texts; what looks like one inside a quoted value is none."""
+    value = r"(?:\x22[^\x22]*+\x22|\x27[^\x27]*+\x27|[^\s\x22\x27>]++)"
+    return rf"regexp_extract_all({tag}, r'(?s)[^\s\x22\x27<>/=]++\s*+=\s*+{value}', 0)"
+
+
+def sql_attribute_of(attributes: str, name: str) -> str:
+    """Value of the first attribute of that name in a list of sql_attributes; NULL when absent or empty."""
+    first = rf"try_element_at(filter({attributes}, a -> rlike(a, r'(?i)^{name}\s*=')), 1)"
     # Only one group takes part in a match, so their concatenation is the value.
-    groups = f"regexp_replace(regexp_extract({tag}, r'{lead}{quoted}', 0), r'^{lead}{quoted}$', '$1$2$3')"
-    return f"nullif({groups}, '')"
+    pattern = r"(?s)^[^=]*=\s*(?:\x22(.*)\x22|\x27(.*)\x27|([^\x22\x27].*))$"
+    return f"nullif(regexp_replace({first}, r'{pattern}', '$1$2$3'), '')"
 
 
 def page_metadata(html: Column) -> Column:
@@ -158,4 +173,4 @@ def page_metadata(html: Column) -> Column:
         f"'published_text', {sql_decode_entities(f'coalesce({published}, {time})')}, "
         f"'author', {sql_decode_entities(author)})"
     )
-    return row_sql(sql_let(r"regexp_extract_all(v.h, r'(?is)<meta\b[^>]*>', 0)", "ms", found), h=html)
+    return row_sql(sql_let(r"regexp_extract_all(v.h, r'" + sql_tags("meta") + "', 0)", "ms", found), h=html)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presslake.functions.binding import row_sql, sql_let, with_computed
 from presslake.functions.dom import IMAGE_SELECTORS, page_elements, sql_matches, sql_rules
-from presslake.functions.html import sql_article_fragment, sql_attribute, sql_drop_nontext
+from presslake.functions.html import sql_article_fragment, sql_attribute_of, sql_attributes, sql_drop_nontext, sql_tags
 from presslake.functions.text import sql_decode_entities
 from presslake.functions.urls import sql_absolute_url
 
@@ -62,10 +62,14 @@ def _sql_accepted(url: str, attribute: Callable[[str], str]) -> str:
 
 def quick_images(url: Column, html: Column) -> Column:
     """First-article images of a page that has exactly one article element, read without a DOM."""
-    tags = rf"regexp_extract_all({sql_article_fragment('h')}, r'(?is)<img\b[^>]*>', 0)"
-    urls = f"transform({tags}, g -> {_sql_accepted('v.url', lambda name: sql_attribute('g', name))})"
+    tags = f"regexp_extract_all(f, r'{sql_tags('img')}', 0)"
+    accepted = _sql_accepted("v.url", lambda name: sql_attribute_of("g", name))
+    urls = f"transform(ts, t -> {sql_let(sql_attributes('t'), 'g', accepted)})"
     found = f"array_distinct(filter({urls}, u -> u IS NOT NULL))"
-    single = rf"CASE WHEN regexp_count(h, r'(?i)<article\b') = 1 THEN {found} END"
+    # An image that is no complete tag leaves the page to the parser.
+    whole = rf"CASE WHEN size(ts) = regexp_count(f, r'{_HAS_IMAGE}') THEN {found} END"
+    first = sql_let(sql_article_fragment("h"), "f", sql_let(tags, "ts", whole))
+    single = rf"CASE WHEN regexp_count(h, r'(?i)<article\b') = 1 THEN {first} END"
     return row_sql(sql_let(sql_drop_nontext("v.html"), "h", single), url=url, html=F.when(html.rlike(_HAS_IMAGE), html))
 
 
@@ -103,11 +107,11 @@ def staged_images(url: Column, dom: Column) -> Column:
     )
 
 
-def collect_images(df, url: str, html: str, out: str = "images"):
-    """Add up to 10 distinct images per page. Pages the quick path settles reach the DOM helper as NULL."""
+def collect_images(df, url: str, html: str, out: str = "images", limit: int = MAX_IMAGES):
+    """Add up to limit distinct images per page. Pages the quick path settles reach the DOM helper as NULL."""
     step = with_computed(df, "_quick", quick_images(F.col(url), F.col(html)))
     needed = F.when(needs_elements(F.col(html), F.col("_quick")), F.col(html))
     step = step.withColumn("_dom", page_elements(needed))
     staged = F.when(F.col("_dom.elements").isNotNull(), staged_images(F.col(url), F.col("_dom")))
     images = F.coalesce(staged, F.col("_quick"), F.array().cast("array<string>"))
-    return with_computed(step, out, F.slice(images, 1, MAX_IMAGES)).drop("_quick", "_dom")
+    return with_computed(step, out, F.slice(images, 1, limit)).drop("_quick", "_dom")

@@ -81,12 +81,23 @@ def content_valid(text: Column) -> Column:
     )
 
 
-def _sql_code_point(n: str) -> str:
-    """Character of a Unicode code point, NULL outside the valid range."""
-    return (
+# What numbers 128 to 159 mean in HTML: the characters that Windows-1252 has there, if it has one.
+_WINDOWS_1252 = [ord(bytes([n]).decode("cp1252", "ignore") or chr(n)) for n in range(128, 160)]
+
+
+def _sql_code_point(n: str, loose: bool) -> str:
+    """Character of a Unicode code point, NULL outside the valid range; loose reads 128 to 159 as HTML does."""
+    plain = (
         f"CASE WHEN {n} BETWEEN 1 AND 55295 OR {n} BETWEEN 57344 AND 1114111 "
         f"THEN decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32') END"
     )
+    if not loose:
+        return plain
+    listed = ", ".join(map(str, _WINDOWS_1252))
+    return (
+        f"CASE WHEN {n} BETWEEN 128 AND 159 "
+        f"THEN decode(unhex(lpad(hex(element_at(array({listed}), CAST({n} - 127 AS INT))), 8, '0')), 'UTF-32') ELSE {plain} END"
+    )
 
 
 def sql_text_map(pairs: dict[str, str]) -> str:
@@ -107,17 +118,17 @@ def _sql_decode(x: str, loose: bool) -> str:
     bare = {name: char for name, char in html5.items() if not name.endswith(";")}
     table = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"} | bare
     char = f"""CASE WHEN startswith(n, '#x') OR startswith(n, '#X')
-          THEN {_sql_code_point("try_cast(conv(substring(n, 3), 16, 10) AS BIGINT)")}
-        WHEN startswith(n, '#') THEN {_sql_code_point("try_cast(substring(n, 2) AS BIGINT)")}
+          THEN {sql_let("try_cast(conv(substring(n, 3), 16, 10) AS BIGINT)", "c", _sql_code_point("c", loose))}
+        WHEN startswith(n, '#') THEN {sql_let("try_cast(substring(n, 2) AS BIGINT)", "c", _sql_code_point("c", loose))}
         WHEN n <> '' THEN try_element_at(w.names, n) END"""
 
     def attempt(pattern: str, skip: str) -> str:
         return sql_let(f"regexp_extract(p, r'{pattern}', 1)", "n", f"{char} || regexp_replace(substring(p, length(n) + 1), '^{skip}', '')")
 
-    attempts = [attempt(r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][0-9A-Za-z]{1,30});", ";")]
+    attempts = [attempt(r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][0-9A-Za-z]*);", ";")]
     if loose:
         longest_first = "|".join(sorted(bare, key=len, reverse=True))
-        attempts.append(attempt(rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{longest_first})", ""))
+        attempts.append(attempt(rf"^(#[0-9]+|#[xX][0-9a-fA-F]+|{longest_first})", ""))
     spelled = f"coalesce({', '.join(attempts)}, '&' || p)"
     pieces = f"transform(split(w.t, '&', -1), (p, i) -> CASE WHEN i = 0 THEN p ELSE {spelled} END)"
     bound = f"named_struct('t', {x}, 'names', {sql_text_map(table)})"

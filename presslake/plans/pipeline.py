@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from presslake.functions.binding import let, with_computed
 from presslake.functions.dates import is_newer_than_last_id
 from presslake.functions.text import blank_to_null
+from presslake.functions.urls import absolute_url
 from presslake.operators import blacklist as bl
 from presslake.operators import incremental, results
 from presslake.operators.extraction import Strategy, extract_articles
+from presslake.schemas import FEED_NOT_FETCHED
 from presslake.sources import feeds as feed_source
-from presslake.sources.pages import page_join
+from presslake.sources.pages import latest_pages, page_join
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,7 @@ class RunOutput:
     articles: DataFrame
     nested: DataFrame
     history: DataFrame
+    blacklist: DataFrame
 
 
 def entries_until_stale(entries: Column, last_id: Column) -> Column:
@@ -49,27 +52,37 @@ def entries_until_stale(entries: Column, last_id: Column) -> Column:
 
 
 def feed_results(feeds: DataFrame, docs: DataFrame) -> DataFrame:
-    """Status of each subscribed feed; a feed without a document failed."""
-    fetched = docs.select("feed_url", F.col("doc").isNotNull().alias("_fetched"))
+    """Status of each subscribed feed, once per position in the list; a feed without a document failed."""
+    fetched = docs.groupBy("feed_url").agg(F.max(F.col("doc").isNotNull()).alias("_fetched"))
     joined = feeds.join(fetched, "feed_url", "left")
     success = F.coalesce(F.col("_fetched"), F.lit(False))
     return joined.select(
         "feed_ord", "feed_url", "feed_title", "feed_type",
-        success.alias("success"), F.when(~success, F.lit("无法获取 feed 数据")).alias("error"),
+        success.alias("success"), F.when(~success, F.lit(FEED_NOT_FETCHED)).alias("error"),
     )
 
 
+def latest_documents(docs: DataFrame) -> DataFrame:
+    """One document per feed: the newest fetch where docs has fetched_at, else the greatest text; absent ones give way."""
+    order = F.struct(F.col("doc").isNotNull(), *[F.col(c) for c in ("fetched_at",) if c in docs.columns], "doc")
+    return docs.groupBy("feed_url").agg(F.max(order)["doc"].alias("doc"))
+
+
 def new_candidates(feeds: DataFrame, docs: DataFrame, history: DataFrame) -> DataFrame:
     """New entries of the subscribed feeds, links rewritten: feed_ord, feed_url and the entry fields.
 
-    Marks meet feeds at document grain, one row per feed, before any entry is exploded.
+    Marks meet feeds at document grain, one row per feed, before any entry is exploded. A feed that is listed or
+    fetched twice is read once, at its first position; nest_output gives its articles to every position.
     """
-    subscribed = docs.join(feeds.select("feed_url", "feed_ord"), "feed_url")
+    listed = feeds.groupBy("feed_url").agg(F.min("feed_ord").alias("feed_ord"))
+    subscribed = latest_documents(docs).join(listed, "feed_url")
     marked = incremental.history_lookup(subscribed, history)
-    parsed = feed_source.parse_documents(marked).where("success AND NOT malformed")
+    parsed = feed_source.parse_documents(marked).where("success")
     fresh = with_computed(parsed, "fresh", entries_until_stale(F.col("entries"), F.col("last_id")))
     entries = fresh.select("feed_ord", "feed_url", F.inline("fresh"))
-    return feed_source.rewrite_entry_links(entries)
+    relative = ~F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    resolved = F.when(relative, absolute_url(F.col("feed_url"), F.when(relative, F.col("link")))).otherwise(F.col("link"))
+    return feed_source.rewrite_entry_links(entries.withColumn("link", resolved))
 
 
 def extract_candidates(
@@ -97,10 +110,16 @@ def accepted_articles(extracted: DataFrame, k: int = incremental.MAX_ARTICLES) -
     )
 
 
-def failures_of(extracted: DataFrame) -> DataFrame:
-    """Network failures of a run as blacklist events."""
+def failures_of(extracted: DataFrame, at: Column) -> DataFrame:
+    """Network failures of a run as blacklist events (schemas.FAILURES); at is the time of the run.
+
+    pos tells the events of one run apart: the feed's position, then the entry's.
+    """
     hit = (F.col("error_kind") == "network") & ~F.col("blocked")
-    return extracted.where(hit).select(F.col("link").alias("url_or_domain"), F.col("failure_reason").alias("reason"), "pos")
+    pos = F.shiftleft(F.col("feed_ord"), 24) + F.col("pos")
+    return extracted.where(hit).select(
+        F.col("link").alias("url_or_domain"), F.col("failure_reason").alias("reason"), at.cast("timestamp_ntz").alias("ts"), pos.alias("pos")
+    )
 
 
 def run(
@@ -113,18 +132,29 @@ def run(
     strategies: list[Strategy] | None = None,
     block_within_run: bool = False,
     materialize: Callable[[DataFrame], DataFrame] | None = None,
+    at: Column | None = None,
 ) -> RunOutput:
-    """One batch run. materialize (e.g. cut_lineage) is applied to the articles, which several outputs read."""
+    """One batch run. materialize (e.g. cut_lineage) is applied to the settled rows, which several outputs read.
+
+    pages may hold several fetches of a URL if it has fetched_at, else one row per URL. at is the time of the run, by
+    default that of the query. The permanent domains are always blocked, and the next blacklist holds them, what was
+    listed before and the domains that failed in this run.
+    """
+    at = F.current_timestamp() if at is None else at
+    if "fetched_at" in pages.columns:
+        pages = latest_pages(pages)
+    seed = bl.union_seed(blacklist, bl.permanent_domains(feeds.sparkSession))
     status = feed_results(feeds, docs)
     candidates = new_candidates(feeds, docs, history)
-    extracted = extract_candidates(candidates, pages, blacklist, strategies, block_within_run)
-    articles = accepted_articles(extracted, k)
+    extracted = extract_candidates(candidates, pages, seed, strategies, block_within_run)
     if materialize is not None:
-        articles = materialize(articles)
+        extracted = materialize(extracted)
+    articles = accepted_articles(extracted, k)
     return RunOutput(
         results=status,
         extracted=extracted,
         articles=articles,
         nested=results.nest_output(status, articles),
         history=incremental.history_update(history, articles),
+        blacklist=bl.blacklist_build(failures_of(extracted, at), seed),
     )

@@ -16,6 +16,9 @@ FAILURES = "url_or_domain STRING, reason STRING, ts TIMESTAMP_NTZ, pos BIGINT"
 # One row per fetched URL. error_kind: NULL = fetched, 'http' = error status, 'network' = timeout or no connection.
 PAGES = "url STRING, html STRING, error_kind STRING"
 
+# Fixed value: the error of a feed that could not be fetched.
+FEED_NOT_FETCHED = "无法获取 feed 数据"
+
 RESULTS = "feed_ord BIGINT, feed_url STRING, feed_title STRING, feed_type STRING, success BOOLEAN, error STRING"
 
 ARTICLE = (
@@ -32,7 +35,8 @@ _ENTRY = """ARRAY<STRUCT<
   title: STRING, link: ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING>>,
   pubDate: STRING, published: STRING, issued: STRING, date: STRING, updated: STRING, modified: STRING, created: STRING,
   description: STRING, summary: STRING, encoded: ARRAY<STRING>, content: ARRAY<STRING>,
-  creator: STRING, author: STRUCT<_VALUE: STRING, name: STRING>>>"""
+  creator: STRING, author: STRUCT<_VALUE: STRING, name: STRING>,
+  guid: STRUCT<_VALUE: STRING, _isPermaLink: STRING>>>"""
 
 FEED_DOCUMENT = (
     f"title STRING, channel STRUCT<title: STRING, item: {_ENTRY}>, item {_ENTRY}, entry {_ENTRY}, "

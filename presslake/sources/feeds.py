@@ -11,48 +11,73 @@ from presslake.functions.binding import row_sql, sql_let, with_computed
 from presslake.functions.dates import sql_published
 from presslake.functions.text import blank_to_null, sql_text_map
 from presslake.functions.urls import rewrite_aggregator_url
-from presslake.schemas import FEED_DOCUMENT
+from presslake.schemas import FEED_DOCUMENT, FEED_NOT_FETCHED
 
 _XML_OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 # XML itself defines these five; the other HTML names must be spelled as numbers before parsing.
 _XML_NAMES = ["amp", "lt", "gt", "quot", "apos"]
 
 
-def with_numeric_entities(doc: Column) -> Column:
-    """Replace HTML-only entity names outside CDATA by numeric references so that an XML parser accepts them."""
+# A reference that XML itself knows, after its '&'.
+_XML_REFERENCE = r"(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);"
+
+
+def well_formed(doc: Column) -> Column:
+    """What an XML parser can take of a careless document.
+
+    Blanks ahead of the declaration and characters XML forbids go. Outside CDATA, HTML-only entity names become numeric
+    references, and an '&' that begins no reference is spelled out.
+    """
     table = {name: f"&#{code};" for name, code in name2codepoint.items() if name not in _XML_NAMES}
-    name = r"regexp_extract(p, r'^([A-Za-z][0-9A-Za-z]{1,30});', 1)"
+    name = r"regexp_extract(p, r'^([A-Za-z][0-9A-Za-z]*);', 1)"
     known = f"try_element_at({sql_text_map(table)}, n) || substring(p, length(n) + 2)"
-    spelled = sql_let(name, "n", f"coalesce({known}, '&' || p)")
+    bare = f"CASE WHEN rlike(p, r'^{_XML_REFERENCE}') THEN '&' || p ELSE '&amp;' || p END"
+    spelled = sql_let(name, "n", f"coalesce({known}, {bare})")
     piece = f"(p, i) -> CASE WHEN i = 0 THEN p ELSE {spelled} END"
     section = (
         f"s -> CASE WHEN startswith(s, '<![CDATA[') THEN s ELSE array_join(transform(split(s, '&', -1), {piece}), '') END"
     )
     # Text inside CDATA is not markup; documents without such names outside it stay as they are.
-    outside = r"regexp_replace(v.d, r'(?s)<!\[CDATA\[.*?\]\]>', '')"
-    needs = rf"rlike({outside}, r'&(?!(?:amp|lt|gt|quot|apos);)[A-Za-z]')"
-    sections = r"split(v.d, r'(?s)(?=<!\[CDATA\[)|(?<=\]\]>)', -1)"
-    return row_sql(f"CASE WHEN {needs} THEN array_join(transform({sections}, {section}), '') ELSE v.d END", d=doc)
+    outside = r"regexp_replace(d, r'(?s)<!\[CDATA\[.*?\]\]>', '')"
+    needs = rf"rlike({outside}, r'&(?!{_XML_REFERENCE})')"
+    sections = r"split(d, r'(?s)(?=<!\[CDATA\[)|(?<=\]\]>)', -1)"
+    allowed = r"regexp_replace(v.d, r'^[\s\x{FEFF}]+(?=<)|[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]', '')"
+    return row_sql(sql_let(allowed, "d", f"CASE WHEN {needs} THEN array_join(transform({sections}, {section}), '') ELSE d END"), d=doc)
+
+
+def salvaged(doc: Column) -> Column:
+    """Entries of a document that is no XML as a whole: each complete item is parsed alone, under the document's namespaces.
+
+    ARRAY of item structs; a damaged item, and what follows the last complete one, is lost.
+    """
+    items = r"regexp_extract_all(v.d, r'(?s)<(item|entry)\b(?:[^>\x22\x27]++|\x22[^\x22]*+\x22|\x27[^\x27]*+\x27)*+>.*?</\1\s*>', 0)"
+    names = r"array_join(array_distinct(regexp_extract_all(v.d, r'xmlns:\w+\s*=\s*(?:\x22[^\x22<]*\x22|\x27[^\x27<]*\x27)', 0)), ' ')"
+    options = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in _XML_OPTIONS.items()) + ")"
+    one = f"from_xml(concat('<rdf ', ns, '>', i, '</rdf>'), '{FEED_DOCUMENT}', {options})"
+    good = sql_let(one, "f", "CASE WHEN f._corrupt_record IS NULL THEN coalesce(f.item, f.entry) END")
+    parsed = sql_let(names, "ns", f"transform({items}, i -> {good})")
+    return row_sql(f"flatten(filter({parsed}, x -> x IS NOT NULL))", d=doc)
 
 
 def parse_feed(doc: Column) -> Column:
-    """A feed document as one fixed struct; a malformed one has _corrupt_record set."""
-    return F.from_xml(with_numeric_entities(doc), FEED_DOCUMENT, _XML_OPTIONS)
+    """A well_formed() feed document as one fixed struct; a malformed one has _corrupt_record set."""
+    return F.from_xml(doc, FEED_DOCUMENT, _XML_OPTIONS)
 
 
 def _sql_link() -> str:
-    """Element text, else the href of a link without rel or with rel=alternate."""
+    """Element text, else the href of a link without rel or with rel=alternate, else a guid that is a permalink."""
     texts = "filter(transform(r.link, x -> nullif(trim(x._VALUE), '')), x -> x IS NOT NULL)"
     hrefs = "filter(r.link, x -> x._href IS NOT NULL AND (x._rel IS NULL OR x._rel = 'alternate'))"
-    return f"coalesce(try_element_at({texts}, 1), try_element_at({hrefs}, 1)._href)"
+    guid = r"CASE WHEN coalesce(lower(r.guid._isPermaLink), 'true') = 'true' AND rlike(r.guid._VALUE, r'(?i)^\s*https?://') THEN trim(r.guid._VALUE) END"
+    return f"coalesce(try_element_at({texts}, 1), try_element_at({hrefs}, 1)._href, {guid})"
 
 
 def _sql_first(field: str) -> str:
     return f"try_element_at(filter({field}, x -> x <> ''), 1)"
 
 
-def entries_array(parsed: Column) -> Column:
-    """ARRAY<STRUCT<pos, title, link, published, author, description, summary, content>> in document order.
+def entries_array(items: Column) -> Column:
+    """Parsed items as ARRAY<STRUCT<pos, title, link, published, author, description, summary, content>> in document order.
 
     Fields follow the usual roles: pubDate or published, then updated or dc:date, then created; dc:creator or author;
     description or summary; content:encoded or content.
@@ -63,24 +88,28 @@ def entries_array(parsed: Column) -> Column:
         'published', {sql_published(dates)}, 'author', {author}, 'description', nullif(r.description, ''),
         'summary', coalesce(nullif(r.description, ''), nullif(r.summary, '')),
         'content', coalesce({_sql_first("r.encoded")}, {_sql_first("r.content")}))"""
-    return row_sql(f"transform(coalesce(v.f.channel.item, v.f.item, v.f.entry), {entry})", f=parsed)
+    return row_sql(f"transform(v.r, {entry})", r=items)
 
 
 def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Add entries, success, malformed and error; drop the document text.
 
-    A NULL document was not fetched: the feed failed. A malformed one is a success with a warning and no entries.
+    A NULL document was not fetched: the feed failed. A malformed one is a success with a warning and the entries
+    that can be read one by one.
     """
-    parsed = with_computed(docs, "_feed", parse_feed(F.col(doc)))
+    cleaned = with_computed(docs, "_doc", well_formed(F.col(doc)))
+    parsed = with_computed(cleaned, "_feed", parse_feed(F.col("_doc")))
     fetched = F.col(doc).isNotNull()
     bad = fetched & (F.col("_feed").isNull() | F.col("_feed._corrupt_record").isNotNull())
     flagged = (
         parsed.withColumn("success", fetched)
         .withColumn("malformed", F.coalesce(bad, F.lit(False)))
-        .withColumn("error", F.when(~fetched, F.lit("无法获取 feed 数据")))
+        .withColumn("error", F.when(~fetched, F.lit(FEED_NOT_FETCHED)))
     )
-    entries = F.when(~F.col("malformed"), entries_array(F.col("_feed")))
-    return with_computed(flagged, "entries", entries).drop("_feed", doc)
+    whole = F.coalesce("_feed.channel.item", "_feed.item", "_feed.entry")
+    items = F.when(F.col("malformed"), salvaged(F.when(F.col("malformed"), F.col("_doc")))).otherwise(whole)
+    read = with_computed(flagged, "_items", items)
+    return with_computed(read, "entries", entries_array(F.col("_items"))).drop("_feed", "_doc", "_items", doc)
 
 
 def feed_parse_status(docs: DataFrame, doc: str = "doc") -> DataFrame:
@@ -89,8 +118,8 @@ def feed_parse_status(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def scan_feed_entries(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    """One row per entry of every parsable document."""
-    parsed = parse_documents(docs, doc).where("success AND NOT malformed")
+    """One row per entry of every fetched document."""
+    parsed = parse_documents(docs, doc).where("success")
     keep = [c for c in docs.columns if c != doc]
     return parsed.select(*keep, F.inline("entries"))
 

@@ -25,6 +25,7 @@ def pipeline_run(spark, sf_dir, materialize=None) -> pipeline.RunOutput:
         pages=fx.crawl(spark, sf_dir).drop("page_id"),
         blacklist=blocked,
         materialize=materialize,
+        at=F.lit("2026-04-14 12:00:00").cast("timestamp_ntz"),
     )
 
 
@@ -77,6 +78,18 @@ def article_pipeline_history(spark, sf_dir):
     return pipeline_run(spark, sf_dir).history
 
 
+@query(
+    "blacklist_after_run",
+    f"""WITH {_PIPELINE}, b AS (SELECT dom AS domain FROM v_block UNION SELECT 'weixin.sogou.com'),
+  n AS (SELECT {sql.domain("link")} AS domain FROM open WHERE stop = 0 AND error_kind = 'network' AND NOT closed)
+SELECT domain, TIMESTAMP '2026-04-14 12:00:00' AS added_at, TIMESTAMP '2026-04-14 12:00:00' AS last_failed, count(*) AS fail_count,
+       coalesce(any_value('网络错误'), '') AS reason FROM n WHERE domain NOT IN (SELECT domain FROM b) GROUP BY domain
+UNION ALL SELECT domain, NULL, NULL, NULL, NULL FROM b""",
+)
+def blacklist_after_run(spark, sf_dir):
+    return pipeline_run(spark, sf_dir).blacklist
+
+
 def _run_sql(name: str, source: str, marks: str) -> str:
     """CTEs of one run over a table of settled entries: {name}_kept and the next marks {name}_marks."""
     return f"""

@@ -179,3 +179,40 @@ def test_text_strategies(spark):
     assert values(spark, body_text, [page])[0].startswith("Home\nAbout us\nHead\nword")
     ideographs = "中文" * 80
     assert values(spark, main_text_density, [f"<p>{ideographs}</p>"]) == [ideographs]
+
+
+HOSTILE = ["<![foo[ x ]]><article>" + "word " * 40 + "</article>", "<![", "<!", "<a" * 3000, "\x00<p>\x00</p>", "<div>" * 4000 + "deep", "<img src='x", "<p class=\"a><b", ""]
+
+
+def test_no_page_ends_the_job(spark):
+    from presslake.functions import dom, images
+    from presslake.operators import extraction
+
+    df = spark.createDataFrame([(i, "https://e.example.com/", h) for i, h in enumerate(HOSTILE)], "i INT, url STRING, html STRING")
+    assert extraction.strategy_cascade(df).count() == len(HOSTILE)
+    assert images.collect_images(df, "url", "html").count() == len(HOSTILE)
+    texts = {r.i: r.t for r in df.select("i", extraction.main_text_selectors(F.col("html")).alias("t")).collect()}
+    assert texts[0].startswith("word word")
+    seen = df.withColumn("dom", dom.page_elements(F.col("html"))).select(dom.unreadable(F.col("html"), F.col("dom")).alias("bad"))
+    assert not any(r.bad for r in seen.collect())
+
+
+def test_both_image_paths_agree(spark):
+    from presslake.functions.dom import page_elements
+    from presslake.functions.images import collect_images, quick_images, staged_images
+
+    tags = [
+        '<img alt="a > b" src="https://e.com/1.png">', "<IMG src = 'https://e.com/2.png' alt='src=\"https://e.com/no.png\"'/>",
+        '<img alt="x src=https://e.com/no.png" src="https://e.com/3.png">', "<img src=https://e.com/4.png width=300 height=300>",
+        '<img hidden data-src="https://e.com/5.png" src="data:x">', '<img src="https://e.com/6.png?a=1&amp;b=2">', '<img src="">',
+    ]
+    df = spark.createDataFrame([("https://e.com/p", f"<body><article>{''.join(tags)}</article></body>")], "url STRING, html STRING")
+    quick = df.select(quick_images(F.col("url"), F.col("html")).alias("q")).first().q
+    staged = df.withColumn("d", page_elements(F.col("html"))).select(staged_images(F.col("url"), F.col("d")).alias("s")).first().s
+    assert quick == staged == [f"https://e.com/{n}.png" for n in (1, 2, 3, 4, 5)] + ["https://e.com/6.png?a=1&b=2"]
+    assert collect_images(df, "url", "html", limit=2).first().images == quick[:2]
+
+
+def test_references_of_any_length(spark):
+    got = values(spark, lambda c: text.decode_entities(c, loose=True), ["&#000000065;&#x0000000041;", "&#150;&#x80;&#129;", "&#99999999999999999999;", "&check"])
+    assert got == ["AA", "–€\x81", "&#99999999999999999999;", "&check"]

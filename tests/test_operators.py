@@ -229,3 +229,75 @@ def test_second_run_finds_nothing_new(spark, sf_dir):
     again = pipeline.new_candidates(fx.page_feeds(spark, sf_dir), docs, newest_first)
     stale = again.join(newest_first, "feed_url").where("published <= last_id")
     assert stale.count() == 0
+
+
+RSS = '<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>t</title>{}</channel></rss>'
+
+
+def item(title, n, day="2026-01-01", tail=""):
+    return f"<item><title>{title}</title><link>https://e.com/{n}</link><pubDate>{day}T00:00:00Z</pubDate><dc:creator>Z</dc:creator>{tail}</item>"
+
+
+def test_careless_feed_documents(spark):
+    docs = [
+        RSS.format(item("A & B", 1) + item("C&nbsp;D &amp; E", 2)),
+        "\n ﻿" + '<?xml version="1.0"?>' + RSS.format(item("x\x01y", 3)),
+        RSS.format(item("ok", 4) + item("bad <b>", 5) + item("fine", 6)),
+        RSS.format(item("ok", 7) + item("cut", 8))[:-60],
+        '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>q & r</title><link href="https://e.com/9"/></entry><entry><title>u</titl',
+        RSS.format("<item><title>g</title><guid>https://e.com/10</guid></item><item><title>h</title><guid isPermaLink='false'>https://e.com/no</guid></item>"),
+        "no feed", "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "i INT, doc STRING")
+    got = [(r.i, r.title, r.link) for r in feeds.scan_feed_entries(df).orderBy("i", "pos").collect()]
+    e = "https://e.com/"
+    assert got == [
+        (0, "A & B", e + "1"), (0, "C\xa0D & E", e + "2"), (1, "xy", e + "3"), (2, "ok", e + "4"), (2, "fine", e + "6"),
+        (3, "ok", e + "7"), (4, "q & r", e + "9"), (5, "g", e + "10"), (5, "h", None),
+    ]
+    status = [(r.success, r.malformed) for r in feeds.feed_parse_status(df).orderBy("i").collect()]
+    assert status == [(True, i in (2, 3, 4, 6, 7)) for i in range(8)] + [(False, False)]
+
+
+def test_run_with_duplicates_and_failures(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    entries = "".join(item(f"t{n}", n, f"2026-01-{20 - n:02}", f"<description>{long} {n}</description>") for n in range(8))
+    relative = RSS.format(f"<item><title>r</title><link>/rel</link><pubDate>2026-01-01T00:00:00Z</pubDate><description>{long}</description></item>")
+    rows = [(0, "https://a.com/f", "A", "RSS"), (1, "https://b.com/f", "B", "RSS"), (2, "https://a.com/f", "A again", "RSS"), (3, "https://c.com/f", "C", "RSS")]
+    listed = spark.createDataFrame(rows, "feed_ord BIGINT, feed_url STRING, feed_title STRING, feed_type STRING")
+    docs = spark.createDataFrame(
+        [("https://a.com/f", RSS.format("old"), 1), ("https://a.com/f", RSS.format(entries), 2), ("https://b.com/f", relative, 1), ("https://c.com/f", None, 1)],
+        "feed_url STRING, doc STRING, fetched_at INT",
+    )
+    page = f"<body><article><p>{long} page</p></article></body>"
+    pages = spark.createDataFrame(
+        [("https://e.com/0", "<p>old</p>", None, 1), ("https://e.com/0", page, None, 2), ("https://e.com/1", None, "network", 1), ("https://b.com/rel", page, None, 1)],
+        "url STRING, html STRING, error_kind STRING, fetched_at INT",
+    )
+    none = spark.createDataFrame([], "domain STRING")
+    out = pipeline.run(listed, docs, spark.createDataFrame([], HISTORY), pages, none)
+    nested = {r.feed_title: [a.title for a in r.articles] for r in out.nested.collect()}
+    assert nested == {"A": ["t0", "t1", "t2", "t3", "t4"], "A again": ["t0", "t1", "t2", "t3", "t4"], "B": ["r"]}
+    content = {a.title: a.content for r in out.nested.collect() for a in r.articles}
+    assert content["t0"].endswith("page") and content["r"].endswith("page")
+    assert sorted((r.feed_ord, r.success) for r in out.results.collect()) == [(0, True), (1, True), (2, True), (3, False)]
+    black = {r.domain: r.fail_count for r in out.blacklist.collect()}
+    assert black == {"e.com": 1, "weixin.sogou.com": None}
+    assert {f.name for f in pipeline.failures_of(out.extracted, F.current_timestamp()).schema} == {f.split()[0] for f in FAILURES.split(", ")}
+
+
+def test_strategies_in_turn(spark):
+    short = "<article>" + "".join(f"<p>w {i}</p>" for i in range(30)) + "</article>"
+    items = '<div class="entry-content">' + "".join(f"<li>v {i}</li>" for i in range(40)) + "</div>"
+    rows = [(0, short, False), (1, items, False), (2, "<body>tiny</body>", False), (3, short, True), (4, None, False)]
+    df = spark.createDataFrame(rows, "i INT, html STRING, closed BOOLEAN")
+    got = {r.i: r.extraction_method for r in ex.strategy_cascade(df, blocked=F.col("closed")).collect()}
+    assert got == {0: "newspaper3k", 1: "css-selectors", 2: None, 3: None, 4: None}
+
+
+def test_page_never_fetched(spark):
+    from presslake.sources.pages import page_join
+
+    pages = spark.createDataFrame([("u", "<p>", None)], "url STRING, html STRING, error_kind STRING")
+    rows = spark.createDataFrame([("u",), ("v",)], "link STRING")
+    assert {r.link: (r.html, r.error_kind) for r in page_join(rows, pages).collect()} == {"u": ("<p>", None), "v": (None, "http")}
