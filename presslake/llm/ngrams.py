@@ -21,11 +21,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.llm.common import in_chunks, own_columns, shared_folder, shuffle_partitions, utf8
+from presslake.llm.common import bounded, in_chunks, own_columns, shared_folder, shuffle_partitions, utf8
 
 # Hashes of the start and end of a text; a word's hash is never one of them.
 BEGIN, END = 1, 0
-FLUSH_PAIRS = 3 << 20
+FLUSH_PAIRS = 2 << 20
 CHUNK_BYTES = 2 << 20
 CACHED_WORDS = 1 << 19
 # What the files hold beside their sorted keys.
@@ -154,7 +154,8 @@ def heavy_words(texts: DataFrame, rows: int = 2000, share: float = 0.002) -> lis
     """
     import numpy as np
 
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, 20000).alias("text")).limit(rows)
+    ids = bounded(texts.select("doc_id"), rows, "doc_id").distinct()
+    sample = texts.join(F.broadcast(ids), "doc_id", "left_semi").select(F.substring("text", 1, 20000).alias("text")).limit(2 * rows)
     tokens, _ = tokens_of([(r.text or "").encode() for r in sample.collect()], Hashes())
     words, counts = np.unique(np.append(tokens, np.uint64(BEGIN)), return_counts=True)
     return [int(w) for w in words[(counts >= share * len(tokens)) | (words == BEGIN)]]
