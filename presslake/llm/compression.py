@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from presslake.llm.common import own_columns, utf8
+from presslake.llm.common import bounded, own_columns, utf8
 
 
 def labelled(labels: DataFrame, label: str, id_col: str, train: Column | None) -> DataFrame:
@@ -21,7 +21,7 @@ def labelled(labels: DataFrame, label: str, id_col: str, train: Column | None) -
 def sample_ids(rows: DataFrame, part: int, limit: int, where: str = "true") -> DataFrame:
     """At most limit rows of one half of the labelled ids, by a hash of the id: the same ones on every run."""
     half = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == part).where(where)
-    return half.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return bounded(half, limit, "doc_id")
 
 
 def pieces(docs: DataFrame, ids: DataFrame, chars: int, id_col: str, text_col: str) -> list[tuple[int, bytes]]:

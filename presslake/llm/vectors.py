@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presslake.llm.common import bounded
+
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<double>) of the vectors that take part.
@@ -23,7 +25,7 @@ def sample(rows: DataFrame, limit: int, salt: str):
     """(ids, matrix) of at most limit rows, by a hash of their ids: the same ones on every run."""
     import numpy as np
 
-    few = rows.orderBy(F.xxhash64("vec_id", F.lit(salt)), "vec_id").limit(limit).toArrow()
+    few = bounded(rows, limit, "vec_id", F.lit(salt)).toArrow()
     return few.column("vec_id").to_numpy(), matrix(few.column("v")) if few.num_rows else np.zeros((0, 1))
 
 
