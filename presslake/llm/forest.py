@@ -6,7 +6,8 @@ indexed: it lies in one leaf of each tree. A query walks all trees through one p
 lies beyond the splits on the way, and so visits a number of leaves; the rows in them are ranked exactly.
 
 How many leaves are visited is not guessed: a bounded set of audit queries is answered by brute force, and the smallest
-number that reaches the target recall on them is taken.
+number that reaches the target recall on them is taken. The first of them are searched ahead of the rest; the k-th
+distance found there bounds what the other leaves have to report.
 """
 
 from __future__ import annotations
@@ -177,6 +178,7 @@ def search(table: DataFrame, queries: Column, k: int = 10, trees: int = TREES, l
         true = exact(indexed, audit_ids, audit, k).join(indexed, "vec_id").select("query_id", "v").toArrow()
         owner, near = true.column("query_id").to_numpy(), matrix(true.column("v"))
         visits = visits_for(forest, audit, [near[owner == q] for q in audit_ids], target)
+    first = min(visits, max(trees, visits // 8))
     parts = max(1, -(-total // ((1 << depth) * GROUP_ROWS)))
 
     def place(batches: Iterator) -> Iterator:
@@ -194,22 +196,40 @@ def search(table: DataFrame, queries: Column, k: int = 10, trees: int = TREES, l
         import pyarrow as pa
 
         for batch in batches:
-            points = matrix(batch.column(1))
-            found = [visit(forest, x, visits) for x in points]
+            points, radius = matrix(batch.column(1)), batch.column(2)
+            later = radius.null_count == 0
+            found = [visit(forest, x, visits)[first:] if later else visit(forest, x, first) for x in points]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             flat = np.array([x for f in found for x in f], np.int32).reshape(-1, 2)
-            columns = [pa.array(flat[:, 0]), pa.array(flat[:, 1]), batch.column(0).take(owner), batch.column(1).take(owner)]
-            yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "vec_id", "v"])
+            columns = [pa.array(flat[:, 0]), pa.array(flat[:, 1]), *(c.take(owner) for c in batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "vec_id", "v", "radius"])
 
     def rank(left, right):
-        ids, points = left.column("vec_id").to_numpy(), matrix(left.column("v"))
-        asked_ids, asked = right.column("vec_id").to_numpy(), matrix(right.column("v"))
-        return _result([(int(q), *nearest(q, x, ids, points, k)) for q, x in zip(asked_ids, asked)] if len(ids) else [])
+        rows = []
+        if left.num_rows:
+            ids, points = left.column("vec_id").to_numpy(), matrix(left.column("v"))
+            asked_ids, asked = right.column("vec_id").to_numpy(), matrix(right.column("v"))
+            for q, x, radius in zip(asked_ids, asked, right.column("radius").to_pylist()):
+                near, far = nearest(q, x, ids, points, k)
+                inside = slice(None) if radius is None else far <= radius
+                rows.append((int(q), near[inside], far[inside]))
+        return _result(rows)
 
     schema = "tree int, leaf int, vec_id long, v array<double>"
     key = ["tree", "leaf", "part"]
     placed = indexed.select("vec_id", "v").mapInArrow(place, schema)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    asking = asked.select("vec_id", "v").mapInArrow(ask, schema)
-    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return best(placed.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(rank, RESULT), k)
+
+    def searched(queries: DataFrame) -> DataFrame:
+        asking = queries.mapInArrow(ask, schema + ", radius double")
+        asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return placed.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(rank, RESULT)
+
+    early = best(searched(asked.select("vec_id", "v", F.lit(None).cast("double").alias("radius"))), k)
+    if first >= visits:
+        return early
+    early = written(early, "early")
+    kth = early.groupBy("query_id").agg(F.max("score").alias("far"), F.count("*").alias("n"))
+    bound = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
+    bounded_ = asked.join(kth, asked.vec_id == kth.query_id, "left").select("vec_id", "v", F.coalesce(bound, F.lit(float("inf"))).alias("radius"))
+    return best(early.select("query_id", "vec_id", "score").union(searched(bounded_)), k)
