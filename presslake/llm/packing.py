@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from presslake.llm.common import own_columns, utf8, written
+from presslake.llm.common import own_columns, shuffle_partitions, utf8, written
 
 LENGTH = 1024
 END_ID = 2
-SHARD_ITEMS, ISLANDS, EPOCHS = 16384, 3, 2
-GENERATIONS, POPULATION = 3, 3
+SHARD_ITEMS, ISLANDS, EPOCHS = 65536, 4, 3
+GENERATIONS, POPULATION = 6, 3
 # The pre-tokenising pattern that byte-level vocabularies of this kind share.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -230,7 +230,7 @@ def _islands(items: DataFrame, islands: int) -> DataFrame:
     return items.select("shard", "length").groupBy("shard").applyInArrow(run, "shard long, island int, sizes binary, packings binary")
 
 
-def _epoch(state: DataFrame, epoch: int, islands: int, capacity: int, generations: int, most: int) -> DataFrame:
+def _epoch(state: DataFrame, parts: int, epoch: int, islands: int, capacity: int, generations: int, most: int) -> DataFrame:
     """One epoch on every island. Each passes its population on to itself and its best packing to the next island."""
 
     def run(table):
@@ -253,7 +253,8 @@ def _epoch(state: DataFrame, epoch: int, islands: int, capacity: int, generation
             }
         )
 
-    return state.groupBy("shard", "island").applyInArrow(run, state.schema)
+    spread = state.repartition(parts, "shard", "island")  # few bytes, much work: not to be gathered into few tasks
+    return spread.groupBy("shard", "island").applyInArrow(run, state.schema)
 
 
 def _placed(items: DataFrame, state: DataFrame, capacity: int) -> DataFrame:
@@ -299,8 +300,9 @@ def pack(given: DataFrame, length: int = LENGTH, shard_items: int = SHARD_ITEMS,
     shards = max(1, round(open_.count() / shard_items))
     items = open_.withColumn("shard", F.pmod(F.xxhash64("row_no"), F.lit(shards).cast("long")))
     state = _islands(items, islands)
+    parts = min(shards * islands, 8 * shuffle_partitions(given.sparkSession))
     for epoch in range(epochs):
-        state = written(_epoch(state, epoch, islands, length, generations, population), "islands")
+        state = written(_epoch(state, parts, epoch, islands, length, generations, population), "islands")
     return full.unionByName(_placed(items, state, length))
 
 
