@@ -179,3 +179,40 @@ FROM placed
 @registered
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+SQL["op1_embedding_near_dedup"] = r"""
+WITH RECURSIVE clean AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, len(embedding) AS n FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+usable AS (SELECT * FROM clean WHERE n = (SELECT arg_min(n, vec_id) FROM clean)),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM usable UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+found AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, coalesce(f.component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(f.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN found f USING (vec_id) LEFT JOIN counts c USING (vec_id)
+"""
+
+SQL["op3_suffix_array_dedup"] = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+places AS (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM bytes WHERE n >= 100),
+strings AS (SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, 200)) AS s FROM places),
+repeats AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth FROM strings) WHERE nth > 1),
+edges AS (SELECT doc_id, p, p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + 100 AS opens FROM repeats),
+runs AS (SELECT doc_id, p, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM edges),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run),
+cuts AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM spans GROUP BY doc_id)
+SELECT x.doc_id, x.n AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h ELSE
+         array_to_string(list_transform(range(len(a) + 1), lambda i:
+           substring(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1,
+                     2 * ((CASE WHEN i = len(a) THEN n ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE b[i] END)))), '') END)) AS kept_sha256
+FROM bytes x LEFT JOIN cuts c ON x.doc_id = c.doc_id
+"""
