@@ -126,7 +126,7 @@ def all_articles(spark, sf_dir):
 
 
 _NESTED = """SELECT r.feed_ord, r.feed_url, r.feed_title, r.feed_type,
-  string_agg(json_object('title', title, 'url', url, 'published', published, 'author', author, 'n_chars', length(content),
+  string_agg(json_object('title', title, 'url', url, 'published', published, 'author', author, 'content', content,
              'images', CASE WHEN has_image THEN ['https://i.example.com/' || pos || '.png'] ELSE [] END)::VARCHAR, chr(10)
              ORDER BY coalesce(published, '') DESC, pos) AS articles
 FROM v_results r JOIN v_articles a USING (feed_url) WHERE r.success GROUP BY ALL"""
@@ -139,7 +139,7 @@ def nest_output(spark, sf_dir):
         "articles",
         lambda a: F.to_json(
             F.struct(a["title"].alias("title"), a["url"].alias("url"), a["published"].alias("published"), a["author"].alias("author"),
-                     F.length(a["content"]).alias("n_chars"), a["images"].alias("images")),
+                     a["content"].alias("content"), a["images"].alias("images")),
             {"ignoreNullFields": "false"},
         ),
     )
@@ -148,15 +148,10 @@ def nest_output(spark, sf_dir):
 
 @query(
     "to_result_json",
-    f"""WITH {sql.RESULTS}, n AS (
-  SELECT r.feed_ord, r.feed_url, r.feed_title, r.feed_type, list(pos ORDER BY coalesce(published, '') DESC, pos) AS l
-  FROM v_results r JOIN v_articles a USING (feed_url) WHERE r.success GROUP BY ALL)
-SELECT feed_ord, feed_url, feed_title, feed_type, 'Doc ' || l[1] AS first_title, CAST(len(l) AS INTEGER) AS n_articles FROM n""",
+    f"WITH {sql.RESULTS}, {sql.RESULT_LINES} SELECT feed_ord, json FROM v_lines",
 )
 def to_result_json(spark, sf_dir):
-    lines = results.to_result_json(results.nest_output(fx.feed_results(spark, sf_dir), fx.articles(spark, sf_dir)))
-    at = [F.get_json_object("json", f"$.{p}").alias(n) for n, p in [("feed_url", "feed_url"), ("feed_title", "feed_title"), ("feed_type", "feed_type"), ("first_title", "articles[0].title")]]
-    return lines.select("feed_ord", *at, F.json_array_length(F.get_json_object("json", "$.articles")).alias("n_articles"))
+    return results.to_result_json(results.nest_output(fx.feed_results(spark, sf_dir), fx.articles(spark, sf_dir)))
 
 
 @query("take_until_stale", f"WITH {sql.STALE} SELECT feed_url, pos, link, published FROM alive")

@@ -174,12 +174,7 @@ def description_fallback(spark, sf_dir):
 
 @query(
     "image_collect",
-    """WITH n AS (
-  SELECT page_id, list_transform(range((page_id % 8 + 1) // 2), lambda k: 'https://i.example.com/a' || k || '-' || page_id || '.png') AS a,
-         list_transform(range((page_id % 3 + 1) // 2), lambda k: 'https://i.example.com/r' || k || '-' || page_id || '.png') AS r,
-         list_transform(range(15 * (page_id % 2)), lambda k: 'https://i.example.com/c' || k || '-' || page_id || '.png') AS c,
-         list_transform(range((page_id % 5 + 1) // 2), lambda k: 'https://i.example.com/f' || k || '-' || page_id || '.png') AS f FROM pages)
-SELECT page_id, array_to_string(list_slice(CASE WHEN len(a) >= 3 THEN a WHEN len(a) + len(r) >= 3 THEN a || r ELSE a || r || c || f END, 1, 10), ' ') AS images FROM n""",
+    f"SELECT page_id, array_to_string({sql.page_images('page_id')}, ' ') AS images FROM pages",
 )
 def image_collect(spark, sf_dir):
     found = collect_images(fx.pages_with_images(spark, sf_dir), "url", "html")
@@ -188,7 +183,7 @@ def image_collect(spark, sf_dir):
 
 def _extracted(spark, sf_dir):
     rows = bl.with_blocked(fx.page_entries(spark, sf_dir), fx.blacklist(spark, sf_dir))
-    return ex.extract_articles(page_join(rows, fx.crawl(spark, sf_dir)))
+    return ex.extract_articles(page_join(rows, fx.crawl_with_images(spark, sf_dir)))
 
 
 @query("extraction_method_stats", f"WITH {sql.EXTRACTED} SELECT method AS extraction_method, count(*) AS n FROM settled GROUP BY method")
@@ -198,11 +193,12 @@ def extraction_method_stats(spark, sf_dir):
 
 @query(
     "extract_articles",
-    f"""WITH {sql.EXTRACTED} SELECT pos, link, method AS extraction_method, method <> 'failed' AS success, content,
+    f"""WITH {sql.EXTRACTED} SELECT pos, link, title, coalesce(author, 'Unknown') AS author, images, method AS extraction_method, method <> 'failed' AS success, content,
   CASE WHEN took THEN NULL WHEN error_kind = 'network' THEN '网络错误' ELSE '所有提取方法失败' END AS failure_reason FROM settled""",
 )
 def extract_articles(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("pos", "link", "extraction_method", "success", "content", "failure_reason")
+    rows = _extracted(spark, sf_dir).withColumn("images", F.array_join("images", " "))
+    return rows.select("pos", "link", "title", "author", "images", "extraction_method", "success", "content", "failure_reason")
 
 
 @query(

@@ -290,6 +290,13 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", F.when(kind.isNull(), F.col("html")).alias("html"), kind.alias("error_kind"))
 
 
+def crawl_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages with images in them: url, html, error_kind. Images add no text."""
+    fetched = crawl(spark, sf_dir).select("page_id", "error_kind")
+    rows = pages_with_images(spark, sf_dir).join(fetched, "page_id")
+    return rows.select("url", F.when(F.col("error_kind").isNull(), F.col("html")).alias("html"), "error_kind")
+
+
 def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entry per document, several of them linking to one page; one feed per domain and 40 document ids."""
     p = F.col("doc_id")

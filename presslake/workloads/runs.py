@@ -22,7 +22,7 @@ def pipeline_run(spark, sf_dir, materialize=None) -> pipeline.RunOutput:
         feeds=fx.page_feeds(spark, sf_dir),
         docs=docs,
         history=fx.page_history(spark, sf_dir),
-        pages=fx.crawl(spark, sf_dir).drop("page_id"),
+        pages=fx.crawl_with_images(spark, sf_dir),
         blacklist=blocked,
         materialize=materialize,
         at=F.lit("2026-04-14 12:00:00").cast("timestamp_ntz"),
@@ -38,7 +38,7 @@ _PIPELINE = (
            took AND {sql.domain("link")} IN (SELECT dom FROM v_block) AS closed
     FROM settled s JOIN v_page_feeds f USING (feed_url) LEFT JOIN v_page_history h USING (feed_url)),
   shut AS (
-    SELECT * EXCLUDE (m, c),
+    SELECT * EXCLUDE (m, c, images), CASE WHEN closed THEN '' ELSE images END AS images,
            CASE WHEN closed THEN CASE WHEN {sql.valid("description")} THEN 'description-fallback' ELSE 'failed' END ELSE m END AS method,
            CASE WHEN closed THEN CASE WHEN {sql.valid("description")} THEN {sql.strip_tags("description")} ELSE '' END ELSE c END AS content
     FROM marked),
@@ -53,7 +53,7 @@ _PIPELINE = (
     f"""WITH {_PIPELINE}
 SELECT feed_ord, feed_url, 'Feed ' || feed_ord AS feed_title, 'RSS' AS feed_type, CAST(count(*) AS INTEGER) AS n_articles,
   string_agg(json_object('title', title, 'url', link, 'published', published, 'author', coalesce(author, 'Unknown'))::VARCHAR, chr(10) ORDER BY published DESC, pos) AS articles,
-  string_agg(content, chr(10) ORDER BY published DESC, pos) AS contents
+  string_agg(content, chr(10) ORDER BY published DESC, pos) AS contents, string_agg(images, chr(10) ORDER BY published DESC, pos) AS images
 FROM v_out GROUP BY feed_ord, feed_url""",
 )
 def article_pipeline(spark, sf_dir):
@@ -66,6 +66,7 @@ def article_pipeline(spark, sf_dir):
         "feed_ord", "feed_url", "feed_title", "feed_type", F.size("articles").alias("n_articles"),
         F.array_join(line, "\n").alias("articles"),
         F.array_join(F.transform("articles", lambda a: a["content"]), "\n").alias("contents"),
+        F.array_join(F.transform("articles", lambda a: F.array_join(a["images"], " ")), "\n").alias("images"),
     )
 
 

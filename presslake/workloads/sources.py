@@ -125,19 +125,12 @@ def save_history(spark, sf_dir):
 
 @query(
     "write_results",
-    f"""WITH {sql.RESULTS}
-SELECT r.feed_url, r.feed_title, r.feed_type, count(*) AS n_articles, CAST(sum(length(content)) AS BIGINT) AS n_chars
-FROM v_results r JOIN v_articles a USING (feed_url) WHERE r.success GROUP BY ALL""",
+    f"WITH {sql.RESULTS}, {sql.RESULT_LINES} SELECT json FROM v_lines",
 )
 def write_results(spark, sf_dir):
     path = scratch_path(spark, "results")
     sinks.write_results(results.nest_output(fx.feed_results(spark, sf_dir), fx.articles(spark, sf_dir)), path)
-    schema = "feed_url STRING, feed_title STRING, feed_type STRING, articles ARRAY<STRUCT<content: STRING>>"
-    written = spark.read.schema(schema).json(path)
-    n_chars = F.aggregate("articles", F.lit(0).cast("bigint"), lambda acc, a: acc + F.length(a["content"]))
-    return written.select(
-        "feed_url", "feed_title", "feed_type", F.size("articles").cast("bigint").alias("n_articles"), n_chars.alias("n_chars")
-    )
+    return spark.read.text(path).withColumnRenamed("value", "json")
 
 
 @query(

@@ -233,6 +233,19 @@ PROBES = f"""
     SELECT DISTINCT CASE user_id % 4 WHEN 1 THEN 'u@h' || user_id || '.example.com:8080' WHEN 3 THEN 'httpbin' || user_id
                     ELSE 'h' || user_id || '.example.com' END AS domain FROM events WHERE user_id % 3 = 0)"""
 
+
+
+def page_images(p: str) -> str:
+    """Images of the page with id p as fixtures.pages_with_images writes them: the article's, then other containers'."""
+
+    def run(label: str, n: str) -> str:
+        return f"list_transform(range({n}), lambda k: 'https://i.example.com/{label}' || k || '-' || {p} || '.png')"
+
+    a, r = run("a", f"({p} % 8 + 1) // 2"), run("r", f"({p} % 3 + 1) // 2")
+    c, f = run("c", f"15 * ({p} % 2)"), run("f", f"({p} % 5 + 1) // 2")
+    return f"list_slice(CASE WHEN len({a}) >= 3 THEN {a} WHEN len({a}) + len({r}) >= 3 THEN {a} || {r} ELSE {a} || {r} || {c} || {f} END, 1, 10)"
+
+
 CRAWL = """
   v_crawl AS (
     SELECT page_id, url, CASE WHEN page_id % 19 = 4 THEN 'network' WHEN page_id % 19 = 9 THEN 'http' END AS error_kind,
@@ -271,7 +284,8 @@ EXTRACTED = (
                 WHEN length(CASE WHEN length(t3) >= 100 THEN t3 ELSE t4 END) >= 100 THEN 'css-selectors' END AS method,
            t1, t2, CASE WHEN length(t3) >= 100 THEN t3 ELSE t4 END AS t34 FROM tried),
   settled AS (
-    SELECT e.*, p.error_kind, p.method IS NOT NULL AS took,
+    SELECT e.*, p.page_id, p.error_kind, p.method IS NOT NULL AS took,
+           array_to_string(CASE WHEN p.method IS NOT NULL THEN {page_images("p.page_id")} ELSE [] END, ' ') AS images,
            coalesce(p.method, CASE WHEN {valid("e.description")} THEN 'description-fallback' ELSE 'failed' END) AS method,
            CASE p.method WHEN 'readability' THEN t1 WHEN 'newspaper3k' THEN t2 WHEN 'css-selectors' THEN t34
                 ELSE CASE WHEN {valid("e.description")} THEN {strip_tags("e.description")} ELSE '' END END AS content
@@ -279,6 +293,11 @@ EXTRACTED = (
 )
 
 
-def json_articles() -> str:
-    return """to_json(list(struct_pack(title := title, url := url, published := published, author := author,
-              content := content, images := images) ORDER BY coalesce(published, '') DESC, pos))"""
+# The output lines: one JSON document for each successful feed with articles.
+RESULT_LINES = """
+  v_lines AS (
+    SELECT feed_ord, json_object('feed_url', feed_url, 'feed_title', r.feed_title, 'feed_type', r.feed_type, 'articles',
+             list(struct_pack(title := title, url := url, published := published, author := author, content := content,
+                  images := CASE WHEN has_image THEN ['https://i.example.com/' || pos || '.png'] ELSE [] END)
+                  ORDER BY coalesce(published, '') DESC, pos))::VARCHAR AS json
+    FROM v_results r JOIN v_articles a USING (feed_url) WHERE r.success GROUP BY feed_ord, feed_url, r.feed_title, r.feed_type)"""
