@@ -47,18 +47,21 @@ def datable(entries: DataFrame) -> DataFrame:
     return require_link(entries).where(blank_to_null(F.col("published")).isNotNull())
 
 
-def stop_positions(entries: DataFrame, history: DataFrame) -> DataFrame:
-    """(feed_url, stop_pos): first datable entry of each feed that is not newer than its mark."""
+def stop_positions(entries: DataFrame, history: DataFrame, document: tuple[str, ...] = ("feed_url",)) -> DataFrame:
+    """(*document, stop_pos): first datable entry of each document that is not newer than its feed's mark."""
     marks = history.where(blank_to_null(F.col("last_id")).isNotNull()).select("feed_url", "last_id")
-    dated = datable(entries).select("feed_url", "pos", "published")
+    dated = datable(entries).select(*document, "pos", "published")
     stale = dated.join(marks, "feed_url").where(~is_newer_than_last_id(F.col("published"), F.col("last_id")))
-    return stale.groupBy("feed_url").agg(F.min("pos").alias("stop_pos"))
+    return stale.groupBy(*document).agg(F.min("pos").alias("stop_pos"))
 
 
-def take_until_stale(entries: DataFrame, history: DataFrame) -> DataFrame:
-    """Datable entries before their feed's stop position; later newer ones are given up with the rest."""
-    stops = stop_positions(entries, history)
-    joined = datable(entries).join(stops, "feed_url", "left")
+def take_until_stale(entries: DataFrame, history: DataFrame, document: tuple[str, ...] = ("feed_url",)) -> DataFrame:
+    """Datable entries before their document's stop position; later newer ones are given up with the rest.
+
+    document tells several fetches of one feed apart, e.g. ("feed_url", "fetch_id").
+    """
+    stops = stop_positions(entries, history, document)
+    joined = datable(entries).join(stops, list(document), "left")
     return joined.where(F.col("stop_pos").isNull() | (F.col("pos") < F.col("stop_pos"))).drop("stop_pos")
 
 
@@ -68,9 +71,15 @@ def first_k_per_feed(rows: DataFrame, k: int = MAX_ARTICLES, order: list[Column]
     return rows.withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= k)
 
 
-def limit_successes(extracted: DataFrame, k: int = MAX_ARTICLES) -> DataFrame:
-    """First k successful entries with content, in document order."""
-    return first_k_per_feed(require_content(extracted), k).drop("rn")
+def limit_successes(extracted: DataFrame, k: int = MAX_ARTICLES, order: list[Column] | None = None) -> DataFrame:
+    """First k successful entries with content, in document order unless order is given."""
+    return first_k_per_feed(require_content(extracted), k, order).drop("rn")
+
+
+def newest_fetch_of_each(entries: DataFrame) -> DataFrame:
+    """Of the copies of an entry (link, published) in several fetches of its feed (fetch_id), the newest fetch's first."""
+    copies = Window.partitionBy("feed_url", "link", "published").orderBy(F.col("fetch_id").desc(), "pos")
+    return entries.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop("_copy")
 
 
 def require_content(extracted: DataFrame) -> DataFrame:

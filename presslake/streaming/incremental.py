@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StringType, StructField, StructType
 
-from presslake.operators.incremental import MAX_ARTICLES, history_update, limit_successes, take_until_stale
+from presslake.operators.incremental import (
+    MAX_ARTICLES,
+    history_update,
+    limit_successes,
+    newest_fetch_of_each,
+    take_until_stale,
+)
+from presslake.sources.feeds import rewrite_entry_links, scan_feed_entries
 from presslake.schemas import ENTRIES
 from presslake.sources.state import load_history, save_history
 
@@ -24,6 +31,13 @@ def read_entry_stream(spark: SparkSession, path: str, schema: str = ENTRIES, fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def read_document_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Landed feed documents (feed_url, fetch_id, doc) as a stream of entries with links rewritten, one parse per row."""
+    schema = "feed_url STRING, fetch_id BIGINT, doc STRING"
+    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return rewrite_entry_links(scan_feed_entries(docs))
+
+
 def process_batch(
     entries: DataFrame,
     batch_id: int,
@@ -33,10 +47,18 @@ def process_batch(
     k: int = MAX_ARTICLES,
 ) -> None:
     """One run over a micro-batch. Results are written before the marks move; both paths carry the batch number,
-    so a replayed batch starts from the same marks and replaces its own output."""
+    so a replayed batch starts from the same marks and replaces its own output.
+
+    Where entries have fetch_id, a micro-batch may hold several fetches of a feed: each stops at its own first stale
+    entry, an entry found in several counts once, and newer fetches come first.
+    """
     spark = entries.sparkSession
     history = load_history(spark, history_root, before=batch_id)
-    accepted = limit_successes(extract(take_until_stale(entries, history)), k)
+    if "fetch_id" in entries.columns:
+        fresh = newest_fetch_of_each(take_until_stale(entries, history, ("feed_url", "fetch_id")))
+        accepted = limit_successes(extract(fresh), k, [F.col("fetch_id").desc(), F.col("pos")])
+    else:
+        accepted = limit_successes(extract(take_until_stale(entries, history)), k)
     target = f"{results_root}/batch={batch_id}"
     accepted.write.mode("overwrite").parquet(target)
     written = spark.read.schema(accepted.schema).parquet(target)

@@ -41,3 +41,38 @@ def test_helpers_travel_by_value(spark):
     assert b"_make_skeleton_class" in cloudpickle.dumps(stream._MarkKeeper)
     df = spark.createDataFrame([("&amp;",)], "t STRING").select(text.html_unescape(F.col("t")).alias("t"))
     assert df.first().t == "&"
+
+
+def test_two_fetches_in_one_batch(spark, tmp_path):
+    rows = [
+        ("f", 1, 0, "a", "2026-01-05T00:00:00"), ("f", 1, 1, "old", "2026-01-01T00:00:00"), ("f", 1, 2, "given up", "2026-01-09T00:00:00"),
+        ("f", 2, 0, "b", "2026-01-06T00:00:00"), ("f", 2, 1, "a", "2026-01-05T00:00:00"), ("f", 2, 2, "old", "2026-01-01T00:00:00"),
+    ]
+    entries = spark.createDataFrame(rows, "feed_url STRING, fetch_id BIGINT, pos BIGINT, link STRING, published STRING")
+    settled = entries.withColumn("success", F.lit(True)).withColumn("content", F.lit("c"))
+    marks, kept = str(tmp_path / "marks"), str(tmp_path / "kept")
+    from presslake.sources.state import save_history
+
+    save_history(spark.createDataFrame([("f", "2026-01-02T00:00:00")], "feed_url STRING, last_id STRING"), marks, 0)
+    stream.process_batch(settled, 1, marks, kept, lambda df: df)
+    got = spark.read.parquet(f"{kept}/batch=1").orderBy("published").collect()
+    assert [(r.fetch_id, r.pos, r.link) for r in got] == [(2, 1, "a"), (2, 0, "b")]
+    assert load_history(spark, marks).first().last_id == "2026-01-06T00:00:00"
+
+
+def test_stream_of_documents_equals_the_batch(spark, sf_dir, tmp_path):
+    from presslake.sources.feeds import rewrite_entry_links, scan_feed_entries
+
+    docs = fx.feed_documents(spark, sf_dir).select("feed_url", F.lit(1).cast("bigint").alias("fetch_id"), "doc")
+    landed = str(tmp_path / "landed")
+    docs.repartition(3).write.parquet(landed)
+
+    def settle(df):
+        return df.withColumn("success", F.lit(True)).withColumn("content", F.lit("c"))
+
+    kept = str(tmp_path / "kept")
+    source = stream.read_document_stream(spark, landed)
+    stream.run_stream(source, str(tmp_path / "marks"), kept, str(tmp_path / "checkpoint"), settle).awaitTermination()
+    none = inc.history_clear(fx.history(spark, sf_dir))
+    batch = inc.limit_successes(settle(inc.take_until_stale(rewrite_entry_links(scan_feed_entries(docs)), none)))
+    assert keys(spark.read.parquet(kept)) == keys(batch)
