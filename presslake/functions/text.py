@@ -180,12 +180,18 @@ def _decode_batch(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
 
 
 def decode_body(body: Column, charset: Column) -> Column:
-    """Bytes to text. An absent or ISO-8859-1 declaration is not trusted: valid UTF-8 wins, Latin-1 is the rest.
+    """Bytes to text. An absent or ISO-8859-1 declaration is not trusted: valid UTF-8 wins, then what the bytes
+    themselves say (a byte order mark, or a charset in a meta tag), and Latin-1 is the rest.
 
     Other charsets Spark cannot read (GB18030, Shift_JIS, ...) go through an Arrow helper, other rows as NULL.
     """
-    name = F.lower(F.coalesce(charset, F.lit("iso-8859-1")))
+    declared = F.lower(F.coalesce(charset, F.lit("iso-8859-1")))
     utf8 = F.try_validate_utf8(body.cast("string"))
+    mark = F.hex(F.substring(body, 1, 2))
+    bytes_as_text = F.decode(F.when((declared == "iso-8859-1") & utf8.isNull(), body), "ISO-8859-1")
+    meta = F.regexp_extract(bytes_as_text, r"(?is)<meta\b[^>]*?charset\s*=\s*[\x22\x27]?\s*([\w.:-]+)", 1)
+    own = F.when(mark.isin("FEFF", "FFFE"), F.lit("utf-16")).otherwise(blank_to_null(F.lower(meta)))
+    name = F.when(bytes_as_text.isNotNull(), F.coalesce(own, declared)).otherwise(declared)
     native = name.isin("iso-8859-1", "utf-8", "utf8")
     foreign = F.when(~native, body)
     return F.coalesce(

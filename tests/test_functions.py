@@ -216,3 +216,16 @@ def test_both_image_paths_agree(spark):
 def test_references_of_any_length(spark):
     got = values(spark, lambda c: text.decode_entities(c, loose=True), ["&#000000065;&#x0000000041;", "&#150;&#x80;&#129;", "&#99999999999999999999;", "&check"])
     assert got == ["AA", "–€\x81", "&#99999999999999999999;", "&check"]
+
+
+def test_charset_from_the_bytes(spark):
+    page = '<html><head><meta charset="gb18030"></head><body>中文</body></html>'
+    old = "<meta http-equiv='Content-Type' content='text/html; charset=Shift_JIS'>日本"
+    rows = [
+        (page.encode("gb18030"), None), (old.encode("shift_jis"), "ISO-8859-1"), (page.encode("utf-16"), None),
+        ("é".encode("latin-1"), None), ("é中".encode(), "ISO-8859-1"), (b'<meta charset="no-such">\xe9', None), (None, None), (b"", None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i INT, body BINARY, charset STRING")
+    got = [r.t for r in df.select("i", text.decode_body(F.col("body"), F.col("charset")).alias("t")).orderBy("i").collect()]
+    assert got[:5] == [page, old, page, "é", "é中"]
+    assert got[5].startswith('<meta charset="no-such">') and got[6:] == [None, ""]
