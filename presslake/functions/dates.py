@@ -12,12 +12,12 @@ from presslake.functions.binding import row_sql, sql_let
 # Month abbreviations of the mail date format, in order.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
-_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:[.,](\d{1,9}))?)?\s*(Z|z|[+-]\d{2}:?\d{2})?$"
+ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:[.,](\d{1,9}))?)?\s*(Z|z|[+-]\d{2}:?\d{2})?$"
 _MAIL = (
     r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})[\s-]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s-]+(\d{4})"
     r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(gmt|utc|ut|z|[ecmp][sd]t|[+-]\d{2}:?\d{2})?$"
 )
-_ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}.*(?:Z|z|[+-]\d{2}:?\d{2})$"
+ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}.*(?:Z|z|[+-]\d{2}:?\d{2})$"
 
 # Zone names of the mail date format.
 ZONE_OFFSETS = {
@@ -54,7 +54,7 @@ def _sql_mail(t: str) -> str:
 
 def _sql_parts(t: str) -> str:
     """STRUCT<local, offset>, NULL for text in neither format; local is NULL for impossible dates."""
-    return f"CASE WHEN rlike({t}, r'{_ISO}') THEN {_sql_iso(t)} WHEN rlike({t}, r'{_MAIL}') THEN {_sql_mail(t)} END"
+    return f"CASE WHEN rlike({t}, r'{ISO}') THEN {_sql_iso(t)} WHEN rlike({t}, r'{_MAIL}') THEN {_sql_mail(t)} END"
 
 
 def _sql_iso_text(ntz: str) -> str:
@@ -72,15 +72,19 @@ def sql_iso_to_utc(t: str) -> str:
 
 @F.pandas_udf(StringType())
 def _free_form_batch(texts: pd.Series) -> pd.Series:
+    from datetime import datetime
+
     from dateutil import parser
 
     def parse(text):
+        """Read under two different defaults: a text that leaves a part of the date open is no date."""
         if not text:
             return None
         try:
-            return parser.parse(text).isoformat()
+            one, other = (parser.parse(text, default=datetime(*day)) for day in ((2000, 1, 1), (2001, 2, 2)))
         except Exception:
             return None
+        return one.isoformat() if one == other else None
 
     return texts.map(parse)
 
@@ -96,7 +100,7 @@ def parse_timestamp(text: Column, free_form: bool = True) -> Column:
     if not free_form:
         return native
     trimmed = F.trim(text)
-    other = text.rlike(_US_ZONE) | ~(trimmed.rlike(_ISO) | trimmed.rlike(_MAIL))
+    other = text.rlike(_US_ZONE) | ~(trimmed.rlike(ISO) | trimmed.rlike(_MAIL))
     return F.coalesce(native, _free_form_batch(F.when((text != "") & other, text)))
 
 
@@ -117,8 +121,8 @@ def sql_published(fields: list[str]) -> str:
 
 
 def _newer(ts: Column, last: Column, undecided: Column) -> Column:
-    both_iso = ts.rlike(_ISO) & last.rlike(_ISO)
-    ts_zoned, last_zoned = ts.rlike(_ISO_ZONED), last.rlike(_ISO_ZONED)
+    both_iso = ts.rlike(ISO) & last.rlike(ISO)
+    ts_zoned, last_zoned = ts.rlike(ISO_ZONED), last.rlike(ISO_ZONED)
     instant = ts.try_cast("timestamp") > last.try_cast("timestamp")
     local = ts.try_cast("timestamp_ntz") > last.try_cast("timestamp_ntz")
     later = F.when(both_iso & ts_zoned & last_zoned, instant).when(both_iso & ~ts_zoned & ~last_zoned, local)

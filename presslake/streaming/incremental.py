@@ -1,8 +1,8 @@
 """The same job on landed files as Structured Streaming.
 
 run_stream is the form to use at scale: each micro-batch is the batch plan, with its skew handling, between two
-published snapshots of the marks. keyed_marks keeps the marks as keyed state instead; all new rows of a feed then
-meet in one task per micro-batch, so bound the micro-batch with maxFilesPerTrigger or maxBytesPerTrigger.
+published snapshots of the marks. keyed_marks accepts the same rows with the marks as keyed state; all new rows of a feed
+then pass through one task per micro-batch, in bounded memory.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from presslake.functions.dates import ISO, ISO_ZONED
 from presslake.operators.incremental import (
     MAX_ARTICLES,
+    datable,
     history_update,
     limit_successes,
     newest_fetch_of_each,
@@ -87,31 +89,57 @@ def run_stream(
 
 
 class _MarkKeeper(StatefulProcessor):
-    """Passes rows newer than the feed's mark, then raises the mark. Holds one value per feed."""
+    """A feed's run over its rows of one micro-batch: stop at the first stale one, keep the first k successes, move the mark.
+
+    Rows come in any order and are seen once: the k first successes among the newer rows are held, with the least
+    position of a stale row, so memory does not grow with the feed. State is one value per feed.
+    """
+
+    def __init__(self, k: int):
+        self.k = k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mark = handle.getValueState("mark", StructType([StructField("last_id", StringType())]))
+        fields = [StructField("last_id", StringType()), StructField("kind", IntegerType()), StructField("at", LongType())]
+        self.mark = handle.getValueState("mark", StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.mark.get()[0] if self.mark.exists() else ""
-        newest = before
+        last, kind, at = self.mark.get() if self.mark.exists() else (None, 0, 0)
+        held, stop = None, None
         for chunk in rows:
-            fresh = chunk[chunk["published"] > before]
-            if len(fresh):
-                newest = max(newest, fresh["published"].max())
-                yield fresh
-        if newest != before:
-            self.mark.update((newest,))
+            newer = chunk["published"] != last
+            if last is not None and kind:
+                alike = chunk["mark_kind"] == kind
+                newer = (alike & (chunk["mark_at"] > at)) | (~alike & newer)
+            stale = chunk.loc[~newer, "pos"]
+            if len(stale):
+                stop = stale.min() if stop is None else min(stop, stale.min())
+            good = chunk[newer & chunk["success"].fillna(False).astype(bool) & (chunk["content"].fillna("") != "")]
+            held = (good if held is None else pd.concat([held, good])).nsmallest(self.k, "pos")
+        if held is None:
+            return
+        kept = held if stop is None else held[held["pos"] < stop]
+        if len(kept):
+            newest = kept.sort_values("published").iloc[-1]
+            self.mark.update((newest["published"], int(newest["mark_kind"]), int(newest["mark_at"])))
+            yield kept.drop(columns=["mark_kind", "mark_at"])
 
     def close(self) -> None:
         pass
 
 
-def keyed_marks(entries: DataFrame) -> DataFrame:
-    """Dated entries newer than their feed's mark, the mark being keyed state. published is zone-less ISO text."""
-    dated = entries.where(F.coalesce(F.col("published"), F.lit("")) != "")
-    return dated.groupBy("feed_url").transformWithStateInPandas(
-        statefulProcessor=_MarkKeeper(), outputStructType=dated.schema, outputMode="Append", timeMode="None"
+def keyed_marks(entries: DataFrame, k: int = MAX_ARTICLES) -> DataFrame:
+    """What a run accepts of settled entries (as limit_successes of take_until_stale), the marks being keyed state.
+
+    Entries have published, link, pos, success and content. Every micro-batch is one run.
+    """
+    at = F.col("published")
+    zoned = F.unix_micros(at.try_cast("timestamp"))
+    local = F.unix_micros(at.try_cast("timestamp_ntz").cast("timestamp"))
+    dated = datable(entries)
+    kind = F.when(at.rlike(ISO_ZONED) & zoned.isNotNull(), 2).when(at.rlike(ISO) & ~at.rlike(ISO_ZONED) & local.isNotNull(), 1).otherwise(0)
+    ready = dated.withColumn("mark_kind", kind).withColumn("mark_at", F.coalesce(F.when(kind == 2, zoned).when(kind == 1, local), F.lit(0)))
+    return ready.groupBy("feed_url").transformWithStateInPandas(
+        statefulProcessor=_MarkKeeper(k), outputStructType=dated.schema, outputMode="Append", timeMode="None"
     )
 
 

@@ -141,27 +141,24 @@ def incremental_stream(spark, sf_dir):
 
 @query(
     "stream_incremental_state",
-    f"""WITH {sql.SETTLED}, d AS (SELECT feed_url, pos, published FROM v_settled WHERE published IS NOT NULL),
-  m AS (SELECT feed_url, max(published) AS mark FROM d WHERE {_OLDER} GROUP BY feed_url)
-SELECT * FROM d WHERE {_OLDER} UNION ALL
-SELECT d.* FROM d LEFT JOIN m USING (feed_url) WHERE NOT ({_OLDER}) AND (mark IS NULL OR published > mark)""",
+    f"WITH {_TWO_RUNS} SELECT feed_url, pos, link, published FROM one_kept UNION ALL SELECT feed_url, pos, link, published FROM two_kept",
 )
 def stream_incremental_state(spark, sf_dir):
-    entries = fx.settled(spark, sf_dir).select("feed_url", "pos", "published")
+    entries = fx.settled(spark, sf_dir)
     root = scratch_path(spark, "state")
     landed, kept = f"{root}/landed", f"{root}/kept"
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        for part in (entries.where(_OLDER), entries.where(f"NOT ({_OLDER})")):
+        for part in (entries.where(_OLDER), entries):
             part.write.mode("append").parquet(landed)
             marked = stream.keyed_marks(stream.read_entry_stream(spark, landed, entries.schema))
             run = marked.writeStream.format("parquet").option("path", kept).option("checkpointLocation", f"{root}/checkpoint")
             run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return spark.read.schema(entries.schema).parquet(kept)
+    return spark.read.schema(entries.schema).parquet(kept).select("feed_url", "pos", "link", "published")
 
 
 @query(
