@@ -325,10 +325,10 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_col: str = "text",
             hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """(doc_id, mark, spans): for each document with repeats, its removed byte ranges [start, end), maximal and in order.
+    """(doc_id, found): for each document with repeats, runs (start, count) of places where a repeat of min_len bytes starts.
 
-    mark is xxhash64 of the text that was judged. Rows with a null id take no part. Of rows that share an id, one text
-    (that of the greatest mark) takes part; the spans hold for the rows with that text.
+    Rows with a null id take no part. Of rows that share an id, one text (that of the greatest xxhash64) takes part.
+    Runs may touch or overlap; merged() makes byte ranges of them.
     """
     if min_len < GRAM:
         raise ValueError(f"min_len is at least {GRAM}")
