@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from presslake.functions.binding import let, with_computed
 from presslake.functions.dates import is_newer_than_last_id
-from presslake.functions.text import blank_to_null
+from presslake.functions.text import blank_to_null, strip_html_tags
 from presslake.functions.urls import absolute_url
 from presslake.operators import blacklist as bl
 from presslake.operators import incremental, results
-from presslake.operators.extraction import Strategy, extract_articles
+from presslake.operators.extraction import Strategy, extract_articles, usable_description
 from presslake.schemas import FEED_NOT_FETCHED
 from presslake.sources import feeds as feed_source
 from presslake.sources.pages import latest_pages, page_join
@@ -22,7 +22,7 @@ from presslake.sources.pages import latest_pages, page_join
 
 @dataclass(frozen=True)
 class RunOutput:
-    """Tables of one run; all lazy."""
+    """Tables of one run; all lazy. extracted holds the candidates that could be among a feed's first k successes."""
 
     results: DataFrame
     extracted: DataFrame
@@ -51,6 +51,23 @@ def entries_until_stale(entries: Column, last_id: Column) -> Column:
     return let(F.filter(entries, usable), cut)
 
 
+def entries_until_certain(entries: Column, k: int) -> Column:
+    """Entries of one document up to the k-th that is certain to succeed: its description alone would do.
+
+    No later entry can be among the first k successes, so its page need not be joined, fetched or read.
+    """
+
+    def certain(e: Column) -> Column:
+        text = feed_source.description_coalesce(e["description"], e["summary"], e["content"])
+        return let(text, lambda d: usable_description(d) & (strip_html_tags(d) != ""))
+
+    def cut(sure: Column) -> Column:
+        places = F.filter(F.transform(sure, lambda s, i: F.when(s, i + 1)), lambda i: i.isNotNull())
+        return let(F.try_element_at(places, F.lit(k)), lambda stop: F.when(stop.isNull(), entries).otherwise(F.slice(entries, 1, stop)))
+
+    return let(F.transform(entries, certain), cut)
+
+
 def feed_results(feeds: DataFrame, docs: DataFrame) -> DataFrame:
     """Status of each subscribed feed, once per position in the list; a feed without a document failed."""
     fetched = docs.groupBy("feed_url").agg(F.max(F.col("doc").isNotNull()).alias("_fetched"))
@@ -68,9 +85,11 @@ def latest_documents(docs: DataFrame) -> DataFrame:
     return docs.groupBy("feed_url").agg(F.max(order)["doc"].alias("doc"))
 
 
-def new_candidates(feeds: DataFrame, docs: DataFrame, history: DataFrame) -> DataFrame:
+def new_candidates(feeds: DataFrame, docs: DataFrame, history: DataFrame, k: int | None = None) -> DataFrame:
     """New entries of the subscribed feeds, links rewritten: feed_ord, feed_url and the entry fields.
 
+    With k, only those that can be among a feed's first k successes.
+
     Marks meet feeds at document grain, one row per feed, before any entry is exploded. A feed that is listed or
     fetched twice is read once, at its first position; nest_output gives its articles to every position.
     """
@@ -79,6 +98,8 @@ def new_candidates(feeds: DataFrame, docs: DataFrame, history: DataFrame) -> Dat
     marked = incremental.history_lookup(subscribed, history)
     parsed = feed_source.parse_documents(marked).where("success")
     fresh = with_computed(parsed, "fresh", entries_until_stale(F.col("entries"), F.col("last_id")))
+    if k is not None:
+        fresh = with_computed(fresh, "fresh", entries_until_certain(F.col("fresh"), k))
     entries = fresh.select("feed_ord", "feed_url", F.inline("fresh"))
     relative = ~F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
     resolved = F.when(relative, absolute_url(F.col("feed_url"), F.when(relative, F.col("link")))).otherwise(F.col("link"))
@@ -110,6 +131,13 @@ def accepted_articles(extracted: DataFrame, k: int = incremental.MAX_ARTICLES) -
     )
 
 
+def inspected(extracted: DataFrame, articles: DataFrame, k: int = incremental.MAX_ARTICLES) -> DataFrame:
+    """The rows a run gets to: those up to a feed's k-th success."""
+    last = articles.groupBy("feed_url").agg(F.max("pos").alias("_last"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
+    joined = extracted.join(last.select("feed_url", "_last"), "feed_url", "left")
+    return joined.where(F.col("_last").isNull() | (F.col("pos") <= F.col("_last"))).drop("_last")
+
+
 def failures_of(extracted: DataFrame, at: Column) -> DataFrame:
     """Network failures of a run as blacklist events (schemas.FAILURES); at is the time of the run.
 
@@ -145,7 +173,7 @@ def run(
         pages = latest_pages(pages)
     seed = bl.union_seed(blacklist, bl.permanent_domains(feeds.sparkSession))
     status = feed_results(feeds, docs)
-    candidates = new_candidates(feeds, docs, history)
+    candidates = new_candidates(feeds, docs, history, k)
     extracted = extract_candidates(candidates, pages, seed, strategies, block_within_run)
     if materialize is not None:
         extracted = materialize(extracted)
@@ -156,5 +184,5 @@ def run(
         articles=articles,
         nested=results.nest_output(status, articles),
         history=incremental.history_update(history, articles),
-        blacklist=bl.blacklist_build(failures_of(extracted, at), seed),
+        blacklist=bl.blacklist_build(failures_of(inspected(extracted, articles, k), at), seed),
     )

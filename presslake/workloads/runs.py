@@ -82,7 +82,9 @@ def article_pipeline_history(spark, sf_dir):
 @query(
     "blacklist_after_run",
     f"""WITH {_PIPELINE}, b AS (SELECT dom AS domain FROM v_block UNION SELECT 'weixin.sogou.com'),
-  n AS (SELECT {sql.domain("link")} AS domain FROM open WHERE stop = 0 AND error_kind = 'network' AND NOT closed)
+  reached AS (SELECT *, coalesce(sum(CAST(method <> 'failed' AND content <> '' AS INT)) OVER (
+                PARTITION BY feed_url ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM open WHERE stop = 0),
+  n AS (SELECT {sql.domain("link")} AS domain FROM reached WHERE before < 5 AND error_kind = 'network' AND NOT closed)
 SELECT domain, TIMESTAMP '2026-04-14 12:00:00' AS added_at, TIMESTAMP '2026-04-14 12:00:00' AS last_failed, count(*) AS fail_count,
        coalesce(any_value('网络错误'), '') AS reason FROM n WHERE domain NOT IN (SELECT domain FROM b) GROUP BY domain
 UNION ALL SELECT domain, NULL, NULL, NULL, NULL FROM b""",
