@@ -17,6 +17,7 @@ from presslake.functions.urls import domain_of_url
 IDS_PER_DOCUMENT = 200
 IDS_PER_OPML = 50
 IDS_PER_FEED = 60
+IDS_PER_ENTRY_FEED = 400
 ENTRIES_PER_FEED = 40
 
 
@@ -36,10 +37,10 @@ def stamp(number: Column) -> Column:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One feed per source, one entry per document: some without title, link, date, author or description."""
+    """One feed per source and 400 document ids, one entry per document: some without title, link, date, author or description."""
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
-        text_of("https://", F.col("source"), ".example.com/feed.xml").alias("feed_url"),
+        text_of("https://", F.col("source"), ".example.com/", F.floor(d / IDS_PER_ENTRY_FEED), "/feed.xml").alias("feed_url"),
         d.alias("pos"),
         F.when(d % 11 == 7, None).when(d % 11 == 8, "").otherwise(text_of("Doc ", d)).alias("title"),
         F.when(d % 17 == 3, None)

@@ -148,7 +148,7 @@ def stamp(n: str) -> str:
 
 ENTRIES = f"""
   v_entries AS (
-    SELECT 'https://' || source || '.example.com/feed.xml' AS feed_url, doc_id AS pos,
+    SELECT 'https://' || source || '.example.com/' || (doc_id // 400) || '/feed.xml' AS feed_url, doc_id AS pos,
            CASE WHEN doc_id % 11 = 7 THEN NULL WHEN doc_id % 11 = 8 THEN '' ELSE 'Doc ' || doc_id END AS title,
            CASE WHEN doc_id % 17 = 3 THEN NULL WHEN doc_id % 34 = 5 THEN ''
                 ELSE 'https://www.' || source || '.example.com/a/' || doc_id END AS link,
