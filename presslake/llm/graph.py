@@ -5,8 +5,8 @@
    clusters and at home in the nearest one. A cluster with many members is dealt into shards of bounded size.
 3. Every shard builds a graph over its members: candidates are the nearest members and some random ones, robust-pruned
    to few neighbours in different directions. The adjacency lists of a node from all of its shards are united.
-4. Every node is searched in each shard of its home cluster, greedily from the medoid (and from itself, if it is there),
-   until the beam settles; then the search expands along the graph as long as it finds nodes within range. Pairs are
+4. Every node is searched in each shard of its home cluster, greedily from the medoid (and from itself and its own
+   adjacency list, as far as they are there), until the beam settles; then the search expands along the graph as long as it finds nodes within range. Pairs are
    verified by cosine in double precision.
 5. Recall is audited against brute force for a bounded set of vectors; if links are missing, the search is repeated with
    more clusters for each node and more neighbours.
@@ -27,9 +27,9 @@ from presslake.llm.components import components
 from presslake.llm.vectors import matrix, sample, usable
 
 THRESHOLD = 0.95
-SAMPLE_ROWS, CLUSTER_ROWS, SHARD_ROWS, OVERLAP, DEGREE = 20000, 1500, 6000, 4, 20
+SAMPLE_ROWS, CLUSTER_ROWS, SHARD_ROWS, OVERLAP, DEGREE = 20000, 1500, 24000, 4, 20
 AUDIT_ROWS, TARGET, TRIES = 200, 0.9999, 3
-ALPHA, WALK, QUERIES = 1.2, 48, 128
+ALPHA, WALK, QUERIES, STARTS = 1.2, 48, 128, 12
 
 
 def centroids(points, count: int, apart: float, seed: int = 1):
@@ -89,9 +89,9 @@ def build(points, degree: int, seed: int):
     rng = np.random.default_rng(seed)
     near = min(n, 2 * degree)
     lists = np.zeros((n, near), np.int64)
-    for at in range(0, n, 1024):
-        close = points[at : at + 1024] @ points.T
-        lists[at : at + 1024] = np.argpartition(-close, near - 1, axis=1)[:, :near]
+    for at in range(0, n, 256):
+        close = points[at : at + 256] @ points.T
+        lists[at : at + 256] = np.argpartition(-close, near - 1, axis=1)[:, :near]
     return robust_prune(points, np.concatenate([lists, rng.integers(0, n, (n, degree))], axis=1), degree)
 
 
@@ -261,8 +261,16 @@ def _searched(members: DataFrame, asking: DataFrame, threshold: float) -> DataFr
         medoid = int((points @ points.mean(0)).argmax())
         asked, queries = right.column("node").to_numpy(), matrix(right.column("v"))
         self_at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
-        starts = np.stack([np.full(len(asked), medoid), np.where(ids[self_at] == asked, self_at, -1)], axis=1)
-        starts[starts[:, 0] == starts[:, 1], 1] = -1
+        starts = np.full((len(asked), STARTS), -1, np.int64)
+        starts[:, 0], starts[:, 1] = medoid, np.where(ids[self_at] == asked, self_at, -1)
+        owner, near = _flat(right.column("near"))
+        near_at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+        inside = ids[near_at] == near
+        owner, near_at = owner[inside], near_at[inside]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner) + 2
+        starts[owner[place < STARTS], place[place < STARTS]] = near_at[place < STARTS]
+        starts.sort(axis=1)
+        starts[:, 1:][starts[:, 1:] == starts[:, :-1]] = -1
         linked, pairs_a, pairs_b = np.zeros(len(asked), np.int64), [], []
         for k in range(0, len(asked), QUERIES):
             part = slice(k, k + QUERIES)
@@ -301,13 +309,15 @@ def _links(nodes: DataFrame, centers, overlap: int, degree: int, shard_rows: int
     members = _members(nodes, centers, overlap)
     sizes = members.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / F.lit(shard_rows)).cast("int").alias("shards"))
     members = members.join(sizes, "cluster")
-    shards = written(members.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")), "shards")
+    shards = written(members.withColumn("shard", F.pmod(F.xxhash64("node", "cluster"), F.col("shards")).cast("int")), "shards")
     lists = _lists(shards.select("cluster", "shard", "node", "v"), degree)
     # Every node has lists from a few shards; united they hold what each shard knows of both ends.
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    united = written(united, "adjacency")
     graph = shards.select("cluster", "shard", "node", "v", "copies").join(united, "node")
-    asking = shards.where("home").select("cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)), "node", "v")
-    asking = asking.toDF("cluster", "shard", "node", "v")  # columns of its own beside those of graph
+    at_home = shards.where("home").join(united, "node")
+    asking = at_home.select("cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)), "node", "v", "near")
+    asking = asking.toDF("cluster", "shard", "node", "v", "near")  # columns of its own beside those of graph
     return written(_searched(graph, asking, threshold), "links")
 
 
