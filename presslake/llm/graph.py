@@ -8,8 +8,9 @@
 4. Every node is searched in each shard of its home cluster, greedily from the medoid (and from itself and its own
    adjacency list, as far as they are there), until the beam settles; then the search expands along the graph as long as it finds nodes within range. Pairs are
    verified by cosine in double precision.
-5. Recall is audited against brute force for a bounded set of vectors; if links are missing, the search is repeated with
-   more clusters for each node and more neighbours.
+5. The search is audited against brute force, node by node, for bounded samples of nodes with no, few and many links
+   found. If one of them lacks a link, the search is repeated with more clusters for each node and more neighbours; when
+   the tries are used up, all nodes are compared block by block.
 
 A task gives one row for each node it searched, with the number of linked rows, and the links of a spanning forest of
 what it found, never all pairs.
@@ -28,7 +29,7 @@ from presslake.llm.vectors import matrix, sample, usable
 
 THRESHOLD = 0.95
 SAMPLE_ROWS, CLUSTER_ROWS, SHARD_ROWS, OVERLAP, DEGREE = 20000, 1500, 24000, 4, 20
-AUDIT_ROWS, TARGET, TRIES = 200, 0.9999, 3
+AUDIT_ROWS, MANY_LINKS, TRIES, ROUNDING = 200, 100, 3, 1e-12
 ALPHA, WALK, QUERIES, STARTS = 1.2, 48, 128, 12
 
 
@@ -247,9 +248,8 @@ def _searched(members: DataFrame, asking: DataFrame, threshold: float) -> DataFr
         import numpy as np
         import pyarrow as pa
 
-        empty = pa.table({"node": pa.array([], pa.int64()), "linked": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
-            return empty
+            return _answer(*[np.zeros(0, np.int64)] * 4)
         left, right = left.sort_by("node"), right.sort_by("node")
         ids, points, copies = left.column("node").to_numpy(), matrix(left.column("v")), left.column("copies").to_numpy()
         owner, near = _flat(left.column("near"))
@@ -281,20 +281,73 @@ def _searched(members: DataFrame, asking: DataFrame, threshold: float) -> DataFr
             nodes, roots = forest_of(asked[part][q], ids[n])
             pairs_a.append(nodes[nodes != roots])
             pairs_b.append(roots[nodes != roots])
-        a, b = forest_of(np.concatenate(pairs_a), np.concatenate(pairs_b))
-        a, b = a[a != b], b[a != b]
-        return pa.table({
-            "node": pa.array(np.concatenate([asked, np.zeros(len(a), np.int64)])),
-            "linked": pa.array(np.concatenate([linked, np.zeros(len(a), np.int64)])),
-            "a": pa.array(np.concatenate([np.zeros(len(asked), np.int64), a]), mask=np.arange(len(asked) + len(a)) < len(asked)),
-            "b": pa.array(np.concatenate([np.zeros(len(asked), np.int64), b]), mask=np.arange(len(asked) + len(a)) < len(asked)),
-        })
+        return _answer(asked, linked, np.concatenate(pairs_a), np.concatenate(pairs_b))
 
     return members.groupBy("cluster", "shard").cogroup(asking.groupBy("cluster", "shard")).applyInArrow(
         run, "node long, linked long, a long, b long"
     )
 
 
+def _answer(asked, linked, a, b):
+    """The rows of _searched: the nodes asked about with what is linked, and a forest of the pairs (a, b)."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = forest_of(a, b)
+    a, b = a[a != b], b[a != b]
+    is_node = np.arange(len(asked) + len(a)) < len(asked)
+    return pa.table({
+        "node": pa.array(np.concatenate([asked, np.zeros(len(a), np.int64)])),
+        "linked": pa.array(np.concatenate([linked, np.zeros(len(a), np.int64)])),
+        "a": pa.array(np.concatenate([np.zeros(len(asked), np.int64), a]), mask=is_node),
+        "b": pa.array(np.concatenate([np.zeros(len(asked), np.int64), b]), mask=is_node),
+    })
+
+
+def all_in_range(ids, points, copies, asked, queries, threshold: float):
+    """(linked, a, b): for each query the copies of all other points within range; pairs that connect what is linked."""
+    import numpy as np
+
+    linked, pairs_a, pairs_b = np.zeros(len(asked), np.int64), [], []
+    root = np.arange(len(ids))  # of each point, a point that earlier queries connect it with
+    weight = copies.astype(float)
+    for k in range(0, len(asked), QUERIES):
+        close = queries[k : k + QUERIES] @ points.T >= threshold
+        close &= asked[k : k + QUERIES, None] != ids
+        linked[k : k + QUERIES] = (close @ weight).round()
+        for row in np.flatnonzero(close.any(1)):
+            roots = root[close[row]]
+            if (roots != roots[0]).any():
+                roots = np.unique(roots)
+                root[np.isin(root, roots)] = roots[0]
+            pairs_a.append(np.full(1 if roots[0] == roots[-1] else len(roots), asked[k + row]))
+            pairs_b.append(ids[roots[: len(pairs_a[-1])]])
+    none = [np.zeros(0, np.int64)]
+    return linked, np.concatenate(pairs_a or none), np.concatenate(pairs_b or none)
+
+
+def _compared(members: DataFrame, asking: DataFrame, threshold: float) -> DataFrame:
+    """What _searched returns, by comparing the nodes asking (cluster, shards, node, v) with all members of their
+    clusters (cluster, shards, shard, node, v, copies). A task has one shard of members and one as large of nodes."""
+
+    def run(left, right):
+        import numpy as np
+
+        if not left.num_rows or not right.num_rows:
+            return _answer(*[np.zeros(0, np.int64)] * 4)
+        asked = right.column("node").to_numpy()
+        ids, copies = left.column("node").to_numpy(), left.column("copies").to_numpy()
+        return _answer(asked, *all_in_range(ids, matrix(left.column("v")), copies, asked, matrix(right.column("v")), threshold))
+
+    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    left = members.select("cluster", "shard", each.alias("part"), "node", "v", "copies")
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("shards")).cast("int")
+    right = asking.select("cluster", each, part, "node", "v").toDF("cluster", "shard", "part", "node", "v")
+    return left.groupBy("cluster", "shard", "part").cogroup(right.groupBy("cluster", "shard", "part")).applyInArrow(
+        run, "node long, linked long, a long, b long"
+    )
+
+
 def _flat(column):
     """(row, value) of a list column."""
     import numpy as np
@@ -321,13 +374,24 @@ def _links(nodes: DataFrame, centers, overlap: int, degree: int, shard_rows: int
     return written(_searched(graph, asking, threshold), "links")
 
 
-def _missed(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int) -> float:
-    """The share of linked rows found, by brute force for rows nodes found linked and rows nodes of all."""
+def _settled(nodes: DataFrame, shard_rows: int, total: int, threshold: float) -> DataFrame:
+    """What _links returns, by comparing all nodes with all nodes."""
+    shards = nodes.select(F.lit(0).alias("cluster"), F.lit(-(-total // shard_rows)).alias("shards"), "node", "v", "copies")
+    shards = shards.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    return written(_compared(shards, shards, threshold), "links")
+
+
+def _complete(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int) -> bool:
+    """Whether every audited node has all of its links, by brute force for up to rows nodes of each kind.
+
+    The kinds are those with no link found, with at most MANY_LINKS and with more; together they are all nodes.
+    """
     import numpy as np
 
-    linked = sample(counts.where("n_links > copies - 1").select("vec_id", "v"), rows, "audit")
-    others = sample(counts.select("vec_id", "v"), rows, "audit")
-    drawn = dict(zip([*linked[0].tolist(), *others[0].tolist()], [*linked[1], *others[1]]))
+    got = F.col("n_links") - F.col("copies") + 1
+    drawn = {}
+    for kind in (got == 0, (got > 0) & (got <= MANY_LINKS), got > MANY_LINKS):
+        drawn.update(zip(*sample(counts.where(kind).select("vec_id", "v"), rows, "audit")))
     ids, points = np.array(list(drawn), np.int64), np.array(list(drawn.values()))
 
     def run(batches: Iterator) -> Iterator:
@@ -335,15 +399,15 @@ def _missed(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int) ->
 
         for batch in batches:
             block, copies = matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-            close = points @ block.T >= threshold
-            close &= ids[:, None] != batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(close @ copies)], ["vec_id", "true"])
+            close = points @ block.T
+            other = ids[:, None] != batch.column(0).to_numpy(zero_copy_only=False)
+            # A pair at the threshold may come out either way.
+            least, most = (((close >= threshold + x) & other) @ copies for x in (ROUNDING, -ROUNDING))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least), pa.array(most)], ["vec_id", "least", "most"])
 
-    real = nodes.select("node", "v", "copies").mapInArrow(run, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
-    seen = real.join(counts, "vec_id").select("true", (F.col("n_links") - F.col("copies") + 1).alias("got")).collect()
-    true = sum(r.true for r in seen)
-    got = sum(min(r.got, r.true) for r in seen)
-    return got / true if true else 1.0
+    real = nodes.select("node", "v", "copies").mapInArrow(run, "vec_id long, least long, most long")
+    real = real.groupBy("vec_id").agg(F.sum("least").alias("least"), F.sum("most").alias("most"))
+    return real.join(counts, "vec_id").where(~got.between(F.col("least"), F.col("most"))).isEmpty()
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, degree: int = DEGREE,
@@ -365,8 +429,11 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, overlap: int
     centers = centroids(points, many, 0.8) if total else None
     counts = nodes.select("node", F.col("node").alias("vec_id"), "v", "raw", "copies", (F.col("copies") - 1).alias("n_links"))
     links = None
-    for attempt in range(TRIES if total else 0):
-        found = _links(nodes, centers, overlap << attempt, degree << attempt, shard_rows, threshold)
+    for attempt in range(TRIES + 1 if total else 0):
+        if attempt < TRIES:
+            found = _links(nodes, centers, overlap << attempt, degree << attempt, shard_rows, threshold)
+        else:
+            found = _settled(nodes, shard_rows, total, threshold)
         linked = found.where("a is null").groupBy("node").agg(F.sum("linked").alias("linked"))
         counts = written(
             nodes.join(linked, "node", "left").select(
@@ -374,7 +441,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, overlap: int
             ), "counts",
         )
         links = found.where("a is not null").select("a", "b")
-        if _missed(nodes, counts, threshold, AUDIT_ROWS) >= TARGET:
+        if attempt == TRIES or _complete(nodes, counts, threshold, AUDIT_ROWS):
             break
     every = table.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("raw"))
     found = counts.select("raw", "n_links", F.col("vec_id").alias("node"))

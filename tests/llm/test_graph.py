@@ -71,3 +71,20 @@ def test_prune_keeps_the_nearest():
     for row in out:
         kept = row[row >= 0]
         assert len(set(kept.tolist())) == len(kept)
+
+
+def mixed(rng, hot):
+    unit = lambda v: v / np.linalg.norm(v)
+    points = [unit(c + 0.02 * rng.normal(size=32)) for n in [1] * 100 + [2] * 60 + [hot] for c in [unit(rng.normal(size=32))] for _ in range(n)]
+    return [(i, v.tolist()) for i, v in enumerate(points)]
+
+
+def test_a_lossy_search_is_noticed_and_settled(spark, monkeypatch):
+    # All links of small groups are lost; those of a large group outnumber them by far.
+    tune(spark)
+    rows = mixed(np.random.default_rng(6), 1200)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    whole = graph._links
+    monkeypatch.setattr(graph, "_links", lambda *a: whole(*a).where("(a is null and linked > 2) or a >= 220"))
+    got = sorted([tuple(r) for r in graph.near_duplicates(df, shard_rows=500).collect()], key=repr)
+    assert got == brute(rows, 0.95)
