@@ -5,9 +5,10 @@
    clusters and at home in the nearest one. A cluster with many members is dealt into shards of bounded size.
 3. Every shard builds a graph over its members: candidates are the nearest members and some random ones, robust-pruned
    to few neighbours in different directions. The adjacency lists of a node from all of its shards are united.
-4. Every node is searched in each shard of its home cluster, greedily from the medoid (and from itself and its own
-   adjacency list, as far as they are there), until the beam settles; then the search expands along the graph as long as it finds nodes within range. Pairs are
-   verified by cosine in double precision.
+4. Every node is searched in its home cluster, greedily from the medoid, from itself and from its own adjacency list,
+   until the beam settles; then the search expands along the graph as long as it finds nodes within range. Pairs are
+   verified by cosine in double precision. A home cluster of several shards is compared with itself block by block
+   instead: there a node has no list in most shards, and no walk is sure to come near it.
 5. The search is audited against brute force, node by node, for bounded samples of nodes with no, few and many links
    found. If one of them lacks a link, the search is repeated with more clusters for each node and more neighbours; when
    the tries are used up, all nodes are compared block by block.
@@ -367,11 +368,11 @@ def _links(nodes: DataFrame, centers, overlap: int, degree: int, shard_rows: int
     # Every node has lists from a few shards; united they hold what each shard knows of both ends.
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     united = written(united, "adjacency")
-    graph = shards.select("cluster", "shard", "node", "v", "copies").join(united, "node")
-    at_home = shards.where("home").join(united, "node")
-    asking = at_home.select("cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)), "node", "v", "near")
-    asking = asking.toDF("cluster", "shard", "node", "v", "near")  # columns of its own beside those of graph
-    return written(_searched(graph, asking, threshold), "links")
+    graph = shards.where("shards = 1").select("cluster", "shard", "node", "v", "copies").join(united, "node")
+    at_home = shards.where("home and shards = 1").join(united, "node")
+    asking = at_home.select("cluster", "shard", "node", "v", "near").toDF("cluster", "shard", "node", "v", "near")
+    large = shards.where("shards > 1")
+    return written(_searched(graph, asking, threshold).union(_compared(large, large.where("home"), threshold)), "links")
 
 
 def _settled(nodes: DataFrame, shard_rows: int, total: int, threshold: float) -> DataFrame:

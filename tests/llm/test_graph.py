@@ -88,3 +88,20 @@ def test_a_lossy_search_is_noticed_and_settled(spark, monkeypatch):
     monkeypatch.setattr(graph, "_links", lambda *a: whole(*a).where("(a is null and linked > 2) or a >= 220"))
     got = sorted([tuple(r) for r in graph.near_duplicates(df, shard_rows=500).collect()], key=repr)
     assert got == brute(rows, 0.95)
+
+
+def test_links_across_shards_need_no_walk(spark, monkeypatch):
+    # Pairs near one another, too close for centroids of their own: one cluster, and half of the pairs in different shards.
+    tune(spark)
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v)
+    middle = unit(rng.normal(size=128))
+    points = [unit(c + 0.01 * rng.normal(size=128)) for _ in range(150) for c in [unit(middle + 0.043 * rng.normal(size=128))] for _ in range(2)]
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(graph, "TRIES", 1)
+    monkeypatch.setattr(graph, "_settled", None, raising=False)
+    # A walk that gets stuck where it starts.
+    monkeypatch.setattr(graph, "greedy", lambda points, edges, queries, starts, beam: starts)
+    got = sorted([tuple(r) for r in graph.near_duplicates(df, shard_rows=160).collect()], key=repr)
+    assert got == brute(rows, 0.95)
