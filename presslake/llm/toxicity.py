@@ -1,8 +1,9 @@
 """Toxicity by compression distance of windows.
 
-A text is cut into windows of some words. Each is compressed with a dictionary of ordinary text and with one of toxic
-text; the toxic dictionary holds the same ordinary background behind the toxic words, so the two sizes differ only
-where toxic words help. The size differences of all windows are calibrated into one score.
+A text is cut into windows of some words. Each is compressed with a zstandard dictionary trained on toxic pieces and with
+one trained on ordinary pieces (too few pieces to train on: their plain content), and also with a second pair of plain
+content that sharpens single words: toxic words before an ordinary background, and that background alone. The size
+differences of all windows under both pairs are calibrated into one score.
 
 The toxic words are found in a bounded sample: words whose contexts (the word before and after) vary, and are a given
 number of times more frequent in toxic than in ordinary text. Counting contexts rather than occurrences keeps words out
@@ -18,34 +19,50 @@ from pyspark.sql import Column, DataFrame
 
 from presslake.llm import compression as c
 
-WIDTH = 5
+WIDTH = 10
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    toxic: bytes
-    ordinary: bytes
+    pairs: tuple[tuple[bytes, bytes, bool], ...]
     level: int
     words: int
     calibration: dict
 
 
-def features(toxic: bytes, ordinary: bytes, level: int, words: int):
-    by_toxic, by_ordinary = c.compressor(toxic, level, True).compress, c.compressor(ordinary, level, True).compress
+def features(pairs: tuple[tuple[bytes, bytes, bool], ...], level: int, words: int):
+    """The function from a text to WIDTH numbers, half of them from each of the pairs (toxic, ordinary, raw content)."""
+    both = [tuple(c.compressor(x, level, raw).compress for x in (toxic, ordinary)) for toxic, ordinary, raw in pairs]
 
     def of(text: bytes) -> tuple[float, ...]:
         w = text.lower().split()
         if not w:
             return (0.0,) * WIDTH
         cut = [b" %b " % b" ".join(w[i : i + words]) for i in range(0, len(w), words)]
-        gains = sorted(len(by_ordinary(x)) - len(by_toxic(x)) for x in cut)
-        top, n = gains[-3:], len(gains)
-        high = sum(g >= 4 for g in gains)
-        return gains[-1], sum(top) / len(top), sum(gains) / n, high / n, sum(g >= 3 for g in gains) / n
+        out = []
+        for by_toxic, by_ordinary in both:
+            gains = sorted(len(by_ordinary(x)) - len(by_toxic(x)) for x in cut)
+            top, n = gains[-3:], len(gains)
+            high = sum(g >= 4 for g in gains)
+            out += [gains[-1], sum(top) / len(top), sum(gains) / n, high / n, sum(g >= 3 for g in gains) / n]
+        return tuple(out)
 
     return of
 
 
+def trained(toxic: list[bytes], ordinary: list[bytes], size: int, level: int) -> tuple[bytes, bytes, bool]:
+    """Dictionaries trained on each side's pieces; of too few pieces their plain content. Whether it is plain."""
+    import zstandard
+
+    parts = [[x for x in part if x] for part in (toxic, ordinary)]
+    try:
+        first, second = (zstandard.train_dictionary(size, part, level=level).as_bytes() for part in parts)
+    except zstandard.ZstdError:
+        first, second = (b"\n".join(part)[:size] for part in parts)
+        return first, second, True
+    return first, second, False
+
+
 def contexts(texts: list[bytes]) -> Counter:
     seen = set()
     for text in texts:
@@ -70,7 +87,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes], background: int, min
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None, per_class: int = 4000,
         piece_chars: int = 4000, calibration_rows: int = 10000, background: int = 65536, min_contexts: int = 6,
-        lift: float = 4.0, most: int = 16384, level: int = 12, words: int = 8,
+        lift: float = 4.0, most: int = 16384, dictionary_bytes: int = 112640, level: int = 12, words: int = 8,
         id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from labels (doc_id, label 0 or 1; 1 is toxic) of docs.
 
@@ -81,15 +98,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
     rows = c.labelled(labels, label, id_col, train)
     few = c.sample_ids(rows, 0, per_class, "label = 1").union(c.sample_ids(rows, 0, per_class, "label = 0"))
     sample = [(x, t.lower()) for x, t in c.pieces(docs, few, piece_chars, id_col, text_col)]
-    parts = ([t for x, t in sample if x == k] for k in (1, 0))
-    toxic, ordinary = dictionaries(*parts, background, min_contexts, lift, most)
+    parts = [[t for x, t in sample if x == k] for k in (1, 0)]
+    toxic, ordinary = parts
+    pairs = (trained(toxic, ordinary, dictionary_bytes, level), (*dictionaries(toxic, ordinary, background, min_contexts, lift, most), True))
     model = c.calibrated(
-        docs, c.sample_ids(rows, 1, calibration_rows), lambda: features(toxic, ordinary, level, words), WIDTH, id_col, text_col
+        docs, c.sample_ids(rows, 1, calibration_rows), lambda: features(pairs, level, words), WIDTH, id_col, text_col
     )
-    return ToxicityModel(toxic, ordinary, level, words, model)
+    return ToxicityModel(pairs, level, words, model)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """The keep columns of docs with _score, the chance of label 1. Whole texts, row by row; a null text is empty."""
-    toxic, ordinary, level, words = model.toxic, model.ordinary, model.level, model.words
-    return c.scored(docs, text_col, lambda: features(toxic, ordinary, level, words), WIDTH, model.calibration, keep)
+    pairs, level, words = model.pairs, model.level, model.words
+    return c.scored(docs, text_col, lambda: features(pairs, level, words), WIDTH, model.calibration, keep)

@@ -69,3 +69,19 @@ def test_words_of_copies_do_not_count():
     plain = [b" ".join(b"%d" % (i * 7 % 400) for i in range(2000))]
     own, _ = toxicity.dictionaries(toxic, plain, 64, 6, 4.0, 100)
     assert b" vile" in own and b"nasty" not in own
+
+
+def test_toxic_phrases_of_ordinary_words(spark):
+    # Every word is as frequent in ordinary texts; only the order of words tells.
+    tune(spark)
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)]
+    phrases = [" ".join(words[k : k + 8]) for k in range(0, 160, 8)]
+    rows = []
+    for i in range(600):
+        text = " ".join(rng.permutation(phrases)[:6]) if i % 2 else " ".join(rng.choice(words[:160], 48))
+        rows.append((i, text, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.where("doc_id < 400"), "toxic")
+    out = toxicity.score(docs.where("doc_id >= 400"), model, ["doc_id", "toxic"]).collect()
+    assert sum((r._score >= 0.5) == (r.toxic == 1) for r in out) > 0.95 * len(out)
