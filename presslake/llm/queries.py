@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import chat, forest, graph, mixing, ngrams, packing, quality, simhash, suffix_dedup, toxicity
+from presslake.llm import chat, forest, graph, mixing, ngrams, packing, phrases, quality, simhash, suffix_dedup, toxicity
 from presslake.llm.common import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,40 @@ SELECT x.doc_id, x.n AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_r
                      2 * ((CASE WHEN i = len(a) THEN n ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE b[i] END)))), '') END)) AS kept_sha256
 FROM bytes x LEFT JOIN cuts c ON x.doc_id = c.doc_id
 """
+
+
+@registered
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), max_words=5, min_count=100, scale=1000, best=2000)
+
+
+SQL["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(len(w))) AS p FROM words),
+windows AS (
+  SELECT lang, m, array_to_string(w[p + 1 : p + m], ' ') AS phrase FROM places, range(1, 6) AS r(m)
+  WHERE p + m <= len(w)),
+counts AS (SELECT lang, phrase, any_value(m) AS m, CAST(count(*) AS HUGEINT) AS f FROM windows GROUP BY lang, phrase HAVING count(*) >= 100),
+parts AS (SELECT lang, phrase, m, f, string_split(phrase, ' ') AS w FROM counts),
+inner_ones AS (
+  SELECT x.lang, array_to_string(x.w[s + 1 : s + k], ' ') AS phrase, max(x.f) AS best
+  FROM parts x, range(0, 4) AS a(s), range(2, 5) AS b(k) WHERE k < x.m AND s + k <= x.m GROUP BY ALL),
+kept AS (
+  SELECT x.* FROM parts x LEFT JOIN inner_ones i ON x.lang = i.lang AND x.phrase = i.phrase
+  WHERE x.m >= 2 AND (i.best IS NULL OR 100 * i.best < 100 * x.f)),
+cuts AS (
+  SELECT x.lang, x.phrase, x.f AS a, k, l.f AS l, r.f AS r, t.n, (1000 * x.f * t.n) // (l.f * r.f) AS score
+  FROM kept x JOIN range(1, 5) AS c(k) ON k < x.m
+  JOIN counts l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : k], ' ')
+  JOIN counts r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[k + 1 : x.m], ' ')
+  JOIN totals t ON t.lang = x.lang),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM weakest QUALIFY rank <= 2000
+"""
