@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslake.llm import chat, forest, graph, mixing, ngrams, packing, phrases, quality, simhash, suffix_dedup, toxicity
+from presslake.llm import (
+    chat,
+    forest,
+    graph,
+    licenses,
+    mixing,
+    ngrams,
+    packing,
+    phrases,
+    quality,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    whitening,
+)
 from presslake.llm.common import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +267,15 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM weakest QUALIFY rank <= 2000
 """
+
+
+@registered
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+@registered
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), k=3, similarity=0.8).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
