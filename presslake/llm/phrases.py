@@ -1,24 +1,26 @@
 """Phrase collocations by stripes: each prefix keys a counter of the words that follow it.
 
-A task counts the windows of its own texts and sends one stripe for each prefix, (prefix, next words, counts); stripes of
-a prefix meet after one shuffle and are added element by element. The merged stripes are the only structure: an element
+A task counts the windows of its own texts and sends one stripe for each prefix, (prefix, next words, counts), those of a
+bucket of prefixes in one row; stripes of a prefix meet after one shuffle and are added element by element. The merged stripes are the only structure: an element
 is the frequency of prefix + word, the stripe of the empty prefix holds the words and its sum their number, the largest
 element of a stripe says whether an extension to the right subsumes the prefix, and the same elements keyed by what
 follows their first word say it for the left.
 
-Three rounds over the texts: words, pairs, then all longer windows. No phrase is more frequent than a part of it, so a
-round only counts windows whose words (pairs) were frequent in the round before. What was frequent travels as a bit table
-of fixed size: a collision lets a window be counted for nothing and changes no count, however full the table is.
+Four rounds over the texts: words, pairs, triples, then all longer windows. No phrase is more frequent than a part of
+it, so a round only counts windows whose parts were frequent in the rounds before. What was frequent travels as a bit
+table of fixed size: a collision lets a window be counted for nothing and changes no count, however full the table is.
 
 A stripe never meets whole if its prefix begins with a frequent word: it is dealt by its next words over a number of
-parts in proportion to that word's share of the corpus. Texts are taken in slices of SLICE_BYTES, cut between pieces.
+parts in proportion to that word's share of the corpus. A task holds its words as numbers, FLUSH_WORDS at most, and
+reads texts in slices of SLICE_BYTES, cut between pieces.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +28,14 @@ from pyspark.sql.window import Window
 
 from presslake.llm.common import own_columns, shuffle_partitions, utf8, written
 
-SLICE_BYTES = 8 << 20
-HELD_BYTES = 32 << 20
+SLICE_BYTES = 2 << 20
+FLUSH_WORDS = 6 << 20
+FLUSH_DIFFERENT = 1 << 20
 BITS = 1 << 26
 WORDS_A_PARTITION = 2_000_000
 MOST_PARTITIONS = 20_000
-_EMITTED = "lang string, prefix binary, part int, next array<binary>, n array<long>"
+BUCKETS_A_PARTITION = 4
+_EMITTED = "lang string, bucket int, stripes array<struct<prefix: binary, next: array<binary>, n: array<long>>>"
 # What separates pieces and words.
 BETWEEN_PIECES = b".,;:!?\n\x0b\x0c\r"
 BETWEEN_WORDS = b" \t"
@@ -63,17 +67,43 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[bytes]:
         start = stop
 
 
-def coded(data: bytes):
-    """(codes, words): the place of each word in words (an Arrow array), -1 between pieces."""
-    import numpy as np
-    import pyarrow as pa
+class Numbers(dict):
+    """Word to its number, in order of appearance; 0 stands for nothing, 1 for the end of a piece."""
+
+    def __init__(self):
+        super().__init__({b"": 0, b"\n": 1})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class Held:
+    """The texts of one language that a task holds, as numbers of words, -1 between pieces."""
+
+    def __init__(self):
+        self.numbers, self.codes, self.size = Numbers(), [], 0
+
+    def add(self, texts: list[bytes]) -> None:
+        import numpy as np
 
-    tokens = pa.array(data.replace(b"\n", b" \n ").split(b" "), pa.binary()).dictionary_encode()
-    codes, words = tokens.indices.to_numpy(), tokens.dictionary
-    blank, end = words.index(b"").as_py(), words.index(b"\n").as_py()
-    codes = codes[codes != blank].astype(np.int64)
-    codes[codes == end] = -1
-    return codes, words
+        for data in slices(texts):
+            tokens = data.replace(b"\n", b" \n ").split(b" ")
+            codes = np.fromiter(map(self.numbers.__getitem__, tokens), np.int32, len(tokens))
+            codes = codes[codes != 0]
+            codes[codes == 1] = -1
+            self.codes += [codes, np.array([-1], np.int32)]
+            self.size += len(codes) + 1
+
+    def full(self) -> bool:
+        return self.size >= FLUSH_WORDS or len(self.numbers) >= FLUSH_DIFFERENT
+
+    def taken(self):
+        """(codes, words)"""
+        import numpy as np
+        import pyarrow as pa
+
+        return np.concatenate(self.codes), pa.array(list(self.numbers), pa.binary())
 
 
 class Seeds(dict):
@@ -93,10 +123,11 @@ def word_hashes(words, lang: str):
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def pair_hashes(first, second):
+def joined_hash(before, following):
+    """The hash of a phrase and one more word."""
     import numpy as np
 
-    h = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + second
+    h = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + following
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -108,8 +139,8 @@ def _is_set(bits, hashes):
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bit_table(rows: DataFrame, words: int, bits: int = BITS):
-    """Bits set for the phrases of rows (lang, prefix, next), of one or two words each; at most bits / 64 rows are collected."""
+def bit_table(rows: DataFrame, bits: int = BITS):
+    """Bits set for the phrases of rows (lang, prefix, next); at most bits / 64 rows are collected."""
     import numpy as np
 
     def run(batches: Iterator) -> Iterator:
@@ -118,14 +149,14 @@ def bit_table(rows: DataFrame, words: int, bits: int = BITS):
 
         seeds = Seeds()
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            if not langs:
-                continue
-            first, last = ([xxhash.xxh64_intdigest(w, seeds[x]) for x, w in zip(langs, utf8(batch.column(i)))] for i in (1, 2))
-            first, last = np.array(first, np.uint64), np.array(last, np.uint64)
-            place = (last if words == 1 else pair_hashes(first, last)) % np.uint64(bits)
-            mask = np.uint64(1) << (place & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(mask.view(np.int64))], ["at", "mask"])
+            found = []
+            for lang, prefix, word in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), utf8(batch.column(2))):
+                hashes = np.array([xxhash.xxh64_intdigest(w, seeds[lang]) for w in [*prefix.split(), word]], np.uint64)[:, None]
+                found.append(functools.reduce(joined_hash, hashes))
+            if found:
+                place = np.concatenate(found) % np.uint64(bits)
+                mask = np.uint64(1) << (place & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(mask.view(np.int64))], ["at", "mask"])
 
     found = rows.select("lang", "prefix", "next").mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
@@ -139,23 +170,22 @@ class Round:
 
     low: int
     high: int
-    words: object = None  # broadcast bit tables
-    pairs: object = None
+    frequent: tuple = ()  # broadcast bit tables of the frequent words, pairs, ...
     parts: object = None  # broadcast {lang: {word: parts}} of words whose stripes are dealt over several parts
     spread: int = 1  # parts of the empty prefix's stripe
+    buckets: int = 1
 
 
 def _windows(codes, words, lang: str, round: Round) -> Iterator[tuple]:
-    """The stripes of one slice, a length at a time: Arrow arrays of prefix, part, next words, counts."""
+    """The stripes of what a task holds, a length at a time: Arrow arrays of buckets and of their stripes."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     hashes = word_hashes(words, lang)
     good = codes >= 0
-    if round.words is not None:
-        usable = _is_set(round.words.value, hashes)
-        good &= usable[codes]
+    if round.frequent:
+        good &= _is_set(round.frequent[0].value, hashes)[codes]
     parts = np.ones(len(words), np.int64)
     heavy = round.parts.value.get(lang, {}) if round.parts is not None else {}
     if heavy:
@@ -164,16 +194,18 @@ def _windows(codes, words, lang: str, round: Round) -> Iterator[tuple]:
         parts[seen] = np.array(list(heavy.values()), np.int64)[found[seen].astype(np.int64)]
     # gram: for each place with a counted window of this length its number among the different ones; ids: their words.
     at = np.flatnonzero(good)
-    gram, ids = codes[at], [np.arange(len(words))]
+    gram, ids = codes[at].astype(np.int64), [np.arange(len(words))]
     for size in range(1, round.high + 1):
         if size > 1:
             fits = at + size - 1 < len(codes)
             at, gram = at[fits], gram[fits]
             last = at + size - 1
             fits = good[last]
-            if round.pairs is not None:
-                place = last[fits]
-                fits[fits] = _is_set(round.pairs.value, pair_hashes(hashes[codes[place - 1]], hashes[codes[place]]))
+            # The parts that end in the window's last word; those that end before it were looked at before.
+            for length, table in enumerate(round.frequent[1:size], 2):
+                ends = last[fits]
+                parts_of = functools.reduce(joined_hash, [hashes[codes[ends - back]] for back in range(length - 1, -1, -1)])
+                fits[fits] = _is_set(table.value, parts_of)
             at, gram, last = at[fits], gram[fits], last[fits]
             key = gram * len(words) + codes[last]
             key, gram, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -186,57 +218,70 @@ def _windows(codes, words, lang: str, round: Round) -> Iterator[tuple]:
             continue
         spread = np.full(len(count), round.spread) if size == 1 else parts[ids[0]]
         part = ((hashes[ids[-1]] >> np.uint64(20)) % spread.astype(np.uint64)).astype(np.int64)
+        home = np.zeros(len(count), np.uint64)
+        for x in ids[:-1]:
+            home = joined_hash(home, hashes[x])
+        bucket = (joined_hash(home, part.astype(np.uint64)) % np.uint64(round.buckets)).astype(np.int64)
         order = np.flatnonzero(count)
-        order = order[np.lexsort((part[order], before[order]))]
+        order = order[np.lexsort((before[order], bucket[order]))]
         if not len(order):
             continue
-        new = np.ones(len(order), bool)
-        new[1:] = (before[order][1:] != before[order][:-1]) | (part[order][1:] != part[order][:-1])
-        starts = np.flatnonzero(new)
+        opens = _changes(bucket[order])
+        starts = np.flatnonzero(opens | _changes(before[order]))
         heads = order[starts]
         taken = [words.take(pa.array(x[heads])) for x in ids[:-1]]
         prefix = pc.binary_join_element_wise(*taken, pa.scalar(b" ", pa.binary())) if taken else pa.array([b""] * len(heads), pa.binary())
-        offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+        ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+        following = pa.ListArray.from_arrays(ends, words.take(pa.array(ids[-1][order])))
+        counts = pa.ListArray.from_arrays(ends, pa.array(count[order].astype(np.int64)))
+        firsts = np.flatnonzero(opens[starts])
+        found = pa.StructArray.from_arrays([prefix, following, counts], ["prefix", "next", "n"])
         yield (
-            prefix,
-            pa.array(part[heads].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, words.take(pa.array(ids[-1][order]))),
-            pa.ListArray.from_arrays(offsets, pa.array(count[order].astype(np.int64))),
+            pa.array(bucket[heads[firsts]].astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.append(firsts, len(heads)).astype(np.int32)), found),
         )
 
 
-def counted(rows: DataFrame, round: Round, partitions: int | None = None) -> DataFrame:
+def _changes(values):
+    """Where a value differs from the one before it."""
+    import numpy as np
+
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
+
+
+def counted(rows: DataFrame, round: Round, partitions: int) -> DataFrame:
     """(lang, prefix, next, n) of rows (lang, text): each task's stripes, shuffled by prefix, added up."""
+    round = replace(round, buckets=BUCKETS_A_PARTITION * partitions)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["lang", "prefix", "part", "next", "n"]
+        names = ["lang", "bucket", "stripes"]
 
-        def stripes(lang: str, texts: list[bytes]) -> Iterator:
-            for data in slices(texts):
-                codes, words = coded(data)
-                for columns in _windows(codes, words, lang, round):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns], names)
+        def stripes(lang: str) -> Iterator:
+            for columns in _windows(*held.pop(lang).taken(), lang, round):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns], names)
 
-        held: dict[str, list[bytes]] = {}
-        size: dict[str, int] = {}
+        held: dict[str, Held] = {}
         for batch in batches:
+            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                held.setdefault(lang, []).append(text)
-                size[lang] = size.get(lang, 0) + len(text)
-                if size[lang] >= SLICE_BYTES or sum(size.values()) >= HELD_BYTES:
-                    largest = max(size, key=size.get)
-                    size.pop(largest)
-                    yield from stripes(largest, held.pop(largest))
-        for lang, texts in held.items():
-            yield from stripes(lang, texts)
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
+                held.setdefault(lang, Held()).add(texts)
+                if held[lang].full():
+                    yield from stripes(lang)
+            while sum(x.size for x in held.values()) >= FLUSH_WORDS or sum(len(x.numbers) for x in held.values()) >= FLUSH_DIFFERENT:
+                yield from stripes(max(held, key=lambda x: held[x].size))
+        for lang in list(held):
+            yield from stripes(lang)
 
     emitted = rows.mapInArrow(run, _EMITTED)
-    keys = ["lang", "prefix", "part"]
-    met = emitted.repartition(partitions, *keys) if partitions else emitted.repartition(*keys)
-    each = met.select(*keys, F.inline(F.arrays_zip("next", "n")))
-    summed = each.groupBy(*keys, "next").agg(F.sum("n").alias("n"))
+    met = emitted.repartition(partitions, "lang", "bucket")
+    each = met.select("lang", "bucket", F.inline("stripes")).select("lang", "bucket", "prefix", F.inline(F.arrays_zip("next", "n")))
+    summed = each.groupBy("lang", "bucket", "prefix", "next").agg(F.sum("n").alias("n"))
     return summed.select("lang", F.col("prefix").cast("string").alias("prefix"), F.col("next").cast("string").alias("next"), "n")
 
 
@@ -252,26 +297,27 @@ def stripes(docs: DataFrame, max_words: int = 5, min_count: int = 100, text_col:
     """Merged stripes of all phrases of 1 to max_words words that occur min_count times or more in their language."""
     spark = docs.sparkSession
     rows = own_columns(docs, lang=lang_col, text=text_col).withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("und")))
-    words = written(counted(rows, Round(1, 1, spread=4 * shuffle_partitions(spark))), "phrase-words")
+    some = shuffle_partitions(spark)
+    words = written(counted(rows, Round(1, 1, spread=BUCKETS_A_PARTITION * some), some), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     total = totals.agg(F.sum("total")).first()[0] or 0
     frequent = words.where(F.col("n") >= min_count)
-    partitions = min(max(shuffle_partitions(spark), -(-total // WORDS_A_PARTITION)), MOST_PARTITIONS)
-    share = max(1, total // (4 * partitions))
-    # At most 4 * partitions words have more than a share.
+    partitions = min(max(some, -(-total // WORDS_A_PARTITION)), MOST_PARTITIONS)
+    share = max(1, total // partitions)
+    # Fewer words than partitions have more than a share.
     heavy = frequent.where(F.col("n") > share).select("lang", "next", "n").collect()
     broadcast = spark.sparkContext.broadcast
     by_lang: dict[str, dict[bytes, int]] = {}
     for r in heavy:
         by_lang.setdefault(r.lang, {})[r.next.encode()] = -(-r.n // share)
     parts = broadcast(by_lang)
-    word_bits = broadcast(bit_table(frequent, 1, bits))
-    pairs = written(counted(rows, Round(2, 2, word_bits, None, parts), partitions).where(F.col("n") >= min_count), "phrase-pairs")
-    elements = frequent.unionByName(pairs)
-    if max_words > 2:
-        pair_bits = broadcast(bit_table(pairs, 2, bits))
-        longer = counted(rows, Round(3, max_words, word_bits, pair_bits, parts), partitions)
-        elements = elements.unionByName(written(longer.where(F.col("n") >= min_count), "phrase-longer"))
+    elements, tables, last = frequent, (), frequent
+    for low, high, name in ((2, 2, "pairs"), (3, 3, "triples"), (4, max_words, "longer")):
+        if low <= max_words:
+            tables = (*tables, broadcast(bit_table(last, bits)))
+            found = counted(rows, Round(low, high, tables, parts), partitions)
+            last = written(found.where(F.col("n") >= min_count), f"phrase-{name}")
+            elements = elements.unionByName(last)
     return Stripes(elements, totals)
 
 
