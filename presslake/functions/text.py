@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
+from collections.abc import Callable
 from html.entities import html5, name2codepoint
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from presslake.functions.binding import row_sql, sql_let
+from presslake.functions.charsets import CharsetModel, default_model
 
 # The characters str.strip() removes.
 SPACE_CHARS = (
@@ -166,37 +168,63 @@ def repair_mojibake(text: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(F.encode(latin, "ISO-8859-1").cast("string")), text)
 
 
-@F.pandas_udf(StringType())
-def _decode_batch(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
+def _decoder(model: CharsetModel) -> Callable:
+    """Bytes to text by a charset's name; a NULL name is guessed from the bytes."""
+
     def decode(body, charset):
         if body is None:
             return None
+        body = bytes(body)
         try:
-            return bytes(body).decode(charset, errors="replace")
+            return body.decode(charset or model.guess(body) or "utf-8", errors="replace")
         except LookupError:
-            return bytes(body).decode("utf-8", errors="replace")
+            return body.decode("utf-8", errors="replace")
+
+    @F.pandas_udf(StringType())
+    def decode_batch(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
+        return pd.Series([decode(b, c) for b, c in zip(bodies, charsets)], dtype=object)
 
-    return pd.Series([decode(b, c) for b, c in zip(bodies, charsets)], dtype=object)
+    return decode_batch
 
 
-def decode_body(body: Column, charset: Column) -> Column:
+def decode_body(body: Column, charset: Column, model: CharsetModel | None = None) -> Column:
     """Bytes to text. An absent or ISO-8859-1 declaration is not trusted: valid UTF-8 wins, then what the bytes
-    themselves say (a byte order mark, or a charset in a meta tag), and Latin-1 is the rest.
+    themselves say (a byte order mark, or a charset in a meta tag), then the charset whose byte pairs they resemble.
 
-    Other charsets Spark cannot read (GB18030, Shift_JIS, ...) go through an Arrow helper, other rows as NULL.
+    Other charsets than UTF-8 and ISO-8859-1, and bytes to be guessed, go through an Arrow helper, other rows as NULL.
     """
     declared = F.lower(F.coalesce(charset, F.lit("iso-8859-1")))
+    trusted = F.when(declared != "iso-8859-1", declared)
     utf8 = F.try_validate_utf8(body.cast("string"))
     mark = F.hex(F.substring(body, 1, 2))
-    bytes_as_text = F.decode(F.when((declared == "iso-8859-1") & utf8.isNull(), body), "ISO-8859-1")
+    bytes_as_text = F.decode(F.when(trusted.isNull() & utf8.isNull(), body), "ISO-8859-1")
     meta = F.regexp_extract(bytes_as_text, r"(?is)<meta\b[^>]*?charset\s*=\s*[\x22\x27]?\s*([\w.:-]+)", 1)
     own = F.when(mark.isin("FEFF", "FFFE"), F.lit("utf-16")).otherwise(blank_to_null(F.lower(meta)))
-    name = F.when(bytes_as_text.isNotNull(), F.coalesce(own, declared)).otherwise(declared)
-    native = name.isin("iso-8859-1", "utf-8", "utf8")
-    foreign = F.when(~native, body)
+    name = F.coalesce(trusted, own)
+    unicode = F.coalesce(name.isin("utf-8", "utf8"), F.lit(False))
+    plain = name.isNull() & utf8.isNotNull()
+    foreign = F.when(~unicode & ~plain & ~F.coalesce(name == "iso-8859-1", F.lit(False)), body)
     return F.coalesce(
-        F.when(native, utf8),
+        F.when(plain | unicode, utf8),
         F.when(name == "iso-8859-1", F.decode(body, "ISO-8859-1")),
-        F.when(native, F.make_valid_utf8(body.cast("string"))),
-        _decode_batch(foreign, name),
+        F.when(unicode, F.make_valid_utf8(body.cast("string"))),
+        _decoder(model or default_model())(foreign, name),
     )
+
+
+def xml_encoding(body: Column) -> Column:
+    """The encoding an XML document's bytes declare: by a byte order mark, else by the declaration, else NULL."""
+    mark = F.hex(F.substring(body, 1, 3))
+    head = F.decode(F.substring(body, 1, 200), "ISO-8859-1")
+    declared = F.lower(F.regexp_extract(head, r"^\s*<\?xml\b[^>]*?\bencoding\s*=\s*[\x22\x27]([\w.:-]+)", 1))
+    return (
+        F.when(mark == "EFBBBF", F.lit("utf-8"))
+        .when(mark.startswith("FEFF") | mark.startswith("FFFE"), F.lit("utf-16"))
+        .otherwise(blank_to_null(declared))
+    )
+
+
+def decode_xml(body: Column) -> Column:
+    """Bytes of an XML document to text, without its byte order mark; UTF-8 where nothing is declared."""
+    text = decode_body(body, F.coalesce(xml_encoding(body), F.lit("utf-8")))
+    return F.regexp_replace(text, "^\\x{FEFF}", "")

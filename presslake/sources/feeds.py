@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presslake.functions.binding import row_sql, sql_let, with_computed
 from presslake.functions.dates import sql_published
-from presslake.functions.text import blank_to_null, sql_text_map
+from presslake.functions.text import blank_to_null, decode_xml, sql_text_map
 from presslake.functions.urls import rewrite_aggregator_url
 from presslake.schemas import FEED_DOCUMENT, FEED_NOT_FETCHED
 
@@ -153,7 +153,6 @@ def entries_without_id(entries: DataFrame) -> DataFrame:
 
 
 def read_feed_documents(spark, path: str) -> DataFrame:
-    """One row per landed file: path, doc."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
-
-
+    """One row per landed file: path, doc, in the encoding its bytes declare."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", decode_xml(F.col("content")).alias("doc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslake.functions.text import blank_to_null, decode_entities
+from presslake.functions.text import blank_to_null, decode_entities, decode_xml
 
 # An outline start tag at any depth; quoted values may hold '>'.
 _OUTLINE = r"""<outline\b((?:[^>"']+|"[^"]*"|'[^']*')*)>"""
@@ -73,5 +73,6 @@ def opml_errors(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def read_opml(spark, path: str) -> DataFrame:
-    """One row per file: path, doc."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
+    """One row per file: path, doc, in the encoding its bytes declare."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", decode_xml(F.col("content")).alias("doc"))

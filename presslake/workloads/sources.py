@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presslake.operators import results
 from presslake.plans.lineage import scratch_path
-from presslake.sources import feeds, opml, pages, sinks, state
+from presslake.sources import feeds, opml, pages, sinks, split_feeds, state
 from presslake.workloads import fixtures as fx
 from presslake.workloads import sql
 from presslake.workloads.registry import query
@@ -67,6 +67,27 @@ def scan_feed_entries(spark, sf_dir):
     return feeds.scan_feed_entries(fx.feed_documents(spark, sf_dir)).drop("first_id")
 
 
+@query(
+    "scan_feed_files",
+    f"""SELECT source || '-' || (doc_id // 200) AS feed_key,
+       row_number() OVER (PARTITION BY source, doc_id // 200 ORDER BY doc_id) - 1 AS pos,
+       CASE WHEN doc_id % 11 <> 7 THEN 'Doc ' || doc_id || ' <&>' END AS title,
+       CASE WHEN doc_id % 17 <> 3 THEN 'https://www.' || source || '.example.com/a/' || doc_id END AS link,
+       CASE WHEN doc_id % 23 <> 5 THEN {sql.iso(sql.stamp("doc_id"))} END AS published,
+       CASE WHEN (doc_id // 200) % 3 = 0 THEN text END AS description,
+       CASE WHEN (doc_id // 200) % 3 = 1 THEN text END AS content
+FROM documents""",
+)
+def scan_feed_files(spark, sf_dir):
+    """The feed documents landed as files and read item by item, whatever the size of a file."""
+    root = scratch_path(spark, "feeds")
+    key = F.regexp_replace("feed_url", r"^https://(.*)\.example\.com/(.*)\.xml$", "$1-$2")
+    fx.feed_documents(spark, sf_dir).select(key.alias("feed"), "doc").write.partitionBy("feed").text(root)
+    entries = split_feeds.read_feed_entries(spark, root)
+    named = F.regexp_extract("path", "/feed=([^/]+)/", 1).alias("feed_key")
+    return entries.select(named, "pos", "title", "link", "published", "description", "content")
+
+
 @query(
     "feed_parse_status",
     """WITH d AS (SELECT 'https://' || source || '.example.com/' || (doc_id // 200) || '.xml' AS feed_url, min(doc_id) AS first_id
