@@ -1,4 +1,4 @@
-"""Job configuration, high-water marks and their published snapshots."""
+"""Job configuration and high-water marks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslake.functions.text import blank_to_null
-from presslake.schemas import CONFIG, HISTORY
+from presslake.schemas import CONFIG
+from presslake.sources.marks import load_marks, replace_marks
 
 
 def parse_config_json(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -36,29 +37,10 @@ def history_to_config(history: DataFrame) -> DataFrame:
 
 
 def save_history(history: DataFrame, root: str, version: int) -> None:
-    """Publish a snapshot under its own version. A rerun of the same version replaces it, others stay untouched."""
-    history.select("feed_url", "last_id").write.mode("overwrite").parquet(f"{root}/version={version}")
+    """Publish all marks under a version. A rerun of the same version replaces it (see marks for the log's layout)."""
+    replace_marks(history, root, version)
 
 
 def load_history(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """Newest complete snapshot, or the newest one older than a version; none published gives no marks."""
-    versions = [v for v in snapshot_versions(spark, root) if before is None or v < before]
-    if not versions:
-        return spark.createDataFrame([], HISTORY)
-    return spark.read.schema(HISTORY).parquet(f"{root}/version={max(versions)}")
-
-
-def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
-    """Versions whose write finished, read from the directory names."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=", 1)[1]))
-    return found
+    """Newest published marks, or the newest older than a version; none published gives no marks."""
+    return load_marks(spark, root, before)

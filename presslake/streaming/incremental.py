@@ -1,7 +1,7 @@
 """The same job on landed files as Structured Streaming.
 
 run_stream is the form to use at scale: each micro-batch is the batch plan, with its skew handling, between two
-published snapshots of the marks. keyed_marks accepts the same rows with the marks as keyed state; all new rows of a feed
+published states of the marks, and writes only the marks it moves. keyed_marks accepts the same rows with the marks as keyed state; all new rows of a feed
 then pass through one task per micro-batch, in bounded memory.
 """
 
@@ -19,14 +19,14 @@ from presslake.functions.dates import ISO, ISO_ZONED
 from presslake.operators.incremental import (
     MAX_ARTICLES,
     datable,
-    history_update,
     limit_successes,
+    new_marks,
     newest_fetch_of_each,
     take_until_stale,
 )
 from presslake.sources.feeds import rewrite_entry_links, scan_feed_entries
 from presslake.schemas import ENTRIES
-from presslake.sources.state import load_history, save_history
+from presslake.sources.marks import append_marks, load_marks
 
 
 def read_entry_stream(spark: SparkSession, path: str, schema: str = ENTRIES, files_per_batch: int = 1000) -> DataFrame:
@@ -55,7 +55,7 @@ def process_batch(
     entry, an entry found in several counts once, and newer fetches come first.
     """
     spark = entries.sparkSession
-    history = load_history(spark, history_root, before=batch_id)
+    history = load_marks(spark, history_root, before=batch_id, feeds=entries.select("feed_url").distinct())
     if "fetch_id" in entries.columns:
         fresh = newest_fetch_of_each(take_until_stale(entries, history, ("feed_url", "fetch_id")))
         accepted = limit_successes(extract(fresh), k, [F.col("fetch_id").desc(), F.col("pos")])
@@ -64,7 +64,7 @@ def process_batch(
     target = f"{results_root}/batch={batch_id}"
     accepted.write.mode("overwrite").parquet(target)
     written = spark.read.schema(accepted.schema).parquet(target)
-    save_history(history_update(history, written), history_root, batch_id)
+    append_marks(new_marks(written).select("feed_url", F.col("new_id").alias("last_id")), history_root, batch_id)
 
 
 def run_stream(
