@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from presslake.functions.dates import ISO, ISO_ZONED
+from presslake.functions.text import blank_to_null
 from presslake.operators.incremental import (
     MAX_ARTICLES,
     datable,
@@ -102,6 +103,10 @@ class _MarkKeeper(StatefulProcessor):
         fields = [StructField("last_id", StringType()), StructField("kind", IntegerType()), StructField("at", LongType())]
         self.mark = handle.getValueState("mark", StructType(fields))
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.iloc[0]
+        self.mark.update((first["last_id"], int(first["mark_kind"]), int(first["mark_at"])))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, kind, at = self.mark.get() if self.mark.exists() else (None, 0, 0)
         held, stop = None, None
@@ -127,36 +132,26 @@ class _MarkKeeper(StatefulProcessor):
         pass
 
 
-def keyed_marks(entries: DataFrame, k: int = MAX_ARTICLES) -> DataFrame:
-    """What a run accepts of settled entries (as limit_successes of take_until_stale), the marks being keyed state.
-
-    Entries have published, link, pos, success and content. Every micro-batch is one run.
-    """
-    at = F.col("published")
+def _with_time(rows: DataFrame, stamp: str) -> DataFrame:
+    """Add mark_kind (2: a time with a zone, 1: one without, 0: none) and mark_at, its microseconds."""
+    at = F.col(stamp)
     zoned = F.unix_micros(at.try_cast("timestamp"))
     local = F.unix_micros(at.try_cast("timestamp_ntz").cast("timestamp"))
-    dated = datable(entries)
     kind = F.when(at.rlike(ISO_ZONED) & zoned.isNotNull(), 2).when(at.rlike(ISO) & ~at.rlike(ISO_ZONED) & local.isNotNull(), 1).otherwise(0)
-    ready = dated.withColumn("mark_kind", kind).withColumn("mark_at", F.coalesce(F.when(kind == 2, zoned).when(kind == 1, local), F.lit(0)))
-    return ready.groupBy("feed_url").transformWithStateInPandas(
-        statefulProcessor=_MarkKeeper(k), outputStructType=dated.schema, outputMode="Append", timeMode="None"
-    )
-
-
-class ProgressLog(StreamingQueryListener):
-    """Collects (batch, input rows) of each finished micro-batch."""
+    return rows.withColumn("mark_kind", kind).withColumn("mark_at", F.coalesce(F.when(kind == 2, zoned).when(kind == 1, local), F.lit(0)))
 
-    def __init__(self):
-        self.batches: list[tuple[int, int]] = []
 
-    def onQueryStarted(self, event):
-        pass
-
-    def onQueryProgress(self, event):
-        self.batches.append((event.progress.batchId, event.progress.numInputRows))
-
-    def onQueryIdle(self, event):
-        pass
+def keyed_marks(entries: DataFrame, k: int = MAX_ARTICLES, marks: DataFrame | None = None) -> DataFrame:
+    """What a run accepts of settled entries (as limit_successes of take_until_stale), the marks being keyed state.
 
-    def onQueryTerminated(self, event):
-        pass
+    Entries have published, link, pos, success and content. Every micro-batch is one run. marks (feed_url, last_id), one
+    row a feed, e.g. load_marks of a batch run, are the state before the first micro-batch; blank ones count as none.
+    """
+    dated = datable(entries)
+    start = None
+    if marks is not None:
+        known = marks.where(blank_to_null(F.col("last_id")).isNotNull()).select("feed_url", "last_id")
+        start = _with_time(known, "last_id").groupBy("feed_url")
+    return _with_time(dated, "published").groupBy("feed_url").transformWithStateInPandas(
+        statefulProcessor=_MarkKeeper(k), outputStructType=dated.schema, outputMode="Append", timeMode="None", initialState=start
+    )

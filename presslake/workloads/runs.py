@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from presslake.functions.urls import domain_of_url
 from presslake.operators import incremental as inc
 from presslake.plans import pipeline
 from presslake.plans.lineage import scratch_path
+from presslake.sources.marks import append_marks, load_marks
+from presslake.streaming import dedup, progress
 from presslake.streaming import incremental as stream
 from presslake.workloads import fixtures as fx
 from presslake.workloads import sql
@@ -149,18 +152,70 @@ def stream_incremental_state(spark, sf_dir):
     entries = fx.settled(spark, sf_dir)
     root = scratch_path(spark, "state")
     landed, kept = f"{root}/landed", f"{root}/kept"
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _rocksdb(spark):
         for part in (entries.where(_OLDER), entries):
             part.write.mode("append").parquet(landed)
             marked = stream.keyed_marks(stream.read_entry_stream(spark, landed, entries.schema))
             run = marked.writeStream.format("parquet").option("path", kept).option("checkpointLocation", f"{root}/checkpoint")
             run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(entries.schema).parquet(kept).select("feed_url", "pos", "link", "published")
+
+
+@query(
+    "stream_initial_state",
+    f"""WITH {sql.SETTLED.lstrip()},{_run_sql("one", "v_settled", "v_history")}
+SELECT feed_url, pos, link, published FROM one_kept""",
+)
+def stream_initial_state(spark, sf_dir):
+    """Keyed state that starts from the marks of earlier batch runs."""
+    entries = fx.settled(spark, sf_dir)
+    root = scratch_path(spark, "state")
+    entries.write.parquet(f"{root}/landed")
+    append_marks(fx.history(spark, sf_dir), f"{root}/marks", 0)
+    with _rocksdb(spark):
+        source = stream.read_entry_stream(spark, f"{root}/landed", entries.schema)
+        marked = stream.keyed_marks(source, marks=load_marks(spark, f"{root}/marks"))
+        run = marked.writeStream.format("parquet").option("path", f"{root}/kept").option("checkpointLocation", f"{root}/checkpoint")
+        run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(entries.schema).parquet(f"{root}/kept").select("feed_url", "pos", "link", "published")
+
+
+@contextmanager
+def _rocksdb(spark):
+    """The state store that keyed state needs."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
     finally:
         spark.conf.set(provider, before)
-    return spark.read.schema(entries.schema).parquet(kept).select("feed_url", "pos", "link", "published")
+
+
+# Copies of an article land in the same micro-batch, in a later one, and after a restart.
+_EARLIER = "event_id % 4 < 2"
+
+
+@query(
+    "dedup_stream",
+    f"""WITH d AS (SELECT 'https://x.example.com/' || user_id AS url_key, strftime(ts, '%Y-%m-%d') AS published,
+                    'f' || (event_id % 3) AS feed_url, event_id AS pos, CASE WHEN {_EARLIER} THEN 0 ELSE 1 END AS batch FROM events)
+SELECT batch, url_key, published, feed_url, pos FROM d
+QUALIFY row_number() OVER (PARTITION BY url_key, published ORDER BY batch, feed_url, pos) = 1""",
+)
+def dedup_stream(spark, sf_dir):
+    e = F.col("event_id")
+    tail = F.when(e % 3 == 0, "?utm_source=a").when(e % 3 == 1, "#top").otherwise("")
+    rows = fx.table(spark, sf_dir, "events").select(
+        fx.text_of("f", e % 3).alias("feed_url"), e.alias("pos"), fx.text_of("https://x.example.com/", F.col("user_id"), tail).alias("link"),
+        F.substring(F.col("ts").cast("string"), 1, 10).alias("published"), "event_id",
+    )
+    root = scratch_path(spark, "dedup")
+    for part in (rows.where(_EARLIER), rows.where(f"NOT ({_EARLIER})")):
+        part.drop("event_id").write.mode("append").parquet(f"{root}/landed")
+        source = stream.read_entry_stream(spark, f"{root}/landed", part.drop("event_id").schema)
+        dedup.run_dedup_stream(source, f"{root}/seen", f"{root}/kept", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/kept").select("batch", "url_key", "published", "feed_url", "pos")
 
 
 @query(
@@ -168,10 +223,20 @@ def stream_incremental_state(spark, sf_dir):
     f"WITH {sql.RESULTS} SELECT count(*) AS feeds_done, count(*) FILTER (WHERE success) AS feeds_ok FROM v_results",
 )
 def progress_metrics(spark, sf_dir):
-    seen = Observation("progress")
-    watched = fx.feed_results(spark, sf_dir).observe(
-        seen, F.count(F.lit(1)).alias("feeds_done"), F.count_if("success").alias("feeds_ok")
-    )
-    watched.write.parquet(scratch_path(spark, "progress"))
-    counts = seen.get
-    return spark.createDataFrame([(counts["feeds_done"], counts["feeds_ok"])], "feeds_done BIGINT, feeds_ok BIGINT")
+    """Results that land while feeds are worked off, passed on by a stream; its progress table, summed up."""
+    root = scratch_path(spark, "progress")
+    landed = fx.feed_results(spark, sf_dir)
+    landed.repartition(4).write.parquet(f"{root}/landed")
+    results = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/landed")
+    seen = progress.watched(results, feeds_done=F.count(F.lit(1)), feeds_ok=F.count_if("success"))
+    log = progress.ProgressLog(spark, f"{root}/progress")
+    spark.streams.addListener(log)
+    try:
+        run = seen.writeStream.format("parquet").option("path", f"{root}/results").option("checkpointLocation", f"{root}/checkpoint")
+        run.trigger(availableNow=True).start().awaitTermination()
+        if not log.finished() or log.errors:
+            raise RuntimeError(f"progress was not recorded: {log.errors}")
+    finally:
+        spark.streams.removeListener(log)
+    done = spark.read.parquet(f"{root}/progress")
+    return done.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("feeds_done", "feeds_ok")])

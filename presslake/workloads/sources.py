@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presslake.operators import results
 from presslake.plans.lineage import scratch_path
-from presslake.sources import feeds, opml, pages, sinks, split_feeds, state
+from presslake.sources import feeds, marks, opml, pages, sinks, split_feeds, state
 from presslake.workloads import fixtures as fx
 from presslake.workloads import sql
 from presslake.workloads.registry import query
@@ -144,6 +144,24 @@ def save_history(spark, sf_dir):
     return state.load_history(spark, root)
 
 
+@query(
+    "marks_log",
+    f"""WITH {sql.HISTORY.lstrip()}
+SELECT feed_url, CASE WHEN length(last_id) > 0 AND doc % 3 = 1 THEN '2027-01-0' || doc % 9 ELSE last_id END AS last_id
+FROM (SELECT feed_url, last_id, CAST(regexp_extract(feed_url, 'src([0-9]+)', 1) AS INTEGER) AS doc FROM v_history) WHERE doc % 5 <> 2""",
+)
+def marks_log(spark, sf_dir):
+    """Marks published whole, then moved for some feeds, then forgotten for others; what a later run reads."""
+    root = scratch_path(spark, "marks")
+    history = fx.history(spark, sf_dir)
+    source = F.regexp_extract("feed_url", "src([0-9]+)", 1).cast("int")
+    marks.replace_marks(history, root, 0)
+    moved = history.where((F.length("last_id") > 0) & (source % 3 == 1))
+    marks.append_marks(moved.select("feed_url", F.concat(F.lit("2027-01-0"), source % 9).alias("last_id")), root, 1)
+    marks.append_marks(history.where(F.lit(False)), root, 2, removed=history.where(source % 5 == 2))
+    return marks.load_marks(spark, root)
+
+
 @query(
     "write_results",
     f"WITH {sql.RESULTS}, {sql.RESULT_LINES} SELECT json FROM v_lines",

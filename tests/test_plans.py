@@ -20,7 +20,14 @@ def test_page_work_never_shuffles(spark, sf_dir, name):
     assert "Exchange" not in plan_of(QUERIES[name](spark, sf_dir))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"save_history", "write_results", "blacklist_persist", "incremental_stream", "stream_incremental_state", "progress_metrics"}))
+# Queries that write and read again: their last plan is a scan.
+WRITING = {
+    "save_history", "write_results", "blacklist_persist", "incremental_stream", "stream_incremental_state", "progress_metrics",
+    "marks_log", "scan_feed_files", "stream_initial_state", "dedup_stream",
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITING))
 def test_no_cross_joins(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir), "simple")
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
