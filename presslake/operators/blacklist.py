@@ -85,7 +85,7 @@ def blacklist_exclude(rows: DataFrame, blacklist: DataFrame, url: str = "link")
 def with_run_blocked(rows: DataFrame, url: str = "link") -> DataFrame:
     """Also block rows whose domain already had a network error earlier in the run, in (feed_ord, pos) order.
 
-    Expects blocked and error_kind. Rows blocked beforehand are never fetched, so they raise no error themselves.
+    Expects blocked and error_kind, no page. Rows blocked beforehand are never fetched, so they raise no error themselves.
     """
     at = F.struct("feed_ord", "pos")
     keyed = rows.withColumn("_domain", domain_of_url(F.col(url)))

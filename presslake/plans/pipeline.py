@@ -112,15 +112,24 @@ def extract_candidates(
     blacklist: DataFrame,
     strategies: list[Strategy] | None = None,
     block_within_run: bool = False,
+    reduce_pages: bool = False,
 ) -> DataFrame:
-    """Candidates -> settled extractions, one row each."""
+    """Candidates -> settled extractions, one row each.
+
+    reduce_pages lets only pages that candidates ask for reach the join (see candidate_pages). With block_within_run
+    outcomes are joined without HTML, which then only moves for the rows that are still to be read.
+    """
     described = candidates.withColumn(
         "description", feed_source.description_coalesce(F.col("description"), F.col("summary"), F.col("content"))
     ).drop("summary", "content")
-    joined = page_join(bl.with_blocked(described, blacklist), pages)
-    if block_within_run:
-        joined = bl.with_run_blocked(joined)
-    return extract_articles(joined, strategies)
+    listed = bl.with_blocked(described, blacklist)
+    if not block_within_run:
+        return extract_articles(page_join(listed, pages, reduce=reduce_pages), strategies)
+    outcomes = pages.withColumn("html", F.lit(None).cast("string"))
+    judged = bl.with_run_blocked(page_join(listed, outcomes, reduce=reduce_pages).drop("html"))
+    wanted = judged.withColumn("_fetch", F.when(~F.col("blocked") & F.col("error_kind").isNull(), F.col("link")))
+    read = page_join(wanted.withColumnRenamed("error_kind", "_kind"), pages, "_fetch", reduce=reduce_pages)
+    return extract_articles(read.drop("error_kind", "_fetch").withColumnRenamed("_kind", "error_kind"), strategies)
 
 
 def accepted_articles(extracted: DataFrame, k: int = incremental.MAX_ARTICLES) -> DataFrame:
@@ -162,7 +171,8 @@ def run(
     materialize: Callable[[DataFrame], DataFrame] | None = None,
     at: Column | None = None,
 ) -> RunOutput:
-    """One batch run. materialize (e.g. cut_lineage) is applied to the settled rows, which several outputs read.
+    """One batch run. materialize (e.g. cut_lineage) is applied to the candidates, whose URLs pick the pages to move, and
+    to the settled rows, which several outputs read.
 
     pages may hold several fetches of a URL if it has fetched_at, else one row per URL. at is the time of the run, by
     default that of the query. The permanent domains are always blocked, and the next blacklist holds them, what was
@@ -174,7 +184,9 @@ def run(
     seed = bl.union_seed(blacklist, bl.permanent_domains(feeds.sparkSession))
     status = feed_results(feeds, docs)
     candidates = new_candidates(feeds, docs, history, k)
-    extracted = extract_candidates(candidates, pages, seed, strategies, block_within_run)
+    if materialize is not None:
+        candidates = materialize(candidates)
+    extracted = extract_candidates(candidates, pages, seed, strategies, block_within_run, reduce_pages=materialize is not None)
     if materialize is not None:
         extracted = materialize(extracted)
     articles = accepted_articles(extracted, k)

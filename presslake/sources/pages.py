@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslake.functions.text import decode_body
 
+# Bits of the table of asked URLs: 16 MB of rows at most, one page in 16 passes for nothing at a million URLs.
+KEY_BITS = 1 << 24
+
 
 def page_outcomes(crawl: DataFrame) -> DataFrame:
     """Crawl rows (url, status, body, charset, error_kind) -> url, html, error_kind.
@@ -23,13 +26,33 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def page_join(articles: DataFrame, pages: DataFrame, url: str = "link") -> DataFrame:
+def candidate_pages(pages: DataFrame, articles: DataFrame, url: str = "link", bits: int = KEY_BITS) -> DataFrame:
+    """Pages that articles may ask for: a filter ahead of any shuffle, so that HTML of other pages does not move.
+
+    The articles' URLs set bits of a table of fixed size, which meets the pages as a broadcast of at most bits / 64 rows,
+    however many articles there are. A collision lets a page pass for nothing; the join drops it.
+    """
+
+    def slot(key: Column) -> tuple[Column, Column]:
+        place = F.pmod(F.xxhash64(key), F.lit(bits))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+        return F.shiftright(place, 6), bit
+
+    at, bit = slot(F.col(url))
+    asked = articles.where(F.col(url).isNotNull()).select(at.alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bit_or("_bit").alias("_mask"))
+    at, bit = slot(F.col("url"))
+    marked = pages.withColumn("_at", at).join(F.broadcast(asked), "_at")
+    return marked.where(F.col("_mask").bitwiseAND(bit) != 0).select(*pages.columns)
+
+
+def page_join(articles: DataFrame, pages: DataFrame, url: str = "link", reduce: bool = True) -> DataFrame:
     """Attach the fetched page of each article URL; a URL never fetched counts as an 'http' error.
 
-    pages holds one row per URL (see latest_pages). Spark prunes pages by a run-time filter of the article URLs
-    and broadcasts the article side when it is small, so HTML moves only for candidate articles.
+    pages holds one row per URL (see latest_pages). reduce passes them through candidate_pages first, which reads the
+    articles' URLs once more: leave it out where articles are dear to compute and not materialised.
     """
-    crawled = pages.select(F.col("url").alias("_url"), "html", "error_kind", F.lit(True).alias("_crawled"))
+    near = candidate_pages(pages, articles, url) if reduce else pages
+    crawled = near.select(F.col("url").alias("_url"), "html", "error_kind", F.lit(True).alias("_crawled"))
     joined = articles.join(crawled, F.col(url) == F.col("_url"), "left")
     kind = F.when(F.col("_crawled"), F.col("error_kind")).otherwise(F.lit("http"))
     return joined.withColumn("error_kind", kind).drop("_url", "_crawled")
@@ -43,7 +66,3 @@ def latest_pages(crawl: DataFrame, order: str = "fetched_at") -> DataFrame:
     newest = crawl.groupBy("url").agg(F.max(order).alias(order))
     return crawl.join(newest, ["url", order], "left_semi")
 
-
-def write_pages_bucketed(pages: DataFrame, table: str, buckets: int) -> None:
-    """Store pages bucketed by URL so that repeated page joins do not shuffle the HTML."""
-    pages.write.mode("overwrite").bucketBy(buckets, "url").sortBy("url").saveAsTable(table)

@@ -229,3 +229,23 @@ def test_charset_from_the_bytes(spark):
     got = [r.t for r in df.select("i", text.decode_body(F.col("body"), F.col("charset")).alias("t")).orderBy("i").collect()]
     assert got[:5] == [page, old, page, "é", "é中"]
     assert got[5].startswith('<meta charset="no-such">') and got[6:] == [None, ""]
+
+
+def test_unescape_knows_every_name(spark):
+    from html.entities import html5
+
+    names = sorted({n.rstrip(";") for n in html5})
+    cases = [f"a&{n};b &{n} &{n}x; &{n}=1 &&{n}" for n in names] + [f"&{n[:-1]}; &{n[:-1]} &{n.swapcase()};" for n in names]
+    cases += ["", "&", "&;", "&#;", "&#x;", "&#xg;", "&# 65;", "&unknown;", "& amp;", "&amp", "&amp;lt;", "&notit;", "&noti", "&#65", "&#x41Z", "&#99999999999999999999;x", "&#xFFFFFFFFFFFFFFFFFFF;", None]
+    cases += ["&" + "a" * 40 + ";", "&CounterClockwiseContourIntegral;", "&thetasym;&there4;&frac12;", "é&eacute;\U0001f600&#128512;", "&amp&lt&gt"]
+    got = values(spark, text.html_unescape, cases)
+    assert got == [None if c is None else html_lib.unescape(c) for c in cases]
+
+
+def test_unescape_knows_every_number(spark):
+    numbers = spark.range(0, 0x110010, numPartitions=8)
+    texts = numbers.select("id", F.format_string("&#%d;&#x%X;&#%d &#X%x-", "id", "id", "id", "id").alias("t"))
+    wrong = 0
+    for r in texts.select("t", text.html_unescape(F.col("t")).alias("u")).toLocalIterator():
+        wrong += r.u != html_lib.unescape(r.t)
+    assert wrong == 0

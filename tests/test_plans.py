@@ -78,3 +78,37 @@ def test_hot_feed_is_split(spark):
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
+
+
+def test_only_pages_that_are_asked_for_are_shuffled(spark):
+    from presslake.sources.pages import candidate_pages, page_join
+
+    pages = spark.range(20000, numPartitions=4).select(
+        F.concat(F.lit("https://e.org/"), "id").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 9).alias("html"), F.lit(None).cast("string").alias("error_kind")
+    )
+    asked = spark.range(0, 40000, 400).select(F.concat(F.lit("https://e.org/"), "id").alias("link")).union(spark.sql("select cast(null as string)"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = candidate_pages(pages, asked)
+        assert 50 <= near.count() < 100
+        plain, reduced = page_join(asked, pages, reduce=False), page_join(asked, pages)
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, reduced.collect()))
+        plan = plan_of(page_join(asked, pages), "simple")
+        # The HTML side's exchange lies above the broadcast filter.
+        wide = plan[plan.index("html#"):]
+        assert "SortMergeJoin" in plan and wide.index("Exchange hashpartitioning(_url") < wide.index("BroadcastHashJoin [_at")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_run_blocking_moves_no_html(spark, sf_dir):
+    from presslake.operators import blacklist as bl
+    from presslake.plans import pipeline
+
+    candidates = pipeline.new_candidates(fx.page_feeds(spark, sf_dir), fx.page_feed_documents(spark, sf_dir).select("feed_url", "doc"), fx.page_history(spark, sf_dir), 5)
+    out = pipeline.extract_candidates(candidates, fx.crawl_with_images(spark, sf_dir), bl.permanent_domains(spark), block_within_run=True)
+    plan = plan_of(out, "simple")
+    for exchange in re.findall(r"Exchange hashpartitioning\(_domain[^\n]*", plan):
+        assert "html" not in exchange
+    assert out.count() == candidates.count()

@@ -35,12 +35,13 @@ def test_helpers_travel_by_value(spark):
     from pyspark import cloudpickle
 
     from presslake.functions import dom, text
+    from presslake.functions.charsets import default_model
 
-    for helper in (text._unescape_batch, dom._flatten_batch):
+    for helper in (text._decoder(default_model()), dom._flatten_batch):
         assert b"_make_function" in cloudpickle.dumps(helper.func)
     assert b"_make_skeleton_class" in cloudpickle.dumps(stream._MarkKeeper)
-    df = spark.createDataFrame([("&amp;",)], "t STRING").select(text.html_unescape(F.col("t")).alias("t"))
-    assert df.first().t == "&"
+    df = spark.createDataFrame([(bytearray("я".encode("cp1251")),)], "t BINARY").select(text.decode_body(F.col("t"), F.lit("cp1251")).alias("t"))
+    assert df.first().t == "я"
 
 
 def test_two_fetches_in_one_batch(spark, tmp_path):
