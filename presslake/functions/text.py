@@ -152,13 +152,13 @@ def decode_entities(text: Column, loose: bool = False) -> Column:
     return row_sql(sql_decode_entities("v.t", loose), t=text)
 
 
-def _sql_names_by_letter() -> str:
-    """HTML5 names that end in ';' as an array of maps, one for each first letter from 'A' to 'z': a lookup sees few names."""
-    letters = [{} for _ in range(ord("z") - ord("A") + 1)]
+def _names_by_letter() -> Column:
+    """HTML5 names that end in ';': for each first letter a text of name and character pairs, in which a name is searched."""
+    letters: dict[str, str] = {}
     for name, char in html5.items():
         if name.endswith(";"):
-            letters[ord(name[0]) - ord("A")][name[:-1]] = char
-    return f"array({', '.join(sql_text_map(names) for names in letters)})"
+            letters[name[0]] = letters.get(name[0], "\x02") + f"{name[:-1]}\x01{char}\x02"
+    return F.str_to_map(F.lit("\x04".join(f"{k}\x03{v}" for k, v in letters.items())), F.lit("\x04"), F.lit("\x03"))
 
 
 def _sql_numbered(n: str) -> str:
@@ -174,31 +174,34 @@ def _sql_unescape() -> str:
     Numbers may lack their ';'. A name is looked up with its ';', else the longest name that may lack it is taken from
     its front.
     """
-    bare = {name: char for name, char in html5.items() if not name.endswith(";")}
-    longest_first = "|".join(sorted(bare, key=len, reverse=True))
+    longest_first = "|".join(sorted(_BARE, key=len, reverse=True))
     rest = "substring(p, length(n) + 1)"
     # Beyond seven digits there is no character.
     hexadecimal = sql_let("regexp_replace(substring(n, 3), '^0+', '')", "h", "CASE WHEN h = '' THEN 0L WHEN length(h) <= 7 THEN CAST(conv(h, 16, 10) AS BIGINT) END")
     value = f"CASE WHEN startswith(lower(n), '#x') THEN {hexadecimal} ELSE try_cast(substring(n, 2) AS BIGINT) END"
     number = f"{sql_let(value, 'c', _sql_numbered('c'))} || regexp_replace({rest}, '^;', '')"
-    named = f"try_element_at(try_element_at(w.names, ascii(n) - {ord('A') - 1}), n) || substring({rest}, 2)"
-    short = f"try_element_at(w.bare, n) || {rest}"
+    known = "substring_index(substring_index(names, concat('\\u0002', n, '\\u0001'), -1), '\\u0002', 1)"
+    found = f"CASE WHEN contains(names, concat('\\u0002', n, '\\u0001')) THEN {known} || substring({rest}, 2) END"
+    named = sql_let("try_element_at(v.names, substring(n, 1, 1))", "names", found)
+    short = f"try_element_at(v.bare, n) || {rest}"
     tries = [
         sql_let("regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+)', 1)", "n", f"CASE WHEN n <> '' THEN {number} END"),
         sql_let("regexp_extract(p, '^([A-Za-z][0-9A-Za-z]*);', 1)", "n", f"CASE WHEN n <> '' THEN {named} END"),
         sql_let(f"regexp_extract(p, '^({longest_first})', 1)", "n", f"CASE WHEN n <> '' THEN {short} END"),
     ]
-    pieces = f"transform(split(w.t, '&', -1), (p, i) -> CASE WHEN i = 0 THEN p ELSE coalesce({', '.join(tries)}, '&' || p) END)"
-    bound = f"named_struct('t', v.t, 'names', {_sql_names_by_letter()}, 'bare', {sql_text_map(bare)})"
-    return sql_let(bound, "w", f"CASE WHEN contains(w.t, '&') THEN array_join({pieces}, '') ELSE w.t END")
+    pieces = f"transform(split(v.t, '&', -1), (p, i) -> CASE WHEN i = 0 THEN p ELSE coalesce({', '.join(tries)}, '&' || p) END)"
+    return f"CASE WHEN contains(v.t, '&') THEN array_join({pieces}, '') ELSE v.t END"
 
 
+# Names that may lack their ';'.
+_BARE = {name: char for name, char in html5.items() if not name.endswith(";")}
 _UNESCAPE = _sql_unescape()
 
 
 def html_unescape(text: Column) -> Column:
     """Every named and numeric reference of HTML5, with and without ';'; unknown ones stay as they are."""
-    return row_sql(_UNESCAPE, t=text)
+    bare = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in _BARE.items())), F.lit("\x02"), F.lit("\x01"))
+    return row_sql(_UNESCAPE, t=text, names=_names_by_letter(), bare=bare)
 
 
 def repair_mojibake(text: Column) -> Column:

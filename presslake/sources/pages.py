@@ -45,7 +45,7 @@ def candidate_pages(pages: DataFrame, articles: DataFrame, url: str = "link", bi
     return marked.where(F.col("_mask").bitwiseAND(bit) != 0).select(*pages.columns)
 
 
-def page_join(articles: DataFrame, pages: DataFrame, url: str = "link", reduce: bool = True) -> DataFrame:
+def page_join(articles: DataFrame, pages: DataFrame, url: str = "link", reduce: bool = False) -> DataFrame:
     """Attach the fetched page of each article URL; a URL never fetched counts as an 'http' error.
 
     pages holds one row per URL (see latest_pages). reduce passes them through candidate_pages first, which reads the

@@ -110,7 +110,7 @@ def blacklist_exclude(spark, sf_dir):
     f"""WITH {sql.PAGE_ENTRIES} SELECT pos, link, html, error_kind FROM v_page_entries e JOIN v_crawl c ON e.link = c.url""",
 )
 def page_join(spark, sf_dir):
-    return pages.page_join(fx.page_entries(spark, sf_dir).select("pos", "link"), fx.crawl(spark, sf_dir).drop("page_id"))
+    return pages.page_join(fx.page_entries(spark, sf_dir).select("pos", "link"), fx.crawl(spark, sf_dir).drop("page_id"), reduce=True)
 
 
 @query(
