@@ -77,8 +77,8 @@ _CLASSES = int(_CLASS.max()) + 1
 
 
 def pair_counts(data: bytes) -> np.ndarray:
-    """Counts of the 65,536 byte pairs of which one byte at least is beyond ASCII."""
-    b = np.frombuffer(data, np.uint8).astype(np.int32)
+    """Counts of the 65,536 byte pairs of which one byte at least is beyond ASCII; both ends count as blanks."""
+    b = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.int32)
     pair = b[:-1] * 256 + b[1:]
     return np.bincount(pair[(b[:-1] >= 128) | (b[1:] >= 128)], minlength=65536)
 
