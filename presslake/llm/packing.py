@@ -29,8 +29,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 def encoder(path: str):
     """A function from a text to its ids, for a byte-level BPE vocabulary file of the tokenizers library.
 
-    The same vocabulary is run by tiktoken, which gives the same ids several times faster. Special tokens' strings in a
-    text are ordinary text.
+    The same vocabulary is run by tiktoken, which gives the same ids several times faster. As in the library, a special
+    token's string in a text is that token.
     """
     import json
 
@@ -38,14 +38,15 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec["added_tokens"]}
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     # Byte-level vocabularies write a byte as itself if it is printable, else as the next unused character above 255.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown}
     byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_to_numpy if hasattr(encoding, "encode_to_numpy") else encoding.encode_ordinary
+    encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    encode = getattr(encoding, "encode_to_numpy", encoding.encode)
+    return lambda text: encode(text, allowed_special="all")
 
 
 def cut(total: int, length: int) -> list[tuple[int, int]]:

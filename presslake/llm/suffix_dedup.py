@@ -354,9 +354,11 @@ def merged(found: list[dict], min_len: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_col: str = "text",
-                   hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+                   hot_segments: int = HOT_SEGMENTS, whole_characters: bool = False) -> DataFrame:
     """docs' rows as struct `row`, with kept (binary: the bytes that stay), n_bytes and spans (removed ranges).
 
+    With whole_characters, a character of which a removed range takes a part goes as a whole; spans are as found.
+
     A null text is empty: nothing is removed and kept has no bytes. Rows with a null id come back whole. Of rows that
     share an id, one text is judged, and rows with that text share its result; rows with another text come back whole.
     """
@@ -382,6 +384,8 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_i
                 gone = merged(found or [], min_len)
                 at, stay = 0, []
                 for a, b in gone:
+                    if whole_characters:
+                        a, b = _to_characters(text, a, b)
                     stay.append(text[at:a])
                     at = b
                 kept.append(b"".join([*stay, text[at:]]))
@@ -397,5 +401,14 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_i
     return ready.mapInArrow(run, schema)
 
 
+def _to_characters(text: bytes, start: int, stop: int) -> tuple[int, int]:
+    """The range widened to whole UTF-8 characters."""
+    while start > 0 and text[start] & 0xC0 == 0x80:
+        start -= 1
+    while stop < len(text) and text[stop] & 0xC0 == 0x80:
+        stop += 1
+    return start, stop
+
+
 def _unique(docs: DataFrame, id_col: str) -> bool:
     return docs.groupBy(F.col(f"`{id_col}`").cast("long").alias("doc_id")).count().where("count > 1 and doc_id is not null").isEmpty()

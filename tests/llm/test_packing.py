@@ -19,17 +19,20 @@ OWN = packing.encoder(PATH)
 
 @pytest.fixture(scope="module")
 def plain():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text() | st.text("ab '\n\t<|endoftext>é 　\U0001f600's'll1²") | st.text("aA"))
+@given(st.text() | st.text("ab '\n\t<|endoftext>é 　\U0001f600's'll1²") | st.text("aA") | st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "a", "\n", "endoftext", "'ll", "é"])).map("".join))
 def test_ids_are_those_of_the_library(plain, text):
     assert list(OWN(text)) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_special_token_in_a_text(plain):
+    assert 50256 in OWN("a <|endoftext|> b")
+    assert list(OWN("a <|endoftext|> b")) == plain.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def test_ids_of_documents(plain, spark, sf_dir):
     for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         assert list(OWN(row.text)) == plain.encode(row.text, add_special_tokens=False).ids
@@ -60,7 +63,7 @@ def test_packs_every_piece_once(spark, plain):
     tune(spark)
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice(["alpha", "be", "gamma ray", "Δ"]) for _ in range(rnd.randint(0, 120))) for _ in range(300)]
-    rows = [(i, t, 7) for i, t in enumerate(texts)] + [(None, "no id", 1), (5, texts[5], 1), (900, None, 1), (901, "", 1), (902, "word " * 3000, 1)]
+    rows = [(i, t, 7) for i, t in enumerate(texts)] + [(None, "no id", 1), (5, texts[5], 1), (900, None, 1), (901, "", 1), (902, "word " * 3000, 1), (903, "x<|endoftext|>y", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(6)
     cut = packing.pieces(docs, PATH, length=64, keep_ids=True)
     packed = packing.pack(cut, length=64, shard_items=100).cache()

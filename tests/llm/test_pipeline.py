@@ -41,7 +41,11 @@ def test_stages_do_what_they_say(spark, sf_dir):
     gone = plain_gone([(r[0], r[1]) for r in rows], 100)
     texts = {}
     for r in rows:
-        kept = bytes(b for b, g in zip((r[1] or "").encode(), gone[r[0]]) if not g).decode("utf-8", "ignore")
+        kept, at = "", 0
+        for char in r[1] or "":
+            size = len(char.encode())
+            kept += "" if any(gone[r[0]][at : at + size]) else char
+            at += size
         if not any(gone[r[0]]):
             texts[r[0]] = (r[1], r[4])
         elif kept:
@@ -62,6 +66,33 @@ def test_rejected_documents_go_and_the_rest_stays_whole(spark, sf_dir):
     assert {r.doc_id: r.text for r in kept.collect()} == {r.doc_id: r.text for r in docs.collect() if scores[r.doc_id] >= 0.5}
 
 
+CLASHING = ("_score _text row text_ mark found spans kept new cut n_bytes fp fingerprint component_id label features "
+            "_row _id _mark _copies key size times copies line turn all piece start length ids ids_crc32 sequence_id offset").split()
+
+
+def test_columns_of_any_name_are_carried_along(spark, sf_dir):
+    rows, docs = corpus(spark)
+    wide = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns, name
+        want = sorted(map(tuple, stage(spark, docs, sf_dir).collect()), key=repr)
+        found = got.collect()
+        assert sorted((tuple(r[c] for c in docs.columns) for r in found), key=repr) == want, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASHING), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, wide, sf_dir).columns == last(spark, docs, sf_dir).columns
+
+
+def test_only_characters_that_are_cut_in_two_go(spark, sf_dir):
+    rnd = random.Random(3)
+    shared = "é" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzöä") for _ in range(150)) + "ü"
+    rows = [(1, "start \ufffd one " + shared + " end \ufffd keep"), (2, "other \ufffd two ĩ" + shared[1:-1] + "û \ufffd tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, sf_dir).collect()}
+    assert got == {1: rows[0][1], 2: "other \ufffd two  \ufffd tail"}
+
+
 def test_whole_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     by = {}
