@@ -19,7 +19,9 @@ KEEP_FROM = 0.5
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, scores at KEEP_FROM or more."""
     model = quality.fit(docs, table(tune(spark), sf_dir, "labels"), "quality")
-    return quality.score(docs, model, docs.columns).where(F.col("_score") >= KEEP_FROM).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kept = quality.score(rows, model, ["row"]).where(F.col("_score") >= KEEP_FROM)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +36,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents of which nothing is left go too; n_chars counts the new text.
     """
     tune(spark)
-    out = suffix_dedup.remove_repeats(docs, min_len=100)
+    out = suffix_dedup.remove_repeats(docs, min_len=100, whole_characters=True)
     cut = F.size("spans") > 0
-    # Half a character is no valid UTF-8 and becomes U+FFFD, as which it goes (with any other U+FFFD of a cut text).
-    left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    new = out.select("row", F.when(cut, left).otherwise(F.col("row.text")).alias("new"), cut.alias("cut"))
+    new = out.select("row", F.when(cut, F.col("kept").cast("string")).otherwise(F.col("row.text")).alias("new"), cut.alias("cut"))
     new = new.where(~F.col("cut") | (F.length("new") > 0))
     columns = {"text": F.col("new"), "n_chars": F.when(F.col("cut"), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))}
     return new.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
