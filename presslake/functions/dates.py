@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from presslake.functions.binding import row_sql, sql_let
 
@@ -27,6 +25,48 @@ ZONE_OFFSETS = {
 }
 _US_ZONE = r"(?i)[ecmp][sd]t$"
 
+# Names of months and weekdays in free-form dates.
+_MONTH = (
+    "(?i:(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?"
+    "|nov(?:ember)?|dec(?:ember)?))"
+)
+_WEEKDAY = r"(?i)\b(?:mon|tue|wed|thu|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b[.,]?"
+
+# Free-form text is first rewritten, in this order, so that a clock always reads h:mm or h:mm:ss.
+_REWRITES = (
+    (r"[\x00-\x1f]+", " "),
+    (_WEEKDAY, " "),
+    (r"(?i)(?<=\d)(?:st|nd|rd|th)\b", ""),
+    (r"^(\d{8})(\d{2})(\d{2})(\d{2})$", "$1 $2:$3:$4"),
+    (r"^(\d{8})(\d{2})(\d{2})$", "$1 $2:$3"),
+    (r"(?<=\d{8}|-\d{2})[Tt ](\d{2})(\d{2})(\d{2})(?!\d)", " $1:$2:$3"),
+    (r"(?<=\d{8}|-\d{2})[Tt ](\d{2})(\d{2})(?![\d:])", " $1:$2"),
+    (r"(?<=-\d{2})[Tt](\d{2})(?![\d:])", " $1:00"),
+    (r"(?<=\d)[Tt](?=\d)", " "),
+    (r"(?i)(?<![\d:.])(\d{1,2})h\s?(\d{2})m\b", "$1:$2"),
+    (r"(?i)(?<![\d:.])(\d{1,2})\s*([ap])\.?m\b\.?", "$1:00 $2m"),
+    (r"(:\d{2})\s+(\d{4})\s+([+-]\d{4})$", "$1 $3 $2"),
+    (r"\x27(?=\d{2}\b)", ""),
+)
+# Before the clock, hour, minute, second, fraction, a or p, name of the zone, gap, offset, after the zone.
+_CLOCK = (
+    r"^(.*?)(?<![\d:/.+-])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?![\d:])(?:\s*([AaPp])\.?[Mm]\b\.?)?"
+    rf"\s*((?!{_MONTH}\b)(?:[A-Z]{{2,5}}|[Zz])(?![A-Za-z]))?(?:(\s*)([+-](?:(?:[01]\d|2[0-3]):?[0-5]\d|\d{{1,2}}))(?![\d:]))?"
+    r"(?:\s*\([A-Z]{3,5}\))?(.*)$"
+)
+_CLOCK_FIELDS = "$1\x1f$2\x1f$3\x1f$4\x1f$5\x1f$6\x1f$7\x1f$9\x1f$10\x1f$11"
+# What is left is a date in one of these forms: the pattern and where its year, month and day stand. 'any' is three
+# numbers of which the first is a year if it is above 31, a day if it is above 12, and else a month.
+_DATE_FORMS = (
+    (r"^(\d{4})([-/. ])(\d{1,2})\2(\d{1,2})$", "$1,$3,$4"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1,$2,$3"),
+    (rf"^{_MONTH}[-/. ]*(\d{{1,2}})[-/. ]+(\d{{4}}|\d{{2}})$", "$3,$1,$2"),
+    (rf"^(\d{{1,2}})[-/. ]*{_MONTH}[-/. ]*(\d{{4}}|\d{{2}})$", "$3,$2,$1"),
+    (rf"^(\d{{4}})[-/. ]*{_MONTH}[-/. ]*(\d{{1,2}})$", "$1,$2,$3"),
+    (r"^(\d{1,2})([-/. ])(\d{1,2})\2(\d{4}|\d{2})$", "any,$1,$3,$4"),
+    (r"^(\d{2})(\d{2})(\d{2})$", "any,$1,$2,$3"),
+)
+
 
 def _sql_offset(z: str) -> str:
     """'+hh:mm' of a zone text, '' for none."""
@@ -70,38 +110,69 @@ def sql_iso_to_utc(t: str) -> str:
     return sql_let(_sql_parts(t), "d", shifted)
 
 
-@F.pandas_udf(StringType())
-def _free_form_batch(texts: pd.Series) -> pd.Series:
-    from datetime import datetime
-
-    from dateutil import parser
-
-    def parse(text):
-        """Read under two different defaults: a text that leaves a part of the date open is no date."""
-        if not text:
-            return None
-        try:
-            one, other = (parser.parse(text, default=datetime(*day)) for day in ((2000, 1, 1), (2001, 2, 2)))
-        except Exception:
-            return None
-        return one.isoformat() if one == other else None
-
-    return texts.map(parse)
+def _sql_replaced(t: str, rewrites) -> str:
+    for pattern, by in rewrites:
+        t = f"regexp_replace({t}, r'{pattern}', '{by}')"
+    return t
+
+
+def _sql_day(t: str) -> str:
+    """'y-m-d' of date text without a clock, NULL if it leaves a part open."""
+    forms = " ".join(f"WHEN rlike({t}, r'{p}') THEN split(regexp_replace({t}, r'{p}', '{order}'), ',')" for p, order in _DATE_FORMS)
+    order = (
+        "CASE WHEN f[0] <> 'any' THEN f WHEN CAST(f[1] AS INT) > 31 THEN array(f[1], f[2], f[3])"
+        " WHEN CAST(f[1] AS INT) > 12 THEN array(f[3], f[2], f[1]) ELSE array(f[3], f[1], f[2]) END"
+    )
+    month = f"CASE WHEN rlike(d[1], '^[0-9]') THEN d[1] ELSE CAST((instr('{MONTHS}', lower(left(d[1], 3))) + 2) div 3 AS STRING) END"
+    # Two digits are a year from 1969 to 2068, whatever the day on which they are read.
+    year = "CASE WHEN length(d[0]) > 2 THEN d[0] WHEN CAST(d[0] AS INT) < 69 THEN '20' || lpad(d[0], 2, '0') ELSE '19' || d[0] END"
+    day = f"{year} || '-' || lpad({month}, 2, '0') || '-' || lpad(d[2], 2, '0')"
+    return sql_let(f"CASE {forms} END", "f", sql_let(order, "d", day))
+
+
+def _sql_bare(t: str) -> str:
+    """Date text without the words and signs that may stand around its numbers and month."""
+    return _sql_replaced(t, ((r"(?i)\b(?:at|on|of|and)\b|[,;]", " "), (r"\s+", " "), ("^[- ]+|[- ]+$", "")))
+
+
+def _sql_at(day: str, clock: str) -> str:
+    """ISO text of date text and a clock; NULL if there is no such time."""
+    local = f"try_cast({sql_let(day, 'b', _sql_day('b'))} || ' ' || {clock} AS TIMESTAMP_NTZ)"
+    return sql_let(local, "l", _sql_iso_text("l"))
+
+
+def _sql_free_form(t: str) -> str:
+    """ISO text of a date in any of the known orders, with or without a clock; NULL for other text."""
+    fields = rf"split(regexp_replace(r, r'{_CLOCK}', '{_CLOCK_FIELDS}'), r'\x1f', -1)"
+    hour = (
+        "CASE WHEN c[5] = '' THEN c[1] WHEN CAST(c[1] AS INT) > 12 THEN NULL"
+        " ELSE CAST(CAST(c[1] AS INT) % 12 + IF(lower(c[5]) = 'p', 12, 0) AS STRING) END"
+    )
+    clock = f"lpad({hour}, 2, '0') || ':' || c[2] || ':' || coalesce(nullif(c[3], ''), '00') || IF(c[4] = '', '', '.' || left(c[4], 6))"
+    # 'UTC+3' is the zone in which three hours are added to get UTC.
+    sign = "IF(o = '0000' OR startswith(c[8], '+') <> (c[6] <> '' AND c[7] = ''), '+', '-')"
+    digits = "rpad(if(length(c[8]) < 3, '0', '') || replace(substring(c[8], 2), ':', ''), 4, '0')"
+    given = sql_let(digits, "o", f"{sign} || left(o, 2) || ':' || right(o, 2)")
+    offset = f"CASE WHEN c[8] <> '' THEN {given} WHEN upper(c[6]) IN ('Z', 'UT', 'UTC', 'GMT') THEN '+00:00' ELSE '' END"
+    day = _sql_bare("concat(c[0], ' ', c[9])")
+    clocked = sql_let(fields, "c", f"{_sql_at(day, clock)} || {offset}")
+    unclocked = _sql_at(_sql_bare("r"), "'00:00:00'")
+    return sql_let(_sql_replaced(f"trim({t})", _REWRITES), "r", f"IF(rlike(r, r'{_CLOCK}'), {clocked}, {unclocked})")
 
 
 def parse_timestamp(text: Column, free_form: bool = True) -> Column:
-    """Date text to ISO 8601, keeping a given offset; NULL when it is no date.
+    """Date text to ISO 8601, keeping a given offset; NULL when it is no date or leaves a part of the date open.
 
-    ISO and mail dates are read natively. With free_form, other text goes through an Arrow helper (rest as NULL).
+    ISO and mail dates are read by their own patterns. With free_form, other text is read by a grammar: an optional
+    clock (h:mm, am and pm, compact digits), an optional zone behind it, and a date in one of the orders of _DATE_FORMS.
+    Zone names other than UTC's are dropped. Of 03/04/2021 the first number is the month. All of it is expressions.
     """
     # Zone names other than UTC are left to the free-form reader, which drops them.
     known = f"CASE WHEN NOT rlike(v.t, r'{_US_ZONE}') THEN {sql_let('trim(v.t)', 't', _sql_parts('t'))} END"
-    native = row_sql(sql_let(known, "d", f"{_sql_iso_text('d.local')} || d.offset"), t=text)
+    native = sql_let(known, "d", f"{_sql_iso_text('d.local')} || d.offset")
     if not free_form:
-        return native
-    trimmed = F.trim(text)
-    other = text.rlike(_US_ZONE) | ~(trimmed.rlike(ISO) | trimmed.rlike(_MAIL))
-    return F.coalesce(native, _free_form_batch(F.when((text != "") & other, text)))
+        return row_sql(native, t=text)
+    return row_sql(f"coalesce({native}, CASE WHEN rlike(v.t, '[0-9]') THEN {_sql_free_form('v.t')} END)", t=text)
 
 
 def ntz_to_iso(ts: Column) -> Column:

@@ -81,14 +81,37 @@ def _dates(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select("event_id", form.alias("written"), s.alias("s"))
 
 
+def _free_form(s):
+    """The same times, each in one of several forms that are neither ISO nor mail dates; every seventh is no time."""
+    e = F.floor(F.col("event_id") / 8) % 7
+    year, mm, dd, hh, mi, ss = (F.substring(s, at, n) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2)))
+    long_names = "January February March April May June July August September October November December".split()
+    month = F.element_at(F.array(*[F.lit(m) for m in long_names]), mm.cast("int"))
+    day, hour = dd.cast("int").cast("string"), hh.cast("int")
+    half = ((hour + 11) % 12 + 1).cast("string")
+    return (
+        F.when(e == 0, fx.text_of(month, " ", day, ", ", year, " at ", hh, ":", mi, ":", ss))
+        .when(e == 1, fx.text_of(mm, "/", dd, "/", year, " ", half, ":", mi, F.when(hour < 12, " a.m.").otherwise(" PM")))
+        .when(e == 2, fx.text_of(year, mm, dd, "T", hh, mi, ss, "Z"))
+        .when(e == 3, fx.text_of(day, "-", F.substring(month, 1, 3), "-", F.substring(year, 3, 2)))
+        .when(e == 4, fx.text_of(F.substring(month, 1, 3), " ", dd, " ", hh, ":", mi, ":", ss, " UTC ", year))
+        .when(e == 5, fx.text_of(hh, "h", mi, "m +0530, ", day, "th of ", F.upper(month), " ", year))
+        .otherwise(fx.text_of("30 February ", year, " ", hh, ":", mi))
+    )
+
+
 @query(
     "parse_timestamp",
     """SELECT event_id, CASE event_id % 8 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+08:00')
   WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S-03:30')
-  WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:00+00:00') WHEN 5 THEN strftime(ts, '%Y-%m-%dT00:00:00') END AS parsed FROM events""",
+  WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:00+00:00') WHEN 5 THEN strftime(ts, '%Y-%m-%dT00:00:00')
+  WHEN 7 THEN CASE event_id // 8 % 7 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:00')
+    WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') WHEN 3 THEN strftime(ts, '%Y-%m-%dT00:00:00')
+    WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') WHEN 5 THEN strftime(ts, '%Y-%m-%dT%H:%M:00+05:30') END END AS parsed FROM events""",
 )
 def parse_timestamp(spark, sf_dir):
-    return _dates(spark, sf_dir).select("event_id", dates.parse_timestamp(F.col("written")).alias("parsed"))
+    written = F.when(F.col("event_id") % 8 == 7, _free_form(F.col("s"))).otherwise(F.col("written"))
+    return _dates(spark, sf_dir).select("event_id", dates.parse_timestamp(written).alias("parsed"))
 
 
 @query(

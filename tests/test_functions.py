@@ -1,8 +1,11 @@
 """Scalar behaviour, case by case."""
 
 import html as html_lib
+import random
+from datetime import datetime
 from urllib.parse import urljoin, urlparse
 
+import dateutil.parser
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +136,58 @@ def test_parse_timestamp(spark):
     assert values(spark, dates.parse_timestamp, list(cases)) == list(cases.values())
 
 
+def _by_library(text):
+    """What the usual date library reads, and the same under another default day: else a part of the date is open."""
+    try:
+        one, other = (dateutil.parser.parse(text, default=datetime(*day)) for day in ((2000, 1, 1), (2001, 2, 2)))
+    except Exception:
+        return None
+    return one.isoformat() if one == other else None
+
+
+DATE_PARTS = [
+    "%d %b %Y", "%d %B %Y", "%B %d, %Y", "%b %d %Y", "%a, %d %b %Y", "%A, %B %d, %Y", "%d-%b-%Y", "%d-%b-%y", "%b-%d-%Y", "%Y %b %d",
+    "%Y-%b-%d", "%Y/%m/%d", "%Y.%m.%d", "%m/%d/%Y", "%m/%d/%y", "%d.%B.%Y", "%Y%m%d", "%dth of %B %Y", "%d %b, %Y", "%b %d, '%y",
+]
+CLOCK_PARTS = [
+    "", " %H:%M", " %H:%M:%S", " at %H:%M", ", %H:%M:%S.%f", " %I:%M %p", " %I:%M:%S%p", " %I %p", " %H:%M UTC", " %H:%M:%S EST",
+    " %H:%M +0530", " %H:%M:%S -08:00", " %H:%M GMT+3", " - %H:%M",
+]
+OTHER_DATES = [
+    "Tue Apr 14 08:30:00 UTC 2026", "Tue Apr 14 08:30:00 2026 +0800", "14 Apr 2026 08:30 +0800 (CST)", "20260414T083000Z",
+    "20260414083000", "202604140830", "2026-04-14T08", "2026-04-14T0830", "2026-04-14T08:30:00.123456789Z", "2026-04-14 08:30:00,123",
+    "8:30 a.m. 14 April 2026", "08:30 14 Apr 2026", "14 Apr 2026, 8h30m", "14 Apr 2026 08:30 +8", "2026-4-5", "2026-4-5 7:05",
+    "25/12/2026", "04/05/2026", "99-12-31", "1.2.2026", "on April 3, 2021 at 10:00", "14 Apr 2026 08:30 PST-0800",
+]
+NO_DATES = [
+    "April 2021", "10:30", "2021", "Monday", "yesterday", "3 days ago", "Apr 31 2021", "13/13/2021", "2026-13-05", "14 Apr 2026 24:00",
+    "14 Apr 2026 13:30 pm", "14 Apr 2026 08:60", "14 Apr 2026 GMT", "Published on April 3, 2021", "the 14th of April 2026", "2026-104",
+    "Aprilia 3 2021", "14/Apr/2026:08:30:00 +0000", "April 3 2021 | 10:00", "x" * 500, "1" * 500, "14 Apr", "Apr 14, 2026 8:30 pm est",
+]
+
+
+def test_free_form_dates_are_those_of_the_library(spark):
+    rnd = random.Random(5)
+    cases = OTHER_DATES + NO_DATES
+    for day in DATE_PARTS:
+        for clock in CLOCK_PARTS:
+            for _ in range(3):
+                # The library's pivot of two-digit years moves with the day; these are far from it.
+                year = rnd.randint(1980, 1999) if "%y" in day else rnd.randint(1900, 2099)
+                clock_time = rnd.randint(0, 23), rnd.randint(0, 59), rnd.randint(0, 59), rnd.randint(0, 999999)
+                cases.append(datetime(year, rnd.randint(1, 12), rnd.randint(1, 28), *clock_time).strftime(day + clock))
+    want = [_by_library(c) for c in cases]
+    assert all(want[: len(OTHER_DATES)]) and not any(map(_by_library, NO_DATES))
+    got = values(spark, dates.parse_timestamp, cases)
+    assert [(c, g, w) for c, g, w in zip(cases, got, want) if g != w] == []
+
+
+def test_free_form_dates_use_no_python(spark):
+    df = spark.createDataFrame([("April 3, 2021",)], "t string").select(dates.parse_timestamp(F.col("t")))
+    assert "Python" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert values(spark, dates.parse_timestamp, ["3 May 68", "3 May 69"]) == ["2068-05-03T00:00:00", "1969-05-03T00:00:00"]
+
+
 def test_published_is_utc_whatever_the_session_zone(spark):
     cases = ["Tue, 14 Apr 2026 08:30:00 EST", "2026-04-14T08:30:00-03:30", "2026-03-29T02:30:00"]
     before = spark.conf.get("spark.sql.session.timeZone")
