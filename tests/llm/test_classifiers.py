@@ -30,6 +30,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert right > base + 0.04
 
 
+def test_toxic_texts_are_caught_by_the_trained_pair(spark):
+    # The larger table: recall of toxic and share of clean texts above the threshold, held out.
+    path = "/root/testdata/check_s"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    tune(spark)
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, "toxic", train=fold != 2)
+    rows = docs.where(fold == 2).join(labels, "doc_id").select("doc_id", "text", "toxic")
+    rows = toxicity.score(rows, model, ["toxic"]).toPandas()
+    caught = rows["_score"] >= 0.3
+    assert caught[rows["toxic"] == 1].mean() >= 0.9 and caught[rows["toxic"] == 0].mean() <= 0.03
+
+
 SCHEMA = "doc_id long, text string, _score string, label int"
 
 
@@ -67,8 +80,49 @@ def test_logistic_fits_and_stays_finite():
 def test_words_of_copies_do_not_count():
     toxic = [b"a nasty b c"] * 30 + [b"%d vile %d" % (i, i + 1) for i in range(30)]
     plain = [b" ".join(b"%d" % (i * 7 % 400) for i in range(2000))]
-    own, _ = toxicity.dictionaries(toxic, plain, 64, 6, 4.0, 100)
-    assert b" vile" in own and b"nasty" not in own
+    own, ordinary = toxicity.dictionaries(toxic, plain, 1024, 64, 1, 6, 4.0, 12)
+    assert b" vile" in own and b"nasty" not in own and b"vile" not in ordinary
+    assert toxicity.differing(toxic, plain, 1, 6, 4.0) == sorted(b" %d vile %d " % (i, i + 1) for i in range(30))
+
+
+def test_background_covers_all_pieces():
+    texts = [b"%04d " % i * 100 for i in range(4000)]
+    plain = toxicity.background(texts, 65536)
+    assert 60000 < len(plain) <= 65536 and {int(w) // 500 for w in plain.split()[:-1] if len(w) == 4} == set(range(8))
+    assert toxicity.background([], 100) == b"" and toxicity.background([b"abc"], 100) == b"abc"
+
+
+@pytest.mark.parametrize("name,label,module,threshold", [("op7_quality_classifier", "quality", quality, 0.5), ("op9_toxicity", "toxic", toxicity, 0.3)])
+def test_scores_against_plain_ones(spark, name, label, module, threshold):
+    # Sizes by a compressor made here for every call, the logistic line written out.
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    mod, left = (3, 1) if module is quality else (4, 2)
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod))
+    tune(spark)
+    model = module.fit(docs.select("doc_id", "text"), labels, label, train=fold != left)
+    got = {r.doc_id: (r.score, r.predicted) for r in QUERIES[name](spark, sf).collect()}
+
+    def size(content, raw, text):
+        kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT
+        held = zstandard.ZstdCompressionDict(content, dict_type=kind)
+        return len(zstandard.ZstdCompressor(level=model.level, dict_data=held, write_content_size=False, write_dict_id=False).compress(text))
+
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        text = (r.text or "").encode()
+        if module is quality:
+            a, b = size(model.good, model.raw, text), size(model.bad, model.raw, text)
+            x = [(b - a) / max(a, b), (b - a) / max(a, b) * np.log1p(len(text)), a / (len(text) + 20)]
+        else:
+            w = text.lower().split()
+            parts = [b" " + b" ".join(w[k : k + 8]) + b" " for k in range(0, len(w), 8)]
+            gains = np.array(sorted(size(model.ordinary, True, p) - size(model.toxic, True, p) for p in parts) or [0])
+            x = [gains.max(), gains[-3:].mean(), gains.mean(), (gains >= 4).mean(), (gains >= 3).mean()]
+        k = model.calibration
+        want = 1 / (1 + np.exp(-(np.dot((np.array(x) - k["mean"]) / k["scale"], k["weights"]) + k["bias"])))
+        assert got[r.doc_id][0] == pytest.approx(want, rel=1e-9) and got[r.doc_id][1] == (got[r.doc_id][0] >= threshold)
 
 
 def test_toxic_phrases_of_ordinary_words(spark):
