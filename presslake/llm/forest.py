@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslake.llm.common import written
-from presslake.llm.vectors import matrix, sample, usable
+from presslake.llm.vectors import by_length, matrix, sample, usable
 
 TREES, LEAF_ROWS, SAMPLE_ROWS, GROUP_ROWS = 8, 200, 20000, 50000
 AUDIT_QUERIES, TARGET = 100, 0.96
@@ -155,17 +156,30 @@ def search(table: DataFrame, queries: Column, k: int = 10, trees: int = TREES, l
     """(query_id, rank, vec_id, score): the k nearest rows found for each row of table where queries (over vec_id) holds.
 
     Nearness is Euclidean distance in double precision, ties to the smaller id; a query's own id is no candidate.
-    vectors.usable says which rows take part; a query that takes no part has no result. Fewer than k candidates give
-    fewer rows. Of rows that repeat an id, each is indexed, and the nearest counts. Of equal vectors only the k + 1
-    smallest ids can be among k nearest, so only those are indexed.
+    vectors.usable says which rows take part; a query that takes no part has no result, an empty table no rows.
+    Candidates are the rows whose vectors have the query's length. Fewer than k candidates give fewer rows. Of rows that
+    repeat an id, each is indexed, and the nearest counts; asked is the one with the shortest, then least vector. Of equal
+    vectors only the k + 1 smallest ids can be among k nearest, so only those are indexed. Other columns of table,
+    whatever their names, are not read.
 
     Bounds: sample_rows vectors grow the trees, so that there are at most sample_rows / 8 leaves in a tree, and
     audit_queries queries are answered by brute force; leaves with more than GROUP_ROWS rows are dealt into parts.
     """
+    rows = written(usable(table, id_col, vector_col), "vectors")
+    least = F.min(F.struct(F.size("v").alias("n"), "v")).alias("least")
+    asked = rows.where(queries).groupBy("vec_id").agg(least).select("vec_id", "least.v")
+    parts = [
+        _search(part, asked.where(F.size("v") == F.lit(part.select(F.size("v")).first()[0])), k, trees, leaf_rows, sample_rows, target, audit_queries, seed)
+        for part, _ in by_length(rows)
+    ]
+    return reduce(DataFrame.union, parts) if parts else best(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, trees: int, leaf_rows: int, sample_rows: int, target: float,
+            audit_queries: int, seed: int) -> DataFrame:
+    """search over rows (vec_id, v), whose vectors have one length, for the rows asked."""
     import numpy as np
 
-    rows = written(usable(table, id_col, vector_col), "vectors")
-    asked = rows.where(queries).dropDuplicates(["vec_id"])
     equal = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     indexed = written(rows.withColumn("n", equal).where(F.col("n") <= k + 1).drop("n"), "indexed")
     total = indexed.count()

@@ -20,13 +20,14 @@ what it found, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presslake.llm.common import written
 from presslake.llm.components import components
-from presslake.llm.vectors import matrix, sample, usable
+from presslake.llm.vectors import by_length, matrix, sample, usable
 
 THRESHOLD = 0.95
 SAMPLE_ROWS, CLUSTER_ROWS, SHARD_ROWS, OVERLAP, DEGREE = 20000, 1500, 24000, 4, 20
@@ -414,23 +415,42 @@ def _complete(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int)
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, degree: int = DEGREE,
                     cluster_rows: int = CLUSTER_ROWS, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS,
                     id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of table.
+    """(vec_id, n_links, component_id, kept) for every row of table, no row for an empty one.
 
-    Two rows are linked if the cosine of their vectors is threshold or more. Rows that take no part (vectors.usable)
-    have no links and are components of their own. Rows that repeat an id are linked with one another like other rows.
-    A null id has a null component and is not kept.
+    Two rows are linked if the cosine of their vectors, of one length, is threshold or more; a pair at the threshold but
+    for rounding may come out either way. Rows that take no part (vectors.usable) have no links and are components of
+    their own. Rows that repeat an id are linked with one another like other rows. A null id has a null component and is
+    not kept. Other columns of table, whatever their names, are not read.
     """
     rows = usable(table, id_col, vector_col)
     nodes = rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     nodes = written(nodes.withColumn("raw", F.col("v")).withColumn("v", F.transform("v", lambda x: x / norm)), "nodes")
-    total = nodes.count()
+    parts = [_linked(part, total, threshold, overlap, degree, cluster_rows, shard_rows, sample_rows) for part, total in by_length(nodes)]
+    every = table.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("raw"))
+    if parts:
+        counts, links = (reduce(DataFrame.union, part) for part in zip(*parts))
+        found = counts.select("raw", "n_links", F.col("vec_id").alias("node")).join(components(links), "node", "left")
+        found = found.withColumn("node", F.coalesce("root", "node")).drop("root")
+    else:
+        found = nodes.select("raw", F.lit(0).alias("n_links"), "node")
+    joined = every.join(found, "raw", "left")
+    component = F.coalesce("node", F.col("vec_id"))
+    return joined.select(
+        "vec_id",
+        F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+        F.when(F.col("vec_id").isNotNull(), component).cast("long").alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+    )
+
+
+def _linked(nodes: DataFrame, total: int, threshold: float, overlap: int, degree: int, cluster_rows: int, shard_rows: int,
+            sample_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, v, raw, copies, n_links) of the nodes, whose vectors have one length, and links (a, b) that connect them."""
     _, points = sample(nodes.select(F.col("node").alias("vec_id"), "v"), sample_rows, "clusters")
     many = max(1, min(total // cluster_rows, len(points) // 8))
-    centers = centroids(points, many, 0.8) if total else None
-    counts = nodes.select("node", F.col("node").alias("vec_id"), "v", "raw", "copies", (F.col("copies") - 1).alias("n_links"))
-    links = None
-    for attempt in range(TRIES + 1 if total else 0):
+    centers = centroids(points, many, 0.8)
+    for attempt in range(TRIES + 1):
         if attempt < TRIES:
             found = _links(nodes, centers, overlap << attempt, degree << attempt, shard_rows, threshold)
         else:
@@ -444,15 +464,4 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, overlap: int
         links = found.where("a is not null").select("a", "b")
         if attempt == TRIES or _complete(nodes, counts, threshold, AUDIT_ROWS):
             break
-    every = table.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("raw"))
-    found = counts.select("raw", "n_links", F.col("vec_id").alias("node"))
-    if links is not None:
-        found = found.join(components(links), "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
-    joined = every.join(found, "raw", "left")
-    component = F.coalesce("node", F.col("vec_id"))
-    return joined.select(
-        "vec_id",
-        F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), component).cast("long").alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
-    )
+    return counts, links

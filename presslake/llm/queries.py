@@ -201,9 +201,9 @@ WITH RECURSIVE clean AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-usable AS (SELECT * FROM clean WHERE n = (SELECT arg_min(n, vec_id) FROM clean)),
+usable AS (SELECT * FROM clean),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
-          WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+          WHERE CASE WHEN a.n = b.n THEN list_cosine_similarity(a.v, b.v) >= 0.95 ELSE false END),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM usable UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 found AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)

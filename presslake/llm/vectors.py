@@ -11,14 +11,18 @@ from presslake.llm.common import bounded
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<double>) of the vectors that take part.
 
-    A row takes no part if its id or vector is null, if the vector is empty, all zero, holds a null or non-finite
-    component, or differs in length from the vector of the smallest id that is otherwise usable.
+    A row takes no part if its id or vector is null, or if the vector is empty, all zero, or holds a null or non-finite
+    component. Vectors of different lengths are never compared: by_length gives the sets that are.
     """
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
-    first = rows.agg(F.min(F.struct("vec_id", F.size("v").alias("n")))["n"].alias("n")).first()
-    return rows.where(F.size("v") == F.lit(first.n if first.n else 0))
+    return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
+
+
+def by_length(rows: DataFrame) -> list[tuple[DataFrame, int]]:
+    """The rows of each length of vector, with their number. The driver holds one number for each length."""
+    found = sorted((r.n, r["count"]) for r in rows.groupBy(F.size("v").alias("n")).count().collect())
+    return [(rows if len(found) == 1 else rows.where(F.size("v") == n), total) for n, total in found]
 
 
 def sample(rows: DataFrame, limit: int, salt: str):

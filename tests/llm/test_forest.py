@@ -15,8 +15,9 @@ def brute(rows, wanted, k):
     out = {}
     for q, x in ok:
         if wanted(q):
-            near = sorted((math.sqrt(((x - y) ** 2).sum()), i) for i, y in ok if i != q)[:k]
-            out[q] = near
+            near = sorted((math.sqrt(((x - y) ** 2).sum()), i) for i, y in ok if i != q and len(x) == len(y))[:k]
+            if near:
+                out[q] = near
     return out
 
 
@@ -33,11 +34,11 @@ def test_small_table_is_exact(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
     rows += [(100 + i, rows[0][1]) for i in range(20)]
-    rows += [(200, None), (201, [0.0] * 4), (202, [1.0, None, 0.0, 0.0]), (203, [1.0, float("nan"), 0.0, 0.0]), (204, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (205, [1.0, 2.0]), (206, [])]
+    rows += [(200, None), (201, [0.0] * 4), (202, [1.0, None, 0.0, 0.0]), (203, [1.0, float("nan"), 0.0, 0.0]), (204, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (205, [1.0, 2.0]), (206, []), (-1, [1.0, 2.5]), (210, [0.5, 2.5]), (215, [1.0] * 5)]
     df = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = found(forest.search(df, F.col("vec_id") % 5 == 0, k=10))
-    want = brute([r for r in rows if r[0] != 205], lambda q: q % 5 == 0, 10)
-    assert got.keys() == want.keys()
+    want = brute(rows, lambda q: q % 5 == 0, 10)
+    assert got.keys() == want.keys() and len(got[205]) == 2 and 215 not in got
     for q in want:
         assert [i for _, i in got[q]] == [i for _, i in want[q]]
         assert np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]], rtol=1e-12)

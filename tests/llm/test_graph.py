@@ -11,8 +11,11 @@ from presslake.llm.queries import QUERIES
 def brute(rows, threshold):
     ok = {k: np.array(v, float) / np.linalg.norm(v) for k, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     keys = list(ok)
-    x = np.array([ok[k] for k in keys])
-    close = x @ x.T >= threshold
+    close = np.zeros((len(keys), len(keys)), bool)
+    for n in {len(v) for v in ok.values()}:
+        at = np.flatnonzero([len(ok[k]) == n for k in keys])
+        x = np.array([ok[keys[k]] for k in at])
+        close[np.ix_(at, at)] = x @ x.T >= threshold
     np.fill_diagonal(close, False)
     label = {k: rows[k][0] for k in keys}
     changed = True
@@ -45,7 +48,7 @@ def test_agrees_with_brute_force(spark, sizes):
         chain.append(unit(chain[-1] * 0.97 + unit(step) * np.sqrt(1 - 0.97**2)))
     rows += [(n + 5 + i, v.tolist()) for i, v in enumerate(chain)]
     rows += [(2000 + i, rows[3][1]) for i in range(30)] + [(3, rows[3][1])]
-    rows += [(3000, None), (3001, [0.0] * 32), (3002, [None] + [1.0] * 31), (3003, [float("nan")] * 32), (None, rows[3][1]), (None, None), (3004, [])]
+    rows += [(3000, None), (3001, [0.0] * 32), (3002, [None] + [1.0] * 31), (3003, [float("nan")] * 32), (None, rows[3][1]), (None, None), (3004, []), (-1, [1.0, 2.0]), (3005, [2.0, 4.1]), (3006, [-1.0, 2.0]), (3007, [1.0] * 3)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, n_links int").repartition(4)
     got = sorted([tuple(r) for r in graph.near_duplicates(df, **sizes).collect()], key=repr)
     assert got == brute(rows, 0.95)
