@@ -6,11 +6,13 @@ expressions over those arrays. Callers pass NULL for pages that do not need it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
 from presslake.functions.binding import row_sql, sql_let
@@ -91,6 +93,7 @@ _ELEMENT = StructType(
     ]
 )
 PAGE_ELEMENTS = StructType([StructField("tokens", ArrayType(_TOKEN)), StructField("elements", ArrayType(_ELEMENT))])
+_ARROW_ELEMENTS = to_arrow_type(PAGE_ELEMENTS)
 
 
 class _Flattener(HTMLParser):
@@ -161,20 +164,39 @@ _SELECTABLE_TAGS = {"img"} | {value for kind, _, value in CONTENT_SELECTORS + IM
 _SELECTABLE_ATTRIBUTES = {"class", "id"} | {name for _, name, _ in CONTENT_SELECTORS + IMAGE_SELECTORS if name}
 
 
-@F.pandas_udf(PAGE_ELEMENTS)
-def _flatten_batch(pages: pd.Series) -> pd.DataFrame:
-    rows = []
-    for page in pages:
-        if page is None:
-            rows.append({"tokens": None, "elements": None})
-            continue
-        parser = _Flattener()
-        try:
-            parser.feed(page)
-            rows.append(parser.finish())
-        except Exception:  # one page the parser cannot take must not end the job; see unreadable()
-            rows.append({"tokens": None, "elements": None})
-    return pd.DataFrame(rows, columns=["tokens", "elements"])
+# Characters of HTML whose elements a worker holds at a time; a longer page is a slice of its own.
+SLICE_CHARS = 1 << 20
+
+
+def _flat(page: str | None) -> dict:
+    if page is None:
+        return {"tokens": None, "elements": None}
+    parser = _Flattener()
+    try:
+        parser.feed(page)
+        return parser.finish()
+    except Exception:  # one page the parser cannot take must not end the job; see unreadable()
+        return {"tokens": None, "elements": None}
+
+
+def flatten_slices(batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """The pages of Arrow batches as element tables, handed on slice by slice whatever the length of a batch."""
+    for pages in batches:
+        rows, chars = [], 0
+        for page in pages:
+            html = page.as_py()
+            rows.append(_flat(html))
+            chars += 64 + len(html or "")
+            if chars >= SLICE_CHARS:
+                yield pa.array(rows, _ARROW_ELEMENTS)
+                rows, chars = [], 0
+        if rows:
+            yield pa.array(rows, _ARROW_ELEMENTS)
+
+
+@F.arrow_udf(PAGE_ELEMENTS)
+def _flatten_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from flatten_slices(batches)
 
 
 def page_elements(html: Column) -> Column:

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     # (the extra exchange sits behind a partial aggregate or a per-partition top-k).
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages may be long: a Python helper gets a few hundred at a time.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 

@@ -6,10 +6,11 @@ from datetime import datetime
 from urllib.parse import urljoin, urlparse
 
 import dateutil.parser
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from presslake.functions import dates, text, urls
+from presslake.functions import dates, dom, text, urls
 from presslake.functions.html import body_text, main_text_density, main_text_paragraphs
 
 
@@ -304,3 +305,18 @@ def test_unescape_knows_every_number(spark):
     for r in texts.select("t", text.html_unescape(F.col("t")).alias("u")).toLocalIterator():
         wrong += r.u != html_lib.unescape(r.t)
     assert wrong == 0
+
+
+def test_page_elements_hold_a_slice_of_pages_at_a_time(spark):
+    # Batches of any length are handed on in slices bounded by their HTML, in order and with a row for every page.
+    page = "<article>" + "<img src='a'>" * 2000 + "</article>"
+    pages = [page, None, "", page.replace("img", "p")] * 100
+    slices = list(dom.flatten_slices([pa.array(pages), pa.array([], pa.string()), pa.array(["<main>x</main>"])]))
+    assert sum(map(len, slices)) == len(pages) + 1
+    assert max(sum(len(e.as_py()["elements"] or []) for e in s) for s in slices) * len("<img src='a'>") <= dom.SLICE_CHARS + len(page)
+    tables = [row for s in slices for row in s.to_pylist()]
+    assert [len(t["elements"] or []) for t in tables] == [2001, 0, 0, 1] * 100 + [1]
+    assert [t["elements"] is None for t in tables[:4]] == [False, True, False, False]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i INT, html STRING").repartition(3)
+    seen = df.select("i", F.size(dom.page_elements(F.col("html"))["elements"]).alias("n")).collect()
+    assert {r.i: r.n for r in seen} == {i: [2001, None, 0, 1][i % 4] for i in range(len(pages))}
