@@ -13,6 +13,7 @@ from presslake.functions.dom import CONTENT_SELECTORS, page_elements, sql_best_e
 from presslake.functions.html import MIN_CONTENT_CHARS, body_text, main_text_density, main_text_paragraphs
 from presslake.functions.images import collect_images
 from presslake.functions.text import blank_to_null, content_valid, sql_clean_text, strip_html_tags
+from presslake.sources.pages import asked_pages, page_join
 
 FALLBACK_METHOD = "description-fallback"
 FAILED_METHOD = "failed"
@@ -155,22 +156,36 @@ def failure_reason(blocked: Column, error_kind: Column, method: Column) -> Colum
     )
 
 
+def _read(pages: DataFrame, url: str, html: str, blocked: Column | None, strategies: list[Strategy] | None, with_images: bool) -> DataFrame:
+    """Add extracted_text, extraction_method and images; images are read only from pages a strategy succeeded on."""
+    step = strategy_cascade(pages, html, blocked=blocked, strategies=strategies)
+    if not with_images:
+        return step.withColumn("images", F.array().cast("array<string>"))
+    step = step.withColumn("_page", F.when(F.col("extracted_text").isNotNull(), F.col(html)))
+    return collect_images(step, url, "_page").drop("_page")
+
+
 def extract_articles(
-    candidates: DataFrame, strategies: list[Strategy] | None = None, with_images: bool = True
+    candidates: DataFrame, strategies: list[Strategy] | None = None, with_images: bool = True, pages: DataFrame | None = None
 ) -> DataFrame:
     """Candidates joined with their pages -> settled articles.
 
-    Expects link, title, author, description, html, error_kind and blocked. Images are read only from pages a
-    strategy succeeded on.
+    Expects link, title, author, description, html, error_kind and blocked. With pages (url, html, error_kind, one row per
+    URL) candidates come without html and error_kind: then a page is read once, not once for each article that links to it,
+    and the join moves texts, not HTML. That reads the candidates' URLs once more.
     """
-    # A failed fetch leaves no HTML to try, whatever its kind.
-    unfetched = F.col("blocked") | F.col("error_kind").isNotNull()
-    step = strategy_cascade(candidates, blocked=F.coalesce(unfetched, F.lit(False)), strategies=strategies)
-    if with_images:
-        step = step.withColumn("_page", F.when(F.col("extracted_text").isNotNull(), F.col("html")))
-        step = collect_images(step, "link", "_page").drop("_page")
+    if pages is None:
+        # A failed fetch leaves no HTML to try, whatever its kind.
+        unfetched = F.coalesce(F.col("blocked") | F.col("error_kind").isNotNull(), F.lit(False))
+        step = _read(candidates, "link", "html", unfetched, strategies, with_images).drop("html")
     else:
-        step = step.withColumn("images", F.array().cast("array<string>"))
+        read = _read(asked_pages(pages, candidates), "url", "html", None, strategies, with_images).drop("html")
+        # An exchange of its own: a URL that very many articles share is then split in the join, after the reading.
+        step = page_join(candidates, read.repartition("url"), values=("extracted_text", "extraction_method", "images"))
+        blocked = F.coalesce(F.col("blocked"), F.lit(False))
+        for name in ("extracted_text", "extraction_method"):
+            step = step.withColumn(name, F.when(~blocked, F.col(name)))
+        step = step.withColumn("images", F.coalesce(F.when(~blocked, F.col("images")), F.array().cast("array<string>")))
     step = with_fallback(step)
     return (
         step.withColumn(
@@ -178,5 +193,4 @@ def extract_articles(
         )
         .withColumn("title", F.coalesce(blank_to_null(F.col("title")), F.lit("Unknown")))
         .withColumn("author", F.coalesce(blank_to_null(F.col("author")), F.lit("Unknown")))
-        .drop("html")
     )

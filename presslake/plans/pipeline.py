@@ -17,7 +17,7 @@ from presslake.operators import incremental, results
 from presslake.operators.extraction import Strategy, extract_articles, usable_description
 from presslake.schemas import FEED_NOT_FETCHED
 from presslake.sources import feeds as feed_source
-from presslake.sources.pages import latest_pages, page_join
+from presslake.sources.pages import candidate_pages, latest_pages, page_join
 
 
 @dataclass(frozen=True)
@@ -116,13 +116,16 @@ def extract_candidates(
 ) -> DataFrame:
     """Candidates -> settled extractions, one row each.
 
-    reduce_pages lets only pages that candidates ask for reach the join (see candidate_pages). With block_within_run
-    outcomes are joined without HTML, which then only moves for the rows that are still to be read.
+    reduce_pages lets only pages that candidates ask for move (see candidate_pages) and reads each of them once, however many
+    candidates share it. With block_within_run outcomes are joined without HTML, which then only moves for the rows that are
+    still to be read.
     """
     described = candidates.withColumn(
         "description", feed_source.description_coalesce(F.col("description"), F.col("summary"), F.col("content"))
     ).drop("summary", "content")
     listed = bl.with_blocked(described, blacklist)
+    if not block_within_run and reduce_pages:
+        return extract_articles(listed, strategies, pages=candidate_pages(pages, listed))
     if not block_within_run:
         return extract_articles(page_join(listed, pages, reduce=reduce_pages), strategies)
     outcomes = pages.withColumn("html", F.lit(None).cast("string"))

@@ -45,14 +45,25 @@ def candidate_pages(pages: DataFrame, articles: DataFrame, url: str = "link", bi
     return marked.where(F.col("_mask").bitwiseAND(bit) != 0).select(*pages.columns)
 
 
-def page_join(articles: DataFrame, pages: DataFrame, url: str = "link", reduce: bool = False) -> DataFrame:
-    """Attach the fetched page of each article URL; a URL never fetched counts as an 'http' error.
+def asked_pages(pages: DataFrame, articles: DataFrame, url: str = "link") -> DataFrame:
+    """The pages, html only of fetched ones that some article which is not blocked asks for; each page is one row."""
+    open_to = ~F.coalesce(F.col("blocked"), F.lit(False))
+    asked = articles.where(open_to & F.col(url).isNotNull()).select(F.col(url).alias("_link")).distinct()
+    marked = pages.join(asked, F.col("url") == F.col("_link"), "left")
+    read = F.col("_link").isNotNull() & F.col("error_kind").isNull()
+    return marked.select("url", F.when(read, F.col("html")).alias("html"), "error_kind")
+
+
+def page_join(
+    articles: DataFrame, pages: DataFrame, url: str = "link", reduce: bool = False, values: tuple[str, ...] = ("html",)
+) -> DataFrame:
+    """Attach the fetched page of each article URL, its html or other values; a URL never fetched counts as an 'http' error.
 
     pages holds one row per URL (see latest_pages). reduce passes them through candidate_pages first, which reads the
     articles' URLs once more: leave it out where articles are dear to compute and not materialised.
     """
     near = candidate_pages(pages, articles, url) if reduce else pages
-    crawled = near.select(F.col("url").alias("_url"), "html", "error_kind", F.lit(True).alias("_crawled"))
+    crawled = near.select(F.col("url").alias("_url"), *values, "error_kind", F.lit(True).alias("_crawled"))
     joined = articles.join(crawled, F.col(url) == F.col("_url"), "left")
     kind = F.when(F.col("_crawled"), F.col("error_kind")).otherwise(F.lit("http"))
     return joined.withColumn("error_kind", kind).drop("_url", "_crawled")

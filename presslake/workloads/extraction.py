@@ -183,7 +183,7 @@ def image_collect(spark, sf_dir):
 
 def _extracted(spark, sf_dir):
     rows = bl.with_blocked(fx.page_entries(spark, sf_dir), fx.blacklist(spark, sf_dir))
-    return ex.extract_articles(page_join(rows, fx.crawl_with_images(spark, sf_dir)))
+    return ex.extract_articles(rows, pages=fx.crawl_with_images(spark, sf_dir))
 
 
 @query("extraction_method_stats", f"WITH {sql.EXTRACTED} SELECT method AS extraction_method, count(*) AS n FROM settled GROUP BY method")
