@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from presslake.functions.urls import domain_of_url
 from presslake.operators import incremental as inc
 from presslake.plans import pipeline
-from presslake.plans.lineage import scratch_path
+from presslake.plans.lineage import cut_lineage, scratch_path
 from presslake.sources.marks import append_marks, load_marks
 from presslake.streaming import dedup, progress
 from presslake.streaming import incremental as stream
@@ -93,7 +93,7 @@ SELECT domain, TIMESTAMP '2026-04-14 12:00:00' AS added_at, TIMESTAMP '2026-04-1
 UNION ALL SELECT domain, NULL, NULL, NULL, NULL FROM b""",
 )
 def blacklist_after_run(spark, sf_dir):
-    return pipeline_run(spark, sf_dir).blacklist
+    return pipeline_run(spark, sf_dir, cut_lineage).blacklist
 
 
 def _run_sql(name: str, source: str, marks: str) -> str:
