@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     # (the extra exchange sits behind a partial aggregate or a per-partition top-k).
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Feed files are small and many: a task opens some hundreds of them, and listing their folders takes few tasks.
+    "spark.sql.files.openCostInBytes": "65536",
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
     # Pages may be long: a Python helper gets a few hundred at a time.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presslake.sources import feeds, opml
-from presslake.sources.split_feeds import item_tags, read_feed_entries
+from presslake.sources.split_feeds import item_tags, pieces, read_feed_entries
 
 FIELDS = ["pos", "title", "link", "published", "author", "description", "summary", "content"]
 
@@ -97,3 +97,20 @@ def test_declared_encodings_of_lists(spark, tmp_path, encoding):
 def test_no_files_with_items(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<rss/>")
     assert read_feed_entries(spark, str(tmp_path)).count() == 0
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    # A split of 16 MB held four files of any size, as opening one counted 4 MB.
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    root = str(tmp_path / "feeds")
+    doc = F.format_string("<rss><channel><item><title>t%d</title></item></channel></rss>", "id")
+    spark.range(120).select(F.col("id").alias("feed"), doc.alias("doc")).repartition(1).write.partitionBy("feed").text(root)
+    spark.conf.set(key, "16m")
+    try:
+        files = [f for paths in item_tags(spark, root).values() for f in paths]
+        assert len(files) == 120
+        assert pieces(spark, files, "item").rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert read_feed_entries(spark, root).count() == 120
+    finally:
+        spark.conf.set(key, before)
