@@ -251,6 +251,16 @@ def _changes(values):
     return new
 
 
+def _elements(stripes: Column) -> Column:
+    """(prefix, next, n) of all elements of a row's stripes."""
+
+    def of_one(stripe: Column) -> Column:
+        each = F.arrays_zip(stripe["next"].alias("next"), stripe["n"].alias("n"))
+        return F.transform(each, lambda e: F.struct(stripe["prefix"].alias("prefix"), e["next"].alias("next"), e["n"].alias("n")))
+
+    return F.flatten(F.transform(stripes, of_one))
+
+
 def counted(rows: DataFrame, round: Round, partitions: int) -> DataFrame:
     """(lang, prefix, next, n) of rows (lang, text): each task's stripes, shuffled by prefix, added up."""
     round = replace(round, buckets=BUCKETS_A_PARTITION * partitions)
@@ -280,7 +290,8 @@ def counted(rows: DataFrame, round: Round, partitions: int) -> DataFrame:
 
     emitted = rows.mapInArrow(run, _EMITTED)
     met = emitted.repartition(partitions, "lang", "bucket")
-    each = met.select("lang", "bucket", F.inline("stripes")).select("lang", "bucket", "prefix", F.inline(F.arrays_zip("next", "n")))
+    # Rows are made of elements only: a task has a stripe for each prefix it meets, so their number may grow with tasks times prefixes.
+    each = met.select("lang", "bucket", F.inline(_elements(F.col("stripes"))))
     summed = each.groupBy("lang", "bucket", "prefix", "next").agg(F.sum("n").alias("n"))
     return summed.select("lang", F.col("prefix").cast("string").alias("prefix"), F.col("next").cast("string").alias("next"), "n")
 

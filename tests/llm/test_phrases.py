@@ -94,6 +94,15 @@ def test_slices_end_between_pieces():
     assert all(c.endswith(b"\n") for c in cut[:-1])
 
 
+def test_stripes_become_rows_of_elements_at_once(spark):
+    # A row for each stripe would be one for each task and prefix.
+    rows = spark.createDataFrame([("en", "a b c a b d")] * 4, "lang string, text string").repartition(2)
+    found = phrases.counted(rows, phrases.Round(1, 2), 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    got = {(r.prefix, r.next): r.n for r in found.collect()}
+    assert got == {("", "a"): 8, ("", "b"): 8, ("", "c"): 4, ("", "d"): 4, ("a", "b"): 8, ("b", "c"): 4, ("c", "a"): 4, ("b", "d"): 4}
+
+
 def test_no_rows(spark):
     tune(spark)
     assert phrases.mine(spark.createDataFrame([], SCHEMA)).count() == 0
