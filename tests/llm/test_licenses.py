@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from presslake.llm import licenses
 from presslake.llm.common import tune
 from presslake.llm.licenses import NOTICES, PHRASES, Template
@@ -100,6 +102,18 @@ def test_nearer_notice_counts(spark):
     assert [r.labels for r in licenses.scan(df).orderBy("doc_id").collect()] == ["cc-by-nc", "cc-by"]
 
 
+def test_words_are_split_without_a_pattern(spark):
+    # Patterns over every text took most of the time.
+    tune(spark)
+    texts = ["".join(chr(c) + ("x" if c % 3 else "") for c in range(400)), "\x00", "a\x00B", "MIT\x00License\x7f", "é\x85\xa0\u2028\U0001f600 K", "", " a", "a "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = df.select("text", licenses._words(F.col("text")).alias("w"), F.encode("text", "UTF-8").alias("b")).collect()
+    assert [r.w for r in found] == [words(r.text) for r in found] == [[w.decode() for w in licenses.words_of(bytes(r.b))] for r in found]
+    scanned = licenses.scan(df)
+    assert sorted((r.doc_id, r.n_words, r.n_base) for r in scanned.collect()) == [(i, len(words(t)), int(i == 3)) for i, t in enumerate(texts)]
+    assert "regexp" not in scanned._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_rows(spark):
     tune(spark)
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
