@@ -85,10 +85,11 @@ def latest_documents(docs: DataFrame) -> DataFrame:
     return docs.groupBy("feed_url").agg(F.max(order)["doc"].alias("doc"))
 
 
-def new_candidates(feeds: DataFrame, docs: DataFrame, history: DataFrame, k: int | None = None) -> DataFrame:
-    """New entries of the subscribed feeds, links rewritten: feed_ord, feed_url and the entry fields.
+def new_entries(feeds: DataFrame, docs: DataFrame, history: DataFrame, k: int | None = None) -> DataFrame:
+    """New entries of the subscribed feeds, links rewritten: feed_ord, feed_url, fetched and the entry fields.
 
-    With k, only those that can be among a feed's first k successes.
+    With k, only those that can be among a feed's first k successes. A feed without any has one row without pos, so that
+    its status can be told from these rows too.
 
     Marks meet feeds at document grain, one row per feed, before any entry is exploded. A feed that is listed or
     fetched twice is read once, at its first position; nest_output gives its articles to every position.
@@ -96,16 +97,25 @@ def new_candidates(feeds: DataFrame, docs: DataFrame, history: DataFrame, k: int
     listed = feeds.groupBy("feed_url").agg(F.min("feed_ord").alias("feed_ord"))
     subscribed = latest_documents(docs).join(listed, "feed_url")
     marked = incremental.history_lookup(subscribed, history)
-    parsed = feed_source.parse_documents(marked).where("success")
+    parsed = feed_source.parse_documents(marked).withColumnRenamed("success", "fetched")
     fresh = with_computed(parsed, "fresh", entries_until_stale(F.col("entries"), F.col("last_id")))
     if k is not None:
         fresh = with_computed(fresh, "fresh", entries_until_certain(F.col("fresh"), k))
-    entries = fresh.select("feed_ord", "feed_url", F.inline("fresh"))
+    entries = fresh.select("feed_ord", "feed_url", "fetched", F.inline_outer("fresh"))
     relative = ~F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
     resolved = F.when(relative, absolute_url(F.col("feed_url"), F.when(relative, F.col("link")))).otherwise(F.col("link"))
     return feed_source.rewrite_entry_links(entries.withColumn("link", resolved))
 
 
+def new_candidates(feeds: DataFrame, docs: DataFrame, history: DataFrame, k: int | None = None) -> DataFrame:
+    """The new entries alone: feed_ord, feed_url and the entry fields."""
+    return _candidates(new_entries(feeds, docs, history, k))
+
+
+def _candidates(entries: DataFrame) -> DataFrame:
+    return entries.where(F.col("fetched") & F.col("pos").isNotNull()).drop("fetched")
+
+
 def extract_candidates(
     candidates: DataFrame,
     pages: DataFrame,
@@ -173,9 +183,10 @@ def run(
     block_within_run: bool = False,
     materialize: Callable[[DataFrame], DataFrame] | None = None,
     at: Column | None = None,
+    keep_settled: bool = True,
 ) -> RunOutput:
-    """One batch run. materialize (e.g. cut_lineage) is applied to the candidates, whose URLs pick the pages to move, and
-    to the settled rows, which several outputs read.
+    """One batch run. materialize (e.g. landed) is applied to the new entries, whose URLs pick the pages to move and which
+    tell the feeds' status, and with keep_settled to the settled rows, which several outputs read; each page is then read once.
 
     pages may hold several fetches of a URL if it has fetched_at, else one row per URL. at is the time of the run, by
     default that of the query. The permanent domains are always blocked, and the next blacklist holds them, what was
@@ -185,12 +196,15 @@ def run(
     if "fetched_at" in pages.columns:
         pages = latest_pages(pages)
     seed = bl.union_seed(blacklist, bl.permanent_domains(feeds.sparkSession))
-    status = feed_results(feeds, docs)
-    candidates = new_candidates(feeds, docs, history, k)
+    entries = new_entries(feeds, docs, history, k)
     if materialize is not None:
-        candidates = materialize(candidates)
+        entries = materialize(entries)
+        # The documents are not made and read again for the status alone.
+        docs = entries.select("feed_url", F.when(F.col("fetched"), F.lit("")).alias("doc"))
+    status = feed_results(feeds, docs)
+    candidates = _candidates(entries)
     extracted = extract_candidates(candidates, pages, seed, strategies, block_within_run, reduce_pages=materialize is not None)
-    if materialize is not None:
+    if materialize is not None and keep_settled:
         extracted = materialize(extracted)
     articles = accepted_articles(extracted, k)
     return RunOutput(

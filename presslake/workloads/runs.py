@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from presslake.functions.urls import domain_of_url
 from presslake.operators import incremental as inc
 from presslake.plans import pipeline
-from presslake.plans.lineage import cut_lineage, scratch_path
+from presslake.plans.lineage import landed, scratch_path
 from presslake.sources.marks import append_marks, load_marks
 from presslake.streaming import dedup, progress
 from presslake.streaming import incremental as stream
@@ -18,7 +18,7 @@ from presslake.workloads import sql
 from presslake.workloads.registry import query
 
 
-def pipeline_run(spark, sf_dir, materialize=None) -> pipeline.RunOutput:
+def pipeline_run(spark, sf_dir, materialize=None, keep_settled=True) -> pipeline.RunOutput:
     blocked = fx.table(spark, sf_dir, "pages").where("page_id % 50 = 7").select(domain_of_url(F.col("url")).alias("domain")).distinct()
     docs = fx.page_feed_documents(spark, sf_dir).select("feed_url", "doc")
     return pipeline.run(
@@ -28,6 +28,7 @@ def pipeline_run(spark, sf_dir, materialize=None) -> pipeline.RunOutput:
         pages=fx.crawl_with_images(spark, sf_dir),
         blacklist=blocked,
         materialize=materialize,
+        keep_settled=keep_settled,
         at=F.lit("2026-04-14 12:00:00").cast("timestamp_ntz"),
     )
 
@@ -60,7 +61,7 @@ SELECT feed_ord, feed_url, 'Feed ' || feed_ord AS feed_title, 'RSS' AS feed_type
 FROM v_out GROUP BY feed_ord, feed_url""",
 )
 def article_pipeline(spark, sf_dir):
-    nested = pipeline_run(spark, sf_dir).nested
+    nested = pipeline_run(spark, sf_dir, landed, keep_settled=False).nested
     line = F.transform(
         "articles",
         lambda a: F.to_json(F.struct(*[a[n].alias(n) for n in ("title", "url", "published", "author")])),
@@ -79,7 +80,7 @@ def article_pipeline(spark, sf_dir):
 SELECT feed_url, coalesce(new_id, last_id) AS last_id FROM v_page_history FULL JOIN n USING (feed_url)""",
 )
 def article_pipeline_history(spark, sf_dir):
-    return pipeline_run(spark, sf_dir).history
+    return pipeline_run(spark, sf_dir, landed, keep_settled=False).history
 
 
 @query(
@@ -93,7 +94,7 @@ SELECT domain, TIMESTAMP '2026-04-14 12:00:00' AS added_at, TIMESTAMP '2026-04-1
 UNION ALL SELECT domain, NULL, NULL, NULL, NULL FROM b""",
 )
 def blacklist_after_run(spark, sf_dir):
-    return pipeline_run(spark, sf_dir, cut_lineage).blacklist
+    return pipeline_run(spark, sf_dir, landed).blacklist
 
 
 def _run_sql(name: str, source: str, marks: str) -> str:
