@@ -43,6 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is done by sorting, whatever size either side seems to have.
+
+    Spark takes the output of a Python step or of an explode for about as large as its input, and a written table for as
+    large as its compressed files. A broadcast chosen by such a size stays, even if the rows turn out to be too many for the driver.
+    """
+    return df.hint("merge")
+
+
 def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names, so that other columns of df cannot clash."""
     return df.select(*[F.col(f"`{have}`").alias(want) for want, have in columns.items()])

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslake.llm.common import own_columns, utf8, written
+from presslake.llm.common import never_broadcast, own_columns, utf8, written
 from presslake.llm.components import components
 
 MAX_BITS = 2
@@ -106,7 +106,8 @@ def links(fps: DataFrame) -> DataFrame:
     low = F.bit_count(diff.bitwiseAND(F.lit(0xFFFFFFFF)))
     # A pair close in both halves meets in both; the lower half alone reports it.
     once = (F.col("key") < F.lit(1 << 32)) & (low <= 1) | (F.col("key") >= F.lit(1 << 32)) & (low > 1)
-    return home.join(guest, "key").where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= MAX_BITS) & once).select("a", "b")
+    met = home.join(never_broadcast(guest), "key")
+    return met.where((F.col("a") < F.col("b")) & (F.bit_count(diff) <= MAX_BITS) & once).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,11 +120,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    least = roots.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    labels = nodes.join(roots.join(least, "root"), "fp", "left").select(
+    least = roots.join(never_broadcast(nodes), "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    labels = never_broadcast(nodes).join(roots.join(least, "root"), "fp", "left").select(
         "fp", F.coalesce("least_id", "first_id").alias("component_id")
     )
-    return prints.join(labels, "fp").select(
+    return never_broadcast(prints).join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
