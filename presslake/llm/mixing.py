@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslake.llm.common import written
+from presslake.llm.common import never_broadcast, written
 
 FAN, LEVELS = 128, 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,10 +46,12 @@ def running_sum(df: DataFrame, group: Sequence[str], place: Column, order: Seque
         over = Window.partitionBy(*group, *cuts[: k - 1]).orderBy(cuts[k - 1]).rowsBetween(Window.unboundedPreceding, -1)
         level = level.withColumn("_b", F.coalesce(F.sum("_sum").over(over), F.lit(0))).drop("_sum")
         if before is not None:
-            level = level.join(before, [*group, *cuts[: k - 1]]).withColumn("_b", F.col("_b") + F.col("_before")).drop("_before")
+            level = level.join(never_broadcast(before), [*group, *cuts[: k - 1]])
+            level = level.withColumn("_b", F.col("_b") + F.col("_before")).drop("_before")
         before = level.withColumnRenamed("_b", "_before")
     before = before.select(*group, cuts[-1], "_before")
-    return out.join(before, [*group, cuts[-1]]).withColumn(name, F.col(name) + F.col("_before")).drop("_before", *cuts)
+    out = out.join(never_broadcast(before), [*group, cuts[-1]])
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_before", *cuts)
 
 
 def targets(sizes: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_repeats: int = 3, share: float = 1.0) -> DataFrame:
@@ -112,7 +114,8 @@ def plan(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), max_repeats: int = 3
     order = ["finish", "line", "mark", "key"]
     taken = running_sum(queue, ["all"], time, order, "words", "used").where("used <= budget")
     copies = taken.groupBy("key", "line", "mark").agg(F.count("*").alias("copies"))
-    named = rows.withColumn("line", line).join(copies, ["key", "line", "mark"], "left").join(goals.drop("source"), "key")
+    named = never_broadcast(rows.withColumn("line", line)).join(copies, ["key", "line", "mark"], "left")
+    named = named.join(goals.drop("source"), "key")
     return named.select(
         "id", "source", "mark", "times", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies")
     )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from presslake.llm.common import in_chunks, shuffle_partitions, utf8, written
+from presslake.llm.common import in_chunks, never_broadcast, shuffle_partitions, utf8, written
 from presslake.llm.suffixes import common_prefixes, layout, suffix_order
 
 MIN_LEN = 100
@@ -226,7 +226,7 @@ def _settle(anchored: DataFrame, hot_segments: int) -> DataFrame:
 def _fetched(docs: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
     """(anchor, doc_id, start, count, bytes) of segments to sort; for hot anchors a row per window: (high, low, doc_id, start)."""
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "count", "anchor")).alias("asked"))
-    found = docs.join(asked, "doc_id").select("doc_id", "text", "asked")
+    found = docs.join(never_broadcast(asked), "doc_id").select("doc_id", "text", "asked")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -307,8 +307,8 @@ def _hot_windows(fetched: DataFrame) -> DataFrame:
     """(doc_id, start, count): the repeats among the windows of hot anchors."""
     rows = fetched.where("high is not null").select("high", "low", "doc_id", "start")
     first = rows.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    again = rows.join(first.where("n > 1"), ["high", "low"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return again.select("doc_id", "start", F.lit(1).alias("count"))
+    again = never_broadcast(rows).join(first.where("n > 1"), ["high", "low"])
+    return again.where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("count"))
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """The pipeline's stages against plain versions, each on its own input."""
 
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
-from presslake.llm import quality
-from presslake.llm.common import tune
+from presslake.llm import mixing, quality, suffix_dedup
+from presslake.llm.common import tune, written
 from test_mixing import plain as plain_mix
 from test_simhash import plain as plain_components
 from test_suffix_dedup import plain_gone
@@ -108,3 +109,21 @@ def test_empty_corpus(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_nothing_that_grows_with_the_corpus_is_broadcast(spark):
+    # Spark takes a running sum's rows, the turns made of each and the windows of a segment for as large as what they come from:
+    # in the mix, 0.5 GB of documents gave broadcasts of 42 and 59 MB.
+    tune(spark)
+    _, docs = corpus(spark)
+    mixed = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key#" in mixed
+    assert not re.search(r"BroadcastHashJoin [^\n]*(line|mark|_g\d)#", mixed)
+
+    segments = written(spark.range(300).selectExpr("id % 40 as high", "1L as low", "id as doc_id", "cast(id as int) as start"), "segments")
+    windows = suffix_dedup._hot_windows(segments)
+    assert windows.count() == 260
+    assert "BroadcastHashJoin" not in windows._jdf.queryExecution().executedPlan().toString()
+    asked = segments.selectExpr("doc_id", "start", "1 as count", "1L as anchor", "cast(1 as byte) as kind")
+    fetched = suffix_dedup._fetched(docs.select("doc_id", "text"), asked, 100)
+    assert "BroadcastHashJoin" not in fetched._jdf.queryExecution().executedPlan().toString()
