@@ -132,5 +132,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         & F.col(f"_row.`{source_col}`").cast("string").eqNullSafe(F.col("_source"))
         & (F.col("_text_mark") == F.col("_mark"))
     )
-    joined = rows.join(chosen, same)
+    joined = never_broadcast(rows).join(chosen, same)
     return joined.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
